@@ -93,13 +93,17 @@ def chunks(array: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         row = end
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words, and the index of the first word of each row (n + 1)."""
+def words(data: np.ndarray, at: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words, and the index of the first word of each row (n + 1).
+
+    A word is a run of bytes other than white space, or of those that the table
+    ``inside`` marks.
+    """
     n = len(data)
     if n == 0:
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(len(at), dtype=np.int64)
-    full = ~_SPACE[data]
+    full = ~_SPACE[data] if inside is None else inside[data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[at] = True
     first = full.copy()
@@ -128,6 +132,21 @@ def lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, first
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z and the capitals of Latin-1 in lower case."""
+    out = LOWER[data]
+    if len(data) > 1:
+        capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        out[1:][capital] += 32
+    return out
+
+
+def hash_of(word: str) -> int:
+    """The hash that ``hashes`` gives a span with these characters."""
+    data = np.frombuffer(word.encode(), dtype=np.uint8)
+    return int(hashes(data, np.array([0]), np.array([len(data)]))[0])
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of ascending spans, a segment of the bytes at a time."""
     out = np.empty(len(starts), dtype=np.uint64)

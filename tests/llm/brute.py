@@ -39,3 +39,41 @@ def pii(text: str | None) -> dict:
     out = {f"n_{k}": sum(x[2] == k for x in found) for k in PII}
     line = ",".join(f"{k}:{a}:{b}" for a, _, k, b in found)
     return out | {"base_sha256": hashlib.sha256(line.encode()).hexdigest(), "base": line}
+
+
+def line_chunks(text: str, window: int = 2, mask: int = 3) -> list[list[str]]:
+    import xxhash
+
+    lines = text.split("\n")
+    h = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in lines]
+    out: list[list[str]] = []
+    for i, line in enumerate(lines):
+        rolled = 0
+        if i >= window:
+            for k in range(window, 0, -1):
+                rolled = ((rolled << 1 | rolled >> 63) & (1 << 64) - 1) ^ h[i - k]
+        if i == 0 or i >= window and rolled & mask == 0:
+            out.append([])
+        out[-1].append(line)
+    return out
+
+
+def line_dedup(rows: list[tuple[int, str | None]]) -> dict[int, str | None]:
+    """Texts by id (ids are unique), without documents that lose every line."""
+    seen: set[tuple[str, ...]] = set()
+    out: dict[int, str | None] = {}
+    for i, text in sorted(rows):
+        if text is None or "\n" not in text:
+            out[i] = text
+            continue
+        kept, gone = [], 0
+        for c in line_chunks(text):
+            if sum(bool(WORD.search(x)) for x in c) >= 2:
+                if tuple(c) in seen:
+                    gone += 1
+                    continue
+                seen.add(tuple(c))
+            kept.append(c)
+        if kept:
+            out[i] = "\n".join(x for c in kept for x in c) if gone else text
+    return out
