@@ -1,10 +1,9 @@
 """Quality by positive-unlabelled learning with the non-negative risk.
 
-Trusted positives are the training rows labelled 1 of one half of the sample;
-the other half, its labels unseen, is the unlabelled web text. The share of
-positives in it is estimated from a first scorer: over all score thresholds, the
-least ratio of unlabelled to positive rows above the threshold, with a
-confidence margin on both shares. A small network on dense text features then
+Trusted positives are the training rows labelled 1; the whole sample, its labels
+unseen, is the unlabelled web text. No label 0 is used. The share of positives
+is estimated from a first scorer of each half on the other half: the least ratio
+of unlabelled to positive rows above a threshold. A small network on dense text features then
 minimises ``pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))`` with the logistic loss,
 stepping back where the second term is negative.
 
@@ -124,7 +123,7 @@ def _sigmoid(f: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
 
 
-def fit(p: np.ndarray, u: np.ndarray, prior: float | None, *, steps: int = 600, rate: float = 0.02, decay: float = 1e-3, seed: int = 5) -> Network:
+def fit(p: np.ndarray, u: np.ndarray, prior: float | None, *, steps: int = 1200, rate: float = 0.05, decay: float = 1e-5, seed: int = 5) -> Network:
     """Non-negative risk minimisation; without a prior, plain separation of p from u.
 
     Every step uses all rows, so the sign of the negative risk is exact.
@@ -164,17 +163,32 @@ def fit(p: np.ndarray, u: np.ndarray, prior: float | None, *, steps: int = 600,
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """The share of positives among unlabelled rows, from scores of unseen rows of both kinds.
 
-    In a top bin of nearly pure positives, shares above a threshold differ by
-    that factor; the threshold with the least upper bound is taken.
+    Among rows scored above a threshold that keeps at least half of the
+    positives, the two shares differ by at least that factor: the least ratio is
+    taken, with one standard error of both shares against chance minima.
     """
     if len(positive) == 0 or len(unlabelled) == 0:
         return 0.5
-    cuts = np.quantile(positive, np.linspace(0, 0.95, 96))
+    cuts = np.quantile(positive, np.linspace(0, 0.5, 51))
     above_p = (positive[None, :] >= cuts[:, None]).mean(1)
     above_u = (unlabelled[None, :] >= cuts[:, None]).mean(1)
-    margin = np.sqrt(np.log(40) / 2 / len(unlabelled)) + np.sqrt(np.log(40) / 2 / len(positive))
-    best = int(np.argmin((above_u + margin) / np.maximum(above_p, 1e-9)))
-    return float(np.clip(above_u[best] / max(above_p[best], 1e-9), 0.02, 0.98))
+    error = np.sqrt((1 - above_p) / above_p / len(positive) + (1 - above_u) / np.maximum(above_u, 1e-9) / len(unlabelled))
+    best = int(np.argmin(above_u / above_p * (1 + error)))
+    return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
+
+
+def learn_from(x: np.ndarray, label: np.ndarray, fold: np.ndarray) -> tuple[Network, float]:
+    """The network and the prior. Positives are the rows with a positive label, unlabelled are all rows."""
+    p = label > 0
+    found = []
+    for k in (0, 1):
+        learn, unseen = fold == k, fold != k
+        if (p & learn).any():
+            first = fit(x[p & learn], x[learn], None, steps=200, rate=0.02, decay=1e-2)
+            found.append((first.raw(x[p & unseen]), first.raw(x[unseen])))
+    ranks = [np.concatenate(v) for v in zip(*found, strict=True)]
+    prior = estimate_prior(*ranks)
+    return fit(x[p], x, prior), prior
 
 
 @dataclass(frozen=True)
@@ -202,13 +216,8 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = labelled.TRAIN_RO
     if not len(got) or not (got["label"] > 0).any():
         return Model(None, 0.5)
     x = np.stack(got["x"].to_list())
-    trusted = np.array([labelled.bucket(f"p{i}", 2) == 0 for i in got["doc_id"]])
-    p, u = x[trusted & (got["label"] > 0).to_numpy()], x[~trusted]
-    if not len(p) or not len(u):
-        p, u = x[(got["label"] > 0).to_numpy()], x
-    first = fit(p[::2], u[::2], None, steps=300)
-    prior = estimate_prior(first.raw(p[1::2]), first.raw(u[1::2]))
-    return Model(fit(p, u, prior), prior)
+    fold = np.array([labelled.bucket(f"p{i}", 2) for i in got["doc_id"]])
+    return Model(*learn_from(x, got["label"].to_numpy(), fold))
 
 
 def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

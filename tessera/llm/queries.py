@@ -2,18 +2,42 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, pii
+from tessera.llm import line_dedup, mixing, pii, quality, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The rules of the URL query.
+URL_RULES = ["block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/"]
+
+
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.learn(documents, table(spark, sf_dir, "labels")))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.score(documents, quality.learn(documents, table(spark, sf_dir, "labels")))
+
+
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.remove_repeats(table(spark, sf_dir, "documents"), drop_empty=False)
+    return kept.select("doc_id", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -23,9 +47,53 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+# The built-in globs as one pattern over '.' + host + path.
+OP1_SQL = r"""
+WITH split AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM split
+), ruled AS (
+  SELECT page_id, host, path, CASE
+    WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM parts
+), judged AS (
+  SELECT *, CASE
+    WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN {block} THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+)
+SELECT page_id, host, path, rule, verdict, matched FROM (
+  SELECT *, coalesce(rule, CASE {matched} END) AS matched FROM judged
+) t
+"""
+
+
+def _like(pattern: str) -> str:
+    """A test of a glob on '.' || host || path: * within a segment, ** anywhere."""
+    out = "".join({"**": "(.|\n)*", "*": "[^/]*"}.get(x, re.escape(x)) for x in re.findall(r"\*\*|\*|[^*]", pattern))
+    return f"regexp_full_match('.' || host || path, '{out}')"
+
+
+_ORDERED = sorted(url_filter.DEFAULT_GLOBS, key=lambda g: (-len(g[1]), g[0] != "block", g[1]))
+OP1_SQL = OP1_SQL.format(
+    block=" OR ".join(_like(p) for _, p in _ORDERED),
+    matched=" ".join(f"WHEN {_like(p)} THEN '{p}'" for _, p in _ORDERED),
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_mixing": op9_mixing, "op10_pii": op10_pii}
+    return {
+        "op1_urls": op1_urls,
+        "op2_toxicity": op2_toxicity,
+        "op4_quality": op4_quality,
+        "op5_lines": op5_lines,
+        "op9_mixing": op9_mixing,
+        "op10_pii": op10_pii,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_urls": OP1_SQL}
