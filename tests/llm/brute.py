@@ -77,3 +77,29 @@ def line_dedup(rows: list[tuple[int, str | None]]) -> dict[int, str | None]:
         if kept:
             out[i] = "\n".join(x for c in kept for x in c) if gone else text
     return out
+
+
+def near_dups(rows: list[tuple[int, str | None]], k: int, percent: int) -> dict[int, tuple[int, int]]:
+    """(set size, least reachable id) by id, from all pairs."""
+    sets = {}
+    for i, text in rows:
+        words = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in WORD.findall(text or "")]
+        sets[i] = {tuple(words[j : j + k]) for j in range(len(words) - k + 1)} if len(words) >= k else ({tuple(words)} if words else set())
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for a, i in enumerate(ids):
+        for j in ids[a + 1 :]:
+            x, y = sets[i], sets[j]
+            if x and y and min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)):
+                same = len(x & y)
+                if 100 * same >= percent * (len(x) + len(y) - same):
+                    one, two = sorted((root(i), root(j)))
+                    parent[two] = one
+    return {i: (len(sets[i]), root(i)) for i in ids}
