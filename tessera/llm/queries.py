@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, mixing, pii, quality, toxicity, url_filter
+from tessera.llm import fertility, line_dedup, mixing, near_dup, pii, quality, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,14 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.rules(table(spark, sf_dir, "documents"))
+
+
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.label(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -90,6 +98,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op4_quality": op4_quality,
         "op5_lines": op5_lines,
+        "op6_rules": op6_rules,
+        "op7_near_dup": op7_near_dup,
         "op9_mixing": op9_mixing,
         "op10_pii": op10_pii,
     }

@@ -103,3 +103,26 @@ def near_dups(rows: list[tuple[int, str | None]], k: int, percent: int) -> dict[
                     one, two = sorted((root(i), root(j)))
                     parent[two] = one
     return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+def word_rules(text: str | None) -> dict:
+    from collections import Counter
+
+    text = text or ""
+    words = WORD.findall(text)
+    grams = Counter(zip(words, words[1:], words[2:], strict=False))
+    covered = {i + d for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for d in range(3)}
+    seen, dups = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dups += line in seen
+            seen.add(line)
+    n, r = len(words), len(covered)
+    return {
+        "n_words": n,
+        "word_chars": sum(map(len, words)),
+        "n_symbols": len(re.findall(r"[#*$%&|<>]", text)),
+        "n_dup_lines": dups,
+        "n_repeat_words": r,
+        "base_failed": n < 50 or 100 * r > 50 * n,
+    }
