@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fertility, line_dedup, mixing, near_dup, pii, quality, toxicity, url_filter
+from tessera.llm import fertility, line_dedup, mixing, near_dup, pii, quality, repeats, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.label(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove(table(spark, sf_dir, "documents"), keep_bytes=False))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -100,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_lines": op5_lines,
         "op6_rules": op6_rules,
         "op7_near_dup": op7_near_dup,
+        "op8_repeats": op8_repeats,
         "op9_mixing": op9_mixing,
         "op10_pii": op10_pii,
     }

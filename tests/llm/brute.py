@@ -126,3 +126,29 @@ def word_rules(text: str | None) -> dict:
         "n_repeat_words": r,
         "base_failed": n < 50 or 100 * r > 50 * n,
     }
+
+
+def repeats(rows: list[tuple[int, str | None]], length: int = 400) -> dict[int, tuple[int, int, int, str]]:
+    """(bytes, removed, spans, sha256 of the rest) by id."""
+    from collections import Counter
+
+    texts = {i: (t or "").encode() for i, t in rows}
+    seen: Counter = Counter()
+    for raw in texts.values():
+        seen.update(hash(raw[s : s + length]) for s in range(len(raw) - length + 1))
+    out = {}
+    for i, raw in texts.items():
+        gone, until, spans = 0, 0, 0
+        kept = []
+        for s in range(len(raw) - length + 1):
+            if seen[hash(raw[s : s + length])] > 1:
+                if s > until or until == 0:
+                    kept.append(raw[until:s])
+                    spans += 1
+                    gone += length
+                else:
+                    gone += s + length - until
+                until = s + length
+        kept.append(raw[until:])
+        out[i] = (len(raw), gone, spans, hashlib.sha256(b"".join(kept)).hexdigest())
+    return out
