@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fertility, line_dedup, mixing, near_dup, pii, quality, repeats, toxicity, url_filter
+from tessera.llm import decontam, fertility, line_dedup, mixing, near_dup, pii, quality, repeats, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.learn(documents, table(spark, sf_dir, "labels")))
 
 
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return quality.score(documents, quality.learn(documents, table(spark, sf_dir, "labels")))
@@ -100,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_urls": op1_urls,
         "op2_toxicity": op2_toxicity,
+        "op3_decontam": op3_decontam,
         "op4_quality": op4_quality,
         "op5_lines": op5_lines,
         "op6_rules": op6_rules,
