@@ -1 +1 @@
-
+"""Column expressions: messages, templates, replies."""
