@@ -72,4 +72,5 @@ def lr_schedule(spark: SparkSession, max_steps: int, rate: float, *, warmup_rati
 
 def power_of_two(block: Column) -> Column:
     """The least power of two that is not under ``block``."""
-    return F.shiftleft(F.lit(1).cast("long"), F.ceil(F.log2(F.greatest(block, F.lit(1)))).cast("int"))
+    bits = F.when(block <= 1, F.lit(0)).otherwise(F.length(F.bin(block.cast("long") - 1)))
+    return F.pow(F.lit(2.0), bits).cast("long")
