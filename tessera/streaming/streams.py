@@ -24,13 +24,15 @@ def encode_stream(conversations: DataFrame, cfg: EncodeConfig) -> DataFrame:
     return kept(encode(conversations, cfg))
 
 
-def pack_stream(lengths: DataFrame, max_length: int, *, open_windows: int = 8, idle_ms: int = 60_000) -> DataFrame:
+def pack_stream(lengths: DataFrame, max_length: int, *, open_windows: int = 8, idle_ms: int | None = 60_000) -> DataFrame:
     """(shard, example_id, window_id, segment, offset, length) of windows as they leave the pool.
 
     ``lengths`` has shard, example_id, order_key and length. Each shard keeps its
     own pool, at most ``open_windows`` windows of ids and lengths. A stream has
     no end, so a pool that got no example for ``idle_ms`` is flushed in order;
-    that is where it can differ from a table packed at once.
+    that is where it can differ from a table packed at once. Timeouts keep a
+    query running, so one that is to end by itself (``availableNow``) takes
+    ``idle_ms=None`` and leaves open windows in its state for the next run.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -55,7 +57,8 @@ def pack_stream(lengths: DataFrame, max_length: int, *, open_windows: int = 8, i
             del names[i]
         if not state.hasTimedOut:
             state.update((pickle.dumps((packer.pool, names, serial, packer.emitted)),))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["shard", "example_id", "window_id", "segment", "offset", "length"])
 
     return lengths.groupBy("shard").applyInPandasWithState(
@@ -63,7 +66,7 @@ def pack_stream(lengths: DataFrame, max_length: int, *, open_windows: int = 8, i
         "shard int, example_id long, window_id long, segment int, offset int, length int",
         "pool binary",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 

@@ -153,8 +153,8 @@ def test_packing_stream(spark, tmp_path):
     rows = [(0, i, i, n) for i, n in enumerate([6, 5, 2, 8, 8])]
     spark.createDataFrame(rows, "shard int, example_id long, order_key long, length int").coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("shard int, example_id long, order_key long, length int").parquet(str(tmp_path / "in"))
-    packed = streams.pack_stream(source, 8, open_windows=2)
-    packed.writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    packed = streams.pack_stream(source, 8, open_windows=2, idle_ms=None)
+    packed.writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(90)
     got = spark.read.schema(packed.schema).parquet(str(tmp_path / "out")).orderBy("window_id", "segment").collect()
     assert [(r.example_id, r.window_id, r.segment, r.offset) for r in got] == [(0, 0, 1, 0), (2, 0, 2, 6), (3, 1, 1, 0)]
 
