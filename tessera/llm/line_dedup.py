@@ -107,7 +107,9 @@ def remove_repeats(
     out = out.withColumn("_kept", F.array_except(every, "_gone"))
     pieces = F.transform("_kept", lambda r: _slice(F.shiftright(r, 32).cast("int"), r.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
     rebuilt = F.array_join(F.flatten(pieces), "\n")
-    out = out.withColumn(text_col, F.when(F.size("_gone") > 0, rebuilt).otherwise(F.col(text_col)))
+    done = F.struct(F.when(F.size("_gone") > 0, rebuilt).otherwise(F.col(text_col)).alias("text"), (F.size("_kept") == 0).alias("empty"))
+    # A generator keeps the filter above it: pushed down, it would bring the whole chunking into each of its terms.
+    out = out.withColumn("_done", F.explode(F.array(done)))
     if drop_empty:
-        out = out.where(F.col("_later").isNull() | (F.size("_kept") > 0))
-    return out.select(*documents.columns)
+        out = out.where(~F.coalesce("_done.empty", F.lit(False)))
+    return out.withColumn(text_col, F.col("_done.text")).select(*documents.columns)
