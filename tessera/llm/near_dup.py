@@ -17,7 +17,8 @@ Links are exact. A pair at the threshold shares a bucket with probability
 
 Defined results: a null or empty text, or one without words, has an empty set
 and is linked with nothing; rows that share an id and a text share a component;
-a null id is a component of its own row, without id; an empty table gives no
+a null id is a component of its own row, without id; of rows that share an id
+but not a text, all leave the kept documents if one does; an empty table gives no
 rows; other columns are ignored. Ids are integers.
 """
 
@@ -208,7 +209,7 @@ def label(documents: DataFrame, *, k: int = SHINGLE, percent: int = SIMILARITY,
     )
     named = scratch.saved(named, "named")
     same = (F.col("fp1") == F.col("_1")) & (F.col("fp2") == F.col("_2")) & (F.col("n") == F.col("_n"))
-    component = F.coalesce("root", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     out = rows.where("n > 0").join(named, same, "left").select("doc_id", "n", component.alias("c"))
     out = out.union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("c")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("c"), F.lit(True)).alias("kept"))
