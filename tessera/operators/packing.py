@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.ordering import numbered
+from tessera.sources import workspace
 
 Placement = tuple[int, int, int, int]  # example index, window, segment, offset
 
@@ -72,7 +73,9 @@ def plan(df: DataFrame, max_length: int, *, id_col: str, order: list[str], lengt
     """(id, window_id, segment, offset, length): where each example goes. window_id is dense from 0."""
     if open_windows < 1:
         raise ValueError("open_windows must be positive")
-    rows = numbered(df.select(id_col, *[c for c in order if c != id_col], F.col(length_col).cast("int").alias("length")), order)
+    # Ids, order and lengths are all that planning reads, several times over; encoding runs once for it.
+    lengths = workspace.saved(df.select(id_col, *[c for c in order if c != id_col], F.col(length_col).cast("int").alias("length")), "lengths")
+    rows = numbered(lengths, order)
     total = rows.agg(F.count(F.lit(1)).alias("_total"))
     shard = F.floor(F.col("position") * shards / F.greatest(F.col("_total"), F.lit(1))).cast("int")
     rows = rows.join(F.broadcast(total)).select(F.col(id_col), "position", "length", shard.alias("shard"))

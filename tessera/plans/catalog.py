@@ -308,6 +308,10 @@ def batch_drop_remainder(spark: SparkSession, sf: str) -> DataFrame:
     return ordering.batched(_ids(spark, sf), 8, ["conv_id"]).select("conv_id", F.col("batch_id").cast("long").alias("batch_id"))
 
 
+# Spans of every assistant turn, as a query of its own.
+_SPANS_SQL = f"WITH {TURNS} SELECT conv_id, start_at, end_at FROM a"
+
+
 def _examples(spark: SparkSession, sf: str) -> DataFrame:
     return E.kept(E.encode(_nested(spark, sf), _plain(4096)))
 
@@ -316,12 +320,54 @@ def _plan(spark: SparkSession, sf: str, **more) -> DataFrame:
     return packing.plan(_examples(spark, sf), 8192, id_col="conv_id", order=["conv_id"], **more)
 
 
-@query()
+def _placed_sql(pool: int) -> str:
+    """First-fit packing as a recursion over examples that carries the pool as lists."""
+    return f"""WITH RECURSIVE k AS ({_encoded_sql(4096, "drop", False)}), x AS (SELECT conv_id, unpadded_length AS size, row_number() OVER (ORDER BY conv_id) AS i FROM k),
+st(i, conv_id, size, used, cid, seg, made, home, segment, start_at, gone) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+  UNION ALL
+  SELECT i + 1, conv, l,
+    CASE WHEN f > 0 THEN list_transform(used, lambda u, n: CASE WHEN n = f THEN u + l ELSE u END) ELSE list_append(CASE WHEN e > 0 THEN list_filter(used, lambda u, n: n <> e) ELSE used END, l) END,
+    CASE WHEN f > 0 THEN cid ELSE list_append(CASE WHEN e > 0 THEN list_filter(cid, lambda u, n: n <> e) ELSE cid END, made) END,
+    CASE WHEN f > 0 THEN list_transform(seg, lambda u, n: CASE WHEN n = f THEN u + 1 ELSE u END) ELSE list_append(CASE WHEN e > 0 THEN list_filter(seg, lambda u, n: n <> e) ELSE seg END, CAST(1 AS BIGINT)) END,
+    CASE WHEN f > 0 THEN made ELSE made + 1 END,
+    CASE WHEN f > 0 THEN cid[f] ELSE made END, CASE WHEN f > 0 THEN seg[f] + 1 ELSE 1 END, CASE WHEN f > 0 THEN used[f] ELSE 0 END,
+    CASE WHEN f = 0 AND e > 0 THEN cid[e] END
+  FROM (SELECT st.i, st.used, st.cid, st.seg, st.made, x.size AS l, x.conv_id AS conv,
+      coalesce(list_position(list_transform(st.used, lambda u: u + x.size <= 8192), true), 0) AS f,
+      CASE WHEN len(st.used) >= {pool} THEN list_position(st.used, list_max(st.used)) ELSE 0 END AS e
+    FROM st JOIN x ON x.i = st.i + 1) z
+), o AS (
+  SELECT gone AS c, i AS a, CAST(0 AS BIGINT) AS b FROM st WHERE gone IS NOT NULL
+  UNION ALL SELECT unnest(cid) AS c, i + 1 AS a, unnest(generate_series(1, len(cid))) AS b FROM (SELECT * FROM st ORDER BY i DESC LIMIT 1) q
+), w AS (SELECT c, row_number() OVER (ORDER BY a, b) - 1 AS window_id FROM o),
+placed AS (SELECT st.conv_id, w.window_id, st.segment, st.start_at AS "offset", st.size AS length FROM st JOIN w ON w.c = st.home)
+"""
+
+
+_PLACED_COLUMNS = 'conv_id, window_id, CAST(segment AS BIGINT) AS segment, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length'
+_WINDOWS_SQL = f"""{_placed_sql(8)}, r AS (
+  SELECT conv_id, string_agg('<' || role || '>' || text || '</' || role || '>', '' ORDER BY turn) AS r FROM conversations GROUP BY conv_id
+), g AS (SELECT DISTINCT p.window_id, s.i FROM placed p CROSS JOIN (SELECT unnest(generate_series(0, 8191)) AS i) s
+), y AS (SELECT p.*, r.r FROM placed p JOIN r ON r.conv_id = p.conv_id
+), z AS (
+  SELECT g.window_id, g.i, y.conv_id, y.segment, g.i - y."offset" AS rel, y.r FROM g
+  LEFT JOIN y ON y.window_id = g.window_id AND g.i >= y."offset" AND g.i < y."offset" + y.length
+), m AS (
+  SELECT z.window_id, z.i, max(z.segment) AS segment, max(z.rel) AS rel, max(unicode(substr(z.r, CAST(z.rel + 1 AS BIGINT), 1))) AS token, count(a.conv_id) > 0 AS hit
+  FROM z LEFT JOIN ({_SPANS_SQL}) a ON a.conv_id = z.conv_id AND z.rel > 0 AND z.rel >= a.start_at AND z.rel < a.end_at GROUP BY z.window_id, z.i
+)
+SELECT window_id, CAST(max(segment) AS BIGINT) AS n_segments, md5(string_agg(CAST(coalesce(token, 0) AS VARCHAR), ' ' ORDER BY i)) AS input_tokens,
+  md5(string_agg(CASE WHEN hit THEN 'true' ELSE 'false' END, ' ' ORDER BY i)) AS input_mask, md5(string_agg(CAST(coalesce(rel, 0) AS VARCHAR), ' ' ORDER BY i)) AS positions,
+  md5(string_agg(CAST(coalesce(segment, 0) AS VARCHAR), ' ' ORDER BY i)) AS segment_ids FROM m GROUP BY window_id"""
+
+
+@query(f"{_placed_sql(8)} SELECT {_PLACED_COLUMNS} FROM placed")
 def pack_plan(spark: SparkSession, sf: str) -> DataFrame:
     return _plan(spark, sf).select("conv_id", "window_id", *_long("segment", "offset", "length"))
 
 
-@query()
+@query(f"{_placed_sql(2)} SELECT {_PLACED_COLUMNS} FROM placed")
 def pack_pool_eviction(spark: SparkSession, sf: str) -> DataFrame:
     return _plan(spark, sf, open_windows=2).select("conv_id", "window_id", *_long("segment", "offset", "length"))
 
@@ -335,21 +381,21 @@ def _windows(spark: SparkSession, sf: str) -> DataFrame:
     return packing.assemble(_plan(spark, sf), _examples(spark, sf), 8192, id_col="conv_id")
 
 
-@query()
+@query(_WINDOWS_SQL)
 def pack_windows(spark: SparkSession, sf: str) -> DataFrame:
     joined = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), " ")).alias(c)
     fields = ("input_tokens", "input_mask", "positions", "segment_ids")
     return _windows(spark, sf).select("window_id", F.col("n_segments").cast("long").alias("n_segments"), *[joined(c) for c in fields])
 
 
-@query()
+@query(f"{_placed_sql(8)} SELECT CAST(count(DISTINCT window_id) AS BIGINT) AS windows, count(*) AS examples, CAST(sum(length) AS BIGINT) AS tokens, round(sum(length) / (count(DISTINCT window_id) * 8192.0), 9) AS fill FROM placed")
 def pack_fill(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.fill(_plan(spark, sf), 8192)
+    return stats.fill(_plan(spark, sf), 8192).withColumn("fill", F.round("fill", 9))
 
 
-@query()
+@query(f"{_placed_sql(8)}, b AS (SELECT window_id, CAST(max(segment) AS BIGINT) AS n_segments FROM placed GROUP BY window_id) SELECT window_id, CAST(floor(window_id / 4) AS BIGINT) AS batch_id, n_segments FROM b WHERE window_id < (SELECT floor(count(*) / 4) * 4 FROM b)")
 def packed_batches(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.batches(_windows(spark, sf), 4).select("window_id", F.col("batch_id").cast("long").alias("batch_id"), "n_segments")
+    return packing.batches(_windows(spark, sf), 4).select("window_id", F.col("batch_id").cast("long").alias("batch_id"), F.col("n_segments").cast("long").alias("n_segments"))
 
 
 # Final assistant texts as sampled replies.
