@@ -63,3 +63,13 @@ def sample(df: DataFrame, sampler, *, max_new_tokens: int) -> DataFrame:
     """Records from a sampler: a scalar Arrow or pandas function, prompt to struct(text, n_tokens)."""
     said = df.withColumn("_said", sampler(F.col("rendered")))
     return records(said.withColumns({"completion": F.col("_said.text"), "generated_tokens": F.col("_said.n_tokens")}), max_new_tokens=max_new_tokens)
+
+
+def zip_strict(df: DataFrame, *columns: str, name: str = "zipped") -> DataFrame:
+    """One row for each place of parallel arrays; arrays of different sizes are an error."""
+    sizes = [F.size(c) for c in columns]
+    equal = F.lit(True)
+    for s in sizes[1:]:
+        equal = equal & (s == sizes[0])
+    checked = F.when(equal, F.arrays_zip(*columns)).otherwise(F.raise_error(F.lit("parallel arrays differ in size")))
+    return df.withColumn(name, F.explode(checked))

@@ -174,3 +174,32 @@ def test_fan_out(spark):
     got = []
     streams.fan_out(spark.range(3), [lambda d: got.append(d.count()), lambda d: got.append(d.count())])
     assert got == [3, 3]
+
+
+def test_stop_ids():
+    from tessera.functions.template import stop_ids
+
+    class Vocabulary:
+        eos_token_id, unk_token_id = 7, 0
+
+        def convert_tokens_to_ids(self, mark):
+            return {"<|im_end|>": 5}.get(mark, 0)
+
+    assert stop_ids(Vocabulary()) == [5, 7]
+    with pytest.raises(ValueError):
+        stop_ids(object())
+
+
+def test_zip_strict(spark):
+    df = spark.createDataFrame([([1, 2], ["a", "b"])], "x array<int>, y array<string>")
+    assert [tuple(r.zipped) for r in transcripts.zip_strict(df, "x", "y").collect()] == [(1, "a"), (2, "b")]
+    with pytest.raises(Exception, match="differ in size"):
+        transcripts.zip_strict(df.withColumn("y", F.array(F.lit("a"))), "x", "y").collect()
+
+
+def test_doctor(spark, tmp_path):
+    from tessera.__main__ import doctor
+
+    good = recipe(tmp_path)
+    assert doctor(spark, good) == []
+    assert "rejected" in doctor(spark, recipe(tmp_path, "dataset.system_prompt=" + "x" * 300))[0]
