@@ -76,7 +76,7 @@ def plan(df: DataFrame, max_length: int, *, id_col: str, order: list[str], lengt
     # Ids, order and lengths are all that planning reads, several times over; encoding runs once for it.
     lengths = workspace.saved(df.select(id_col, *[c for c in order if c != id_col], F.col(length_col).cast("int").alias("length")), "lengths")
     rows = numbered(lengths, order)
-    total = rows.agg(F.count(F.lit(1)).alias("_total"))
+    total = lengths.agg(F.count(F.lit(1)).alias("_total"))
     shard = F.floor(F.col("position") * shards / F.greatest(F.col("_total"), F.lit(1))).cast("int")
     rows = rows.join(F.broadcast(total)).select(F.col(id_col), "position", "length", shard.alias("shard"))
     kind = df.schema[id_col].dataType.simpleString()
