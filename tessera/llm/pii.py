@@ -46,6 +46,8 @@ PATTERNS = {
 }
 # A character or sequence without which a pattern cannot match.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
+# A short pattern without which a pattern cannot match.
+NEEDS_MATCH = {"card": r"[0-9][\x20-]?[0-9]", "iban": "[0-9]{2}", "tel": "[0-9]{2}"}
 # Priors, and words near a span that speak for or against its kind.
 PRIORS = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.8, "iban": 0.9, "ssn": 0.4, "tel": 0.4}
 FOR = {
@@ -114,7 +116,7 @@ def _proposed(kind: str, text: Column) -> Column:
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind_of).alias("spans"))
     pairs = F.zip_with(found, F.slice(pieces, F.lit(1), F.size(found)), lambda v, p: F.struct(v.alias("value"), p.alias("piece")))
     spans = F.aggregate(pairs, zero, step, lambda s: s["spans"])
-    possible = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else F.rlike(text, F.lit("[0-9]{2}"))
+    possible = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else F.rlike(text, F.lit(NEEDS_MATCH[kind]))
     return F.when(possible, spans).otherwise(F.array().cast(kind_of))
 
 

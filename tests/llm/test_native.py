@@ -34,6 +34,16 @@ def test_pii_against_brute_force(spark):
         assert set(filter(None, want["base"].split(","))) <= set(r.spans.split(","))
 
 
+def test_pii_cards_of_parted_digits(spark):
+    texts = [" ".join("4111111111111111"), "-".join("4111111111111111"), " ".join("0" * 12), "no card: 1 2 3", "x " + "- ".join("4111111111111111")]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in pii.digest(pii.find(docs(spark, rows))).collect()}
+    assert [got[i].n_card for i in range(5)] == [1, 1, 1, 0, 0]
+    for i, t, _ in rows:
+        want = brute.pii(t)
+        assert all(got[i][k] == want[k] for k in want if k != "base"), t
+
+
 def test_pii_more_kinds(spark):
     rows = [(1, "IBAN DE89370400440532013000, wrong DE89370400440532013001", "s"), (2, "ssn 123-45-6789 and part 987-65-4321", "s"), (3, "call 030 1234567 now", "s"), (4, "order 030 1234567 now", "s")]
     got = {r.doc_id: r.spans for r in pii.digest(pii.find(docs(spark, rows))).collect()}
