@@ -1,11 +1,21 @@
 """Line dedup by content-defined chunks of lines.
 
-Only DataFrame functions run here. A cyclic rolling hash over the last
-``WINDOW`` line hashes ends a chunk where its low bits are zero, so limits
-depend on nearby lines alone and stay where they are when lines are put in or
-taken out elsewhere. Chunks of two or more lines with text that occur again
-anywhere are compared byte for byte with the first occurrence (least doc_id,
-then place) and removed if equal; first occurrences stay.
+Only DataFrame functions run here. There are two ways to cut texts:
+
+* ``runs``: every line with text is a chunk, and two neighbouring chunks (with
+  the blank lines between them) are looked up together. Each pair that stands
+  earlier is a repeat, and repeats that overlap or touch join into runs, so a
+  repeated passage of two or more lines goes whole whatever stands around it. A
+  pair that shares a line with its own first occurrence is not a repeat of it.
+* otherwise a cyclic rolling hash over the last ``WINDOW`` line hashes ends a
+  chunk where its low bits are zero. Limits depend on nearby lines alone, but one
+  line in four is a limit, so short passages inside unlike texts are mostly not
+  chunks of their own and stay.
+
+Chunks of two or more lines with text that occur again anywhere are compared
+byte for byte with the first occurrence (least doc_id, then place) and removed
+if equal; first occurrences stay, except for lines that are part of a repeat as
+well. Every line that is removed stays at its first place in the corpus.
 
 Hashes are counted without texts; only chunks whose hash repeats carry bytes.
 Joins on a chunk's hash may be skewed: both sides are plain exchanges, which
@@ -36,46 +46,47 @@ def _rolled(at: Column) -> Column:
     return out
 
 
-def _chunked(texts: DataFrame) -> DataFrame:
-    """Adds _lines, _hashes and _starts: the first line of each chunk, from 0."""
+def _has_text(line: Column) -> Column:
+    return F.rlike(line, F.lit(r"[^\x20\x09-\x0D]"))
+
+
+def _cut(texts: DataFrame, runs: bool) -> DataFrame:
+    """Adds _lines, _hashes, _starts (the first line of each chunk, from 0) and _spans (start and end of what is looked up)."""
     limit = lambda i: (i == 0) | ((i >= WINDOW) & (_rolled(i).bitwiseAND(F.lit(MASK)) == 0))
+    starts = F.filter(F.sequence(F.lit(0), F.size("_hashes") - 1), (lambda i: _has_text(F.get("_lines", i))) if runs else limit)
+    span = lambda s, e: F.struct(s.alias("start"), e.alias("end"))
+    if runs:
+        # The last chunk has no neighbour after it.
+        spans = F.transform(F.slice("_starts", F.lit(1), F.greatest(F.size("_starts") - 1, F.lit(0))), lambda s, k: span(s, F.get("_starts", k + 1) + 1))
+    else:
+        every = F.transform("_starts", lambda s, k: span(s, F.coalesce(F.get("_starts", k + 1), F.size("_lines"))))
+        spans = F.filter(every, lambda c: F.size(F.filter(_slice(c["start"], c["end"]), _has_text)) >= MIN_LINES)
     return (
         texts.withColumn("_lines", F.split("_text", "\n", -1))
         .withColumn("_hashes", F.transform("_lines", lambda x: F.xxhash64(x)))
-        .withColumn("_starts", F.filter(F.sequence(F.lit(0), F.size("_hashes") - 1), limit))
+        .withColumn("_starts", starts)
+        .withColumn("_spans", spans)
     )
 
 
-def _packed(start: Column, end: Column) -> Column:
-    """Both ends of a chunk in one number, which array functions hash."""
-    return F.shiftleft(start.cast("long"), 32).bitwiseOR(end.cast("long"))
-
-
 def _slice(start: Column, end: Column) -> Column:
     return F.slice("_lines", start + 1, end - start)
 
 
 def remove_repeats(
-    documents: DataFrame, *, drop_empty: bool = True, id_col: str = "doc_id", text_col: str = "text"
+    documents: DataFrame, *, runs: bool = False, drop_empty: bool = True, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The documents with repeated multi-line chunks taken out of ``text_col``."""
+    """The documents with repeated multi-line chunks, or runs of lines, taken out of ``text_col``."""
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     keyed = documents.select(F.col(id_col).alias("_id"), key.alias("_key"), F.col(text_col).alias("_text"))
     keyed = keyed.where(F.contains("_text", F.lit("\n")))
 
-    ends = lambda k: F.coalesce(F.get("_starts", k + 1), F.size("_lines"))
-    chunk = lambda s, k: F.struct(
-        s.alias("start"),
-        ends(k).alias("end"),
-        F.xxhash64(F.slice("_hashes", s + 1, ends(k) - s)).alias("hash"),
-        F.size(F.filter(_slice(s, ends(k)), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))).alias("full"),
-    )
+    chunk = lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.xxhash64(F.slice("_hashes", c["start"] + 1, c["end"] - c["start"])).alias("hash"))
     spans = (
-        _chunked(keyed)
-        .select("_id", "_key", F.explode(F.filter(F.transform("_starts", chunk), lambda c: c["full"] >= MIN_LINES)).alias("_c"))
+        _cut(keyed, runs)
+        .select("_id", "_key", F.explode(F.transform("_spans", chunk)).alias("_c"))
         .select("_id", "_key", F.col("_c.start").alias("_start"), F.col("_c.end").alias("_end"), F.col("_c.hash").alias("_hash"))
     )
-    place = F.struct("_id", "_key", "_start")
     repeated = (
         spans.groupBy("_hash")
         .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_id", "_key", "_start", "_end")).alias("_first"))
@@ -89,24 +100,24 @@ def remove_repeats(
     first_text = (
         firsts.join(texts, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")))
         .withColumn("_lines", F.split("_text", "\n", -1))
-        .select("_h", F.struct("_id", "_key", "_start").alias("_place"), text_of.alias("_first_text"))
+        .select("_h", F.struct("_id", "_key", "_end").alias("_place"), text_of.alias("_first_text"))
         .dropDuplicates(["_h"])
     )
+    # The first occurrence has the least start of its document, so what starts before its end is it or overlaps it.
+    own = F.struct("_id", "_key").eqNullSafe(F.struct("_place._id", "_place._key")) & (F.col("_start") < F.col("_place._end"))
     later = (
-        spans.join(first_text, (F.col("_hash") == F.col("_h")) & ~place.eqNullSafe(F.col("_place")))
+        spans.join(first_text, (F.col("_hash") == F.col("_h")) & ~own)
         .groupBy(F.col("_id").alias("_i"), F.col("_key").alias("_k"))
         .agg(F.collect_set(F.struct("_start", "_end", "_first_text")).alias("_later"))
     )
     out = documents.withColumn("_key", key).join(
         later, (F.col("_key") == F.col("_k")) & F.col(id_col).eqNullSafe(F.col("_i")), "left"
     )
-    out = _chunked(out.withColumn("_text", F.when(F.col("_later").isNotNull(), F.col(text_col))))
+    out = out.withColumn("_lines", F.split(F.when(F.col("_later").isNotNull(), F.col(text_col)), "\n", -1))
     equal = F.filter("_later", lambda c: F.array_join(_slice(c["_start"], c["_end"]), "\n") == c["_first_text"])
-    every = F.transform("_starts", lambda s, k: _packed(s, ends(k)))
-    out = out.withColumn("_gone", F.transform(equal, lambda c: _packed(c["_start"], c["_end"])))
-    out = out.withColumn("_kept", F.array_except(every, "_gone"))
-    pieces = F.transform("_kept", lambda r: _slice(F.shiftright(r, 32).cast("int"), r.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
-    rebuilt = F.array_join(F.flatten(pieces), "\n")
+    out = out.withColumn("_gone", F.flatten(F.transform(equal, lambda c: F.sequence(c["_start"], c["_end"] - 1))))
+    out = out.withColumn("_kept", F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"))
+    rebuilt = F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n")
     done = F.struct(F.when(F.size("_gone") > 0, rebuilt).otherwise(F.col(text_col)).alias("text"), (F.size("_kept") == 0).alias("empty"))
     # A generator keeps the filter above it: pushed down, it would bring the whole chunking into each of its terms.
     out = out.withColumn("_done", F.explode(F.array(done)))
