@@ -11,9 +11,12 @@ sampling takes SAMPLES places of an embedding as a key; each of WALKS walks has
 TABLES such keys. Windows start at every word where a match can start: by the
 q-gram lemma, a run within e edits of n words shares n - Q + 1 - Q * e of the
 item's Q-grams, so windows with fewer grams of any item at all are left out
-without loss. A window's key depends on its first words only, so items are put
-in classes of near lengths and a window has keys for each class. Items and
-windows with a key in common are compared by exact edit distance (Myers'
+without loss. The chance of a common key falls with the number of edits, so an
+item is cut into pieces of PIECE words or a few more, each embedded by itself: if
+an item is within its edits, so is one piece at least within its own share of
+them. A window's key depends on its first words only, so pieces are put in
+classes of near lengths and a window has keys for each class. Items and windows
+with a piece's key in common are compared by exact edit distance (Myers'
 bit-parallel matching), over the region of all the item's windows in a run.
 
 Benchmarks are read in blocks of at most BLOCK_ITEMS items of BLOCK_WORDS words
@@ -40,9 +43,13 @@ from tessera.llm import bytescan as b
 
 Q = 3
 EDIT_SHARE = 0.2
-WALKS, TABLES, SAMPLES = 8, 6, 5
+#: Target: the share of items at exactly max_edits(n) edits that are found, at every length.
+RECALL = 0.99
+# Walks that reach RECALL by simulation (12 gave 0.988) for the hardest length, one piece of 15 words with 3 edits.
+WALKS, TABLES, SAMPLES = 16, 6, 5
+PIECE = 8
 CLASS_RATIO = 1.5
-BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
+BLOCK_ITEMS, BLOCK_WORDS = 20_000, 500_000
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = True
@@ -111,7 +118,7 @@ def distance(pattern: np.ndarray, text: np.ndarray) -> int:
 
 @dataclass
 class Items:
-    """A block of items, their grams and their keys."""
+    """A block of items, their grams, their pieces and the pieces' keys."""
 
     ids: list[int]
     words: list[np.ndarray]
@@ -119,19 +126,26 @@ class Items:
     def prepare(self) -> Items:
         grams = [np.zeros(0, np.uint64)]
         self.classes: dict[int, list[int]] = {}
+        self.pieces: list[np.ndarray] = []
+        self.piece_of: list[tuple[int, int]] = []
         for i, w in enumerate(self.words):
             grams.append(b.window_hashes(w, np.array([0, len(w)]), Q)[0])
-            size = Q
-            while size * CLASS_RATIO <= len(w):
-                size = int(size * CLASS_RATIO)
-            self.classes.setdefault(size, []).append(i)
+            at = 0
+            for piece in np.array_split(w, max(1, len(w) // PIECE)):
+                size = Q
+                while size * CLASS_RATIO <= len(piece):
+                    size = int(size * CLASS_RATIO)
+                self.classes.setdefault(size, []).append(len(self.pieces))
+                self.pieces.append(piece)
+                self.piece_of.append((i, at))
+                at += len(piece)
         self.grams = np.unique(np.concatenate(grams))
         self.maybe = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.maybe[(self.grams & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for size, members in self.classes.items():
-            flat = np.concatenate([self.words[i] for i in members])
-            n = np.array([len(self.words[i]) for i in members])
+            flat = np.concatenate([self.pieces[i] for i in members])
+            n = np.array([len(self.pieces[i]) for i in members])
             ends = np.cumsum(n)
             found = np.concatenate([keys(embed(flat, ends - n, ends, 2 * size, k), k, size) for k in range(WALKS)], axis=1)
             order = np.argsort(found.ravel(), kind="stable")
@@ -156,14 +170,14 @@ class Items:
         total = np.concatenate([[0], np.cumsum(hit)])
         pairs: dict[tuple[int, int], list[int]] = {}
         for size, members in self.classes.items():
-            sizes = [len(self.words[i]) for i in members]
+            sizes = [len(self.pieces[i]) for i in members]
             # A run within e edits has at most n + e words; the fewest grams that one of the class has to share.
             reach = max(n + max_edits(n) for n in sizes)
             least = min(n - Q + 1 - Q * max_edits(n) for n in sizes)
             stop = np.minimum(np.arange(len(h)) + reach, first[1:][row_of])
             starts = np.flatnonzero(total[stop] - total[: len(h)] >= max(1, least))
             table, owners = self.tables[size]
-            # Item-sized windows: keys read at most the class's walk, and never past the document.
+            # Piece-sized windows: keys read at most the class's walk, and never past the document.
             for lot in range(0, len(starts), 4096):
                 s = starts[lot : lot + 4096]
                 ends = stop[s]
@@ -172,8 +186,9 @@ class Items:
                     lo, hi = np.searchsorted(table, found.ravel()), np.searchsorted(table, found.ravel(), side="right")
                     for c in np.flatnonzero(hi > lo):
                         place = int(s[c // TABLES])
-                        for item in set(owners[lo[c] : hi[c]].tolist()):
-                            pairs.setdefault((int(row_of[place]), item), []).append(place)
+                        for piece in set(owners[lo[c] : hi[c]].tolist()):
+                            item, before = self.piece_of[piece]
+                            pairs.setdefault((int(row_of[place]), item), []).append(place - before)
         out = []
         for (row, item), places in sorted(pairs.items()):
             pattern = self.words[item]
@@ -184,7 +199,8 @@ class Items:
                 if place is not None and (not region or place <= until):
                     region.append(place)
                 elif region:
-                    low, high = max(int(first[row]), region[0] - e), min(int(first[row + 1]), region[-1] + len(pattern) + e)
+                    # A piece's words stand up to e words from where they stand in the item, and its window may be as far off.
+                    low, high = max(int(first[row]), region[0] - 2 * e), min(int(first[row + 1]), region[-1] + len(pattern) + 2 * e)
                     best = min(best, distance(pattern, h[low:high]))
                     region = [place] if place is not None else []
                 if place is not None:

@@ -148,6 +148,25 @@ def test_decontamination(spark):
     assert decontam.find(df.limit(0), bench).count() == 0 and decontam.find(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [10, 15, 20, 30, 50, 80, 150, 300])
+@pytest.mark.parametrize("even", [False, True])
+def test_recall_at_the_most_edits(n, even):
+    rng = np.random.default_rng([n, even])
+    words, count = rng.integers(1, 1 << 62, 3000).astype(np.uint64), 200 if n > 15 else 500
+    items = [rng.choice(words, n) for _ in range(count)]
+    e, texts = decontam.max_edits(n), []
+    for item in items:
+        w = item.tolist()
+        # Anywhere, or one in each share of the item, so that every piece has as many edits as it can.
+        for i in sorted((int(k * n / e + rng.integers(0, n // e)) for k in range(e)) if even else rng.choice(n, e, replace=False), reverse=True):
+            kind = rng.choice(["replace", "delete", "insert"])
+            w[i : i + (kind != "insert")] = [] if kind == "delete" else [int(rng.integers(1, 1 << 62))]
+        texts += [rng.choice(words, 40), np.array(w, dtype=np.uint64), rng.choice(words, 40)]
+    first = np.concatenate([[0], np.cumsum([sum(map(len, texts[i : i + 3])) for i in range(0, len(texts), 3)])])
+    got = {(r, i) for r, i, _ in decontam.Items(list(range(count)), items).prepare().search(np.concatenate(texts), first)}
+    assert sum((i, i) in got for i in range(count)) >= decontam.RECALL * count
+
+
 def test_hashes_do_not_depend_on_place():
     rnd = np.random.default_rng(3)
     data = rnd.integers(97, 123, 5000).astype(np.uint8)
