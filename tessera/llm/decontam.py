@@ -23,7 +23,8 @@ Benchmarks are read in blocks of at most BLOCK_ITEMS items of BLOCK_WORDS words
 in all, each one pass over the documents, so what goes to the executors is
 bounded.
 
-Defined results: null and empty texts hold nothing; items that are null or have
+Defined results: null and empty texts hold nothing; a row is judged by its text
+alone, also where its id is null or another row's; items that are null or have
 fewer than Q words are left out; repeated rows and items give repeated results;
 an empty table gives no rows; other columns are ignored.
 """
@@ -259,6 +260,17 @@ def find(
 
 
 def keep(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no item, with all their columns."""
-    held = find(documents, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_held")).distinct()
-    return documents.join(held, F.col(id_col) == F.col("_held"), "left_anti")
+    """The rows that hold no item, with all their columns; ids play no part."""
+
+    def of(rest: DataFrame, items: Items) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ready = items.prepare()
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                for i, _, data, at in b.chunks(batch.column(batch.schema.get_field_index(text_col))):
+                    clean[[i + r for r, _, _ in ready.search(*word_hashes(data, at))]] = False
+                yield batch.filter(pa.array(clean))
+
+        return rest.mapInArrow(run, documents.schema)
+
+    return reduce(of, _blocks(benchmark, "item_id", text_col), documents)

@@ -148,6 +148,19 @@ def test_decontamination(spark):
     assert decontam.find(df.limit(0), bench).count() == 0 and decontam.find(df, bench.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_are_decontaminated(spark, monkeypatch):
+    items = [(1, "one two three four five six seven eight nine ten"), (2, "red orange yellow green blue indigo violet black white grey")]
+    rows = [(None, f"so {items[0][1]} it goes", "x"), (None, "nothing of the kind", "y"), (7, f"and {items[1][1]}", "z"), (8, None, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (decontam.BLOCK_ITEMS, 1):
+        monkeypatch.setattr(decontam, "BLOCK_ITEMS", size)
+        assert {r.doc_id for r in decontam.find(df, bench).collect()} == {None, 7}
+        kept = decontam.keep(df, bench)
+        assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[1], rows[3]], key=repr)
+    assert decontam.keep(df, bench.limit(0)).count() == 4
+
+
 @pytest.mark.parametrize("n", [10, 15, 20, 30, 50, 80, 150, 300])
 @pytest.mark.parametrize("even", [False, True])
 def test_recall_at_the_most_edits(n, even):
