@@ -21,11 +21,14 @@ Round 2 (LENGTH bytes). Single windows are ranked by the pair (rank of the first
 half, rank of the second half), 128 bits in all: the last doubling.
 
 In each round a key is counted with map-side sums, so hot strings meet as one
-row from each task; of rows that are alike one goes on for all.
+row from each task; of rows that are alike one goes on for all. Rows get their
+keys' counts back by two joins: keys with at least one in HOT of all rows are at
+most HOT and go to every task, the rows of the others are shuffled.
 
 Matches never cross documents; the same document may hold both occurrences.
 Defined results: a null text has no bytes; texts under LENGTH bytes are never
-touched; rows equal in id and text count as copies of each other; an empty table
+touched; texts of many scan blocks are looked at whole, a block of windows at a
+time; rows equal in id and text count as copies of each other; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -33,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +49,8 @@ from tessera.llm import scratch
 LENGTH = 400
 HALF = LENGTH // 2
 CELL = 16
+HOT = 1000
+_RUNS = 1 << 14
 _STARTS = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -109,48 +115,72 @@ def _scan(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(run, f"doc_id {kind}, mark long, first long, more int, shift int, core long, outer long")
 
 
+def _with_keys(rows: DataFrame, keys: DataFrame, on: dict[str, str], how: str = "inner") -> DataFrame:
+    """Rows joined with saved keys, whose ``_n`` is the number of rows of each key; hot rows are not shuffled."""
+    total = rows.count()
+    hot = F.col("_n") * HOT >= total
+    match = reduce(lambda x, y: x & y, [F.col(r) == F.col(k) for r, k in on.items()])
+    # Keys that hold a HOT-th of all rows each are HOT at most: a proven bound for the broadcast.
+    few = F.broadcast(keys.where(hot))
+    spread = rows.join(few, match, "left_anti").join(keys.where(~hot), match, how)
+    return rows.join(few, match, how).union(spread).drop(*on.values(), "_n")
+
+
 def _told_apart(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """(settled, going): rows repeated as a whole, and one row for each kind of the rest.
 
     Rows have ``core``, the rank of what their windows have in common, and
     ``outer``, that of all their bytes (null if they have less than their kind).
-    Unique cores leave. ``going`` has ``alone``: whether the row stands for itself only.
+    Unique cores leave. ``going`` has ``alone``: whether the row stands for itself
+    only. The saved ``rows`` are freed.
     """
     cores = (
         rows.groupBy(F.col("core").alias("_core"))
         .agg(F.count(F.lit(1)).alias("_n"), F.min("outer").alias("_low"), F.max("outer").alias("_high"), F.count("outer").alias("_full"))
         .where("_n > 1")
-        .select("_core", (~F.coalesce((F.col("_low") == F.col("_high")) & (F.col("_full") == F.col("_n")), F.lit(False))).alias("_mixed"))
+        .select("_core", "_n", (~F.coalesce((F.col("_low") == F.col("_high")) & (F.col("_full") == F.col("_n")), F.lit(False))).alias("_mixed"))
     )
-    left = scratch.saved(rows.join(cores, F.col("core") == F.col("_core")).drop("_core"), name)
     own = list(rows.columns)
-    mixed = left.where("_mixed").drop("_mixed")
+    left = scratch.saved(_with_keys(rows, scratch.saved(cores, f"{name}-cores"), {"core": "_core"}), name)
+    scratch.free(rows)
+    mixed = left.where("_mixed").select(own)
     kinds = scratch.saved(
         mixed.groupBy("core", F.coalesce("outer", F.xxhash64("doc_id", "mark", "first", "core")).alias("kind"))
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*[c for c in own if c not in ("core", "outer")])).alias("_one"), F.first("outer").alias("outer")),
         f"{name}-kinds",
     )
-    again = kinds.where("n > 1 and outer is not null").select(F.col("core").alias("_core"), F.col("outer").alias("_outer"))
-    settled = left.where("not _mixed").select(own).union(
-        mixed.join(again, (F.col("core") == F.col("_core")) & (F.col("outer") == F.col("_outer")), "left_semi").select(own)
-    )
+    again = kinds.where("n > 1 and outer is not null").select(F.col("core").alias("_core"), F.col("outer").alias("_outer"), F.col("n").alias("_n"))
+    settled = left.where("not _mixed").select(own).union(_with_keys(mixed, again, {"core": "_core", "outer": "_outer"}, "left_semi").select(own))
     going = kinds.select("core", "_one.*", ((F.col("n") == 1) | F.col("outer").isNull()).alias("alone"))
     return settled, going
 
 
 def _with_bytes(going: DataFrame, documents: DataFrame) -> DataFrame:
-    """Adds ``bytes``, the text around the anchor, and ``at``, the place of its first byte."""
+    """Adds ``bytes``, the text around the anchor, and ``at``, the place of its first byte. A text is read once for all its runs."""
     wanted = going.select(
         F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.struct("first", "more", "shift", "core", "alone").alias("_run")
     ).groupBy("_id", "_mark").agg(F.collect_list("_run").alias("_runs"))
     joined = wanted.join(documents, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    data = F.encode("text", "utf-8")
-    anchor = F.col("_r.first") + F.col("_r.shift")
-    at = F.greatest(anchor - HALF, F.lit(0))
-    return (
-        joined.select("doc_id", "mark", data.alias("_data"), F.explode("_runs").alias("_r"))
-        .withColumn("at", at.cast("long"))
-        .select("doc_id", "mark", "_r.*", "at", F.substr("_data", (F.col("at") + 1).cast("int"), (anchor + LENGTH - F.col("at")).cast("int")).alias("bytes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                _, _, data, _ = next(b.chunks(batch.column(2).slice(row, 1)))
+                raw, all_runs = data.tobytes(), batch.column(3)[row].values
+                for low in range(0, len(all_runs), _RUNS):
+                    runs_ = all_runs.slice(low, _RUNS)
+                    first, shift = (runs_.field(n).to_numpy().astype(np.int64) for n in ("first", "shift"))
+                    at = np.maximum(first + shift - HALF, 0)
+                    cut = [raw[s:e] for s, e in zip(at.tolist(), (first + shift + LENGTH).tolist(), strict=True)]
+                    take = pa.array(np.full(len(first), row))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(take), batch.column(1).take(take), *[runs_.field(n) for n in ("first", "more", "shift", "core", "alone")], pa.array(at), pa.array(cut, pa.binary())],
+                        names=["doc_id", "mark", "first", "more", "shift", "core", "alone", "at", "bytes"],
+                    )
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return joined.select("doc_id", "mark", "text", "_runs").mapInArrow(
+        run, f"doc_id {kind}, mark long, first long, more int, shift int, core long, alone boolean, at long, bytes binary"
     )
 
 
@@ -244,11 +274,11 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     """
     settled0, going0 = _told_apart(scratch.saved(_scan(documents), "runs"), "round0")
     around = scratch.saved(_with_bytes(going0, documents), "around")
-    cells = scratch.saved(_cells(around), "cells")
-    settled1, going1 = _told_apart(cells, "round1")
+    settled1, going1 = _told_apart(scratch.saved(_cells(around), "cells"), "round1")
     windows = scratch.saved(_windows(going1, around), "windows")
+    scratch.free(around)
     ranked = windows.groupBy(F.col("r1").alias("_r1"), F.col("r2").alias("_r2")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    settled2 = windows.where("mine").join(ranked, (F.col("r1") == F.col("_r1")) & (F.col("r2") == F.col("_r2")), "left_semi")
+    settled2 = _with_keys(windows, scratch.saved(ranked, "ranked"), {"r1": "_r1", "r2": "_r2"}, "left_semi").where("mine")
     span = lambda d, more: d.select("doc_id", "mark", F.col("first").alias("start"), (F.col("first") + more + LENGTH).alias("end"))
     return span(settled0, F.col("more")).union(span(settled1.where("mine"), F.col("more"))).union(span(settled2, F.lit(0)))
 
