@@ -22,12 +22,16 @@ results; an empty table none; other columns are ignored.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm import bytescan as b
 
 # Globs of the built-in list, over the canonical form.
 DEFAULT_GLOBS: tuple[tuple[str, str], ...] = (
@@ -133,24 +137,25 @@ class Automaton:
         at[at == len(self.alphabet)] = 0
         return np.where(self.alphabet[at] == points, at, len(self.alphabet)).astype(np.intp)
 
-    def run(self, forms: list[str]) -> np.ndarray:
+    def run(self, forms: list[str] | pa.Array) -> np.ndarray:
         """matches[i, p]: whether pattern p matches the whole of forms[i]."""
-        out = np.zeros((len(forms), len(self.last)), dtype=bool)
-        sizes = np.array([len(f) for f in forms])
+        data, at = b.column(forms if isinstance(forms, pa.Array) else pa.array(forms, pa.large_string()))
+        # Code points of all forms, and where each form begins among them.
+        points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+        first = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at]
+        out = np.zeros((len(at) - 1, len(self.last)), dtype=bool)
+        sizes = np.diff(first)
         order = np.argsort(-sizes, kind="stable")
-        points = [np.frombuffer(forms[i].encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for i in order]
-        sizes = sizes[order]
-        state = np.zeros((len(forms), self.words), dtype=np.uint64)
-        open_segment = np.ones(len(forms), dtype=bool)  # no slash read yet
-        n = len(forms)
+        sizes, begins = sizes[order], first[:-1][order]
+        state = np.zeros((len(sizes), self.words), dtype=np.uint64)
+        open_segment = np.ones(len(sizes), dtype=bool)  # no slash read yet
+        n = len(sizes)
         block, width = None, 256
         for at in range(int(sizes[0]) if n else 0):
             n = int(np.searchsorted(-sizes, -at, side="left"))  # rows longer than at
             if at % width == 0:
-                block = np.full((n, width), len(self.alphabet), dtype=np.intp)
-                for r in range(n):
-                    part = points[r][at : at + width]
-                    block[r, : len(part)] = self.classes(part)
+                places = begins[:n, None] + np.arange(at, at + width)
+                block = self.classes(points[np.minimum(places, len(points) - 1)])
             k = block[:n, at % width]
             s = state[:n]
             moved = s << np.uint64(1)
@@ -167,23 +172,14 @@ class Automaton:
         return out
 
 
-def split_url(url: str | None) -> tuple[str, str]:
-    """Host (A-Z in lower case) and path without query and fragment."""
-    if url is None or "://" not in url:
-        return "", ""
-    rest = url.split("://", 1)[1]
-    for i, c in enumerate(rest):
-        if c in "/?#":
-            host, rest = rest[:i], rest[i:]
-            break
-    else:
-        host, rest = rest, ""
-    for mark in "?#":
-        rest = rest.partition(mark)[0]
-    return host.translate(_LOWER), rest
-
+def split_url(url: Column) -> tuple[Column, Column]:
+    """Host (A-Z in lower case) and path without query and fragment; both empty without ``://``."""
+    at = F.position(F.lit("://"), url)
+    rest = F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
+    host = F.regexp_extract(rest, "^[^/?#]*", 0)
+    path = F.regexp_extract(F.substr(rest, F.length(host) + 1), "^[^?#]*", 0)
+    return F.translate(host, string.ascii_uppercase, string.ascii_lowercase), path
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
 SCHEMA = "page_id {kind}, host string, path string, rule string, verdict string, matched string"
 
@@ -199,27 +195,19 @@ def judge(
     """One row a page: page_id, host, path, rule (null if none of ``rules`` fits), verdict, matched glob."""
     parsed = [rule(r) for r in rules] + [glob(v, p) for v, p in globs]
     ranked = sorted(parsed, key=lambda r: (r.rank, -len(r.text), r.verdict != "block", r.text))
+    # The last place is that of a URL which nothing matches.
+    named = [pa.array([f(r) for r in ranked] + [last], pa.string()) for f, last in ((lambda r: r.text if r.rank == 0 else None, None), (lambda r: r.verdict, "allow"), (lambda r: r.text, None))]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Automaton([r.fits for r in ranked])
         for batch in batches:
             for at in range(0, batch.num_rows, STEP_ROWS):
                 part = batch.slice(at, STEP_ROWS)
-                split = [split_url(u) for u in part.column(1).to_pylist()]
-                hits = machine.run([f".{h}{p}" for h, p in split])
-                best = np.where(hits.any(axis=1), hits.argmax(axis=1), -1)
-                won = [ranked[b] if b >= 0 else None for b in best]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([h for h, _ in split], pa.string()),
-                        pa.array([p for _, p in split], pa.string()),
-                        pa.array([r.text if r and r.rank == 0 else None for r in won], pa.string()),
-                        pa.array([r.verdict if r else "allow" for r in won], pa.string()),
-                        pa.array([r.text if r else None for r in won], pa.string()),
-                    ],
-                    names=["page_id", "host", "path", "rule", "verdict", "matched"],
-                )
+                hits = machine.run(part.column(3))
+                won = pa.array(np.where(hits.any(axis=1), hits.argmax(axis=1), len(ranked)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *[n.take(won) for n in named]], names=["page_id", "host", "path", "rule", "verdict", "matched"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(id_col, url_col).mapInArrow(apply, SCHEMA.format(kind=kind))
+    host, path = split_url(F.col(url_col))
+    parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    return parts.withColumn("form", F.concat(F.lit("."), "host", "path")).mapInArrow(apply, SCHEMA.format(kind=kind))
