@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import zlib
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Most labelled rows that a classifier is fitted on.
@@ -17,6 +16,17 @@ def bucket(doc_id: int | None, parts: int) -> int:
     return zlib.crc32(str(doc_id).encode() if doc_id is not None else b"") % parts
 
 
+def part(id_col: str, parts: int) -> Column:
+    """The same as ``bucket`` for a column, in the JVM."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")), F.lit(0)) % parts
+
+
+def _texts(documents: DataFrame, few: DataFrame) -> DataFrame:
+    """The few ids with their text; of rows that share an id, the least text."""
+    rows = documents.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    return rows.groupBy(*few.columns).agg(F.min("text").alias("text")).select("doc_id", "text", *few.columns[1:])
+
+
 def training_sample(documents: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, text and label of at most ``rows`` labelled documents outside the held-out part.
 
@@ -25,17 +35,18 @@ def training_sample(documents: DataFrame, labels: DataFrame, label: str, parts:
     Repeated label rows give one row with the greatest label; a label without a
     document and a null label give none.
     """
-    part = F.crc32(F.col("doc_id").cast("string")) % parts
     few = (
         labels.select("doc_id", F.col(label).cast("double").alias("label"))
-        .where(F.col("label").isNotNull() & (part != held_out))
+        .where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (part("doc_id", parts) != held_out))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
     )
-    return documents.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    return _texts(documents, few)
 
 
-def held_out(ids: pa.Array, parts: int, which: int) -> pa.Array:
-    return pa.array([bucket(i, parts) == which for i in ids.to_pylist()], pa.bool_())
+def unlabelled_sample(documents: DataFrame, parts: int, held_out: int, rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id and text of at most ``rows`` documents of all outside the held-out part, with a label or not: those with the least hash of their id."""
+    ids = documents.select("doc_id").where(F.col("doc_id").isNotNull() & (part("doc_id", parts) != held_out))
+    return _texts(documents, ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct())

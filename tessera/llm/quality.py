@@ -1,14 +1,15 @@
 """Quality by positive-unlabelled learning with the non-negative risk.
 
-Trusted positives are the training rows labelled 1; the whole sample, its labels
-unseen, is the unlabelled web text. No label 0 is used. The share of positives
-is estimated from a first scorer of each half on the other half: the least ratio
+Trusted positives are training rows labelled 1. Unlabelled web text is a seeded
+sample of all documents outside the held-out part, whether they have a label or
+not; no label is looked at there, and no label 0 is used at all. The share of
+positives among it is estimated from a first scorer of each half on the other half: the least ratio
 of unlabelled to positive rows above a threshold. A small network on dense text features then
 minimises ``pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))`` with the logistic loss,
 stepping back where the second term is negative.
 
-Learning sees at most ``rows`` labelled documents outside the held-out part;
-scores cover every whole text. Labels, lang, source and doc_id are not features.
+Learning sees at most ``rows`` positive and ``rows`` unlabelled documents outside
+the held-out part; scores cover every whole text, also one of many scan blocks. Labels, lang, source and doc_id are not features.
 
 Defined results: null and empty texts get the score of a text without words;
 without positive training rows every score is 0.5; repeated rows give repeated
@@ -177,18 +178,16 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
 
 
-def learn_from(x: np.ndarray, label: np.ndarray, fold: np.ndarray) -> tuple[Network, float]:
-    """The network and the prior. Positives are the rows with a positive label, unlabelled are all rows."""
-    p = label > 0
+def learn_from(p: np.ndarray, p_fold: np.ndarray, u: np.ndarray, u_fold: np.ndarray) -> tuple[Network, float]:
+    """The network and the prior, from positive and unlabelled rows, each in one of two folds."""
     found = []
     for k in (0, 1):
-        learn, unseen = fold == k, fold != k
-        if (p & learn).any():
-            first = fit(x[p & learn], x[learn], None, steps=200, rate=0.02, decay=1e-2)
-            found.append((first.raw(x[p & unseen]), first.raw(x[unseen])))
+        if (p_fold == k).any() and (u_fold == k).any():
+            first = fit(p[p_fold == k], u[u_fold == k], None, steps=200, rate=0.02, decay=1e-2)
+            found.append((first.raw(p[p_fold != k]), first.raw(u[u_fold != k])))
     ranks = [np.concatenate(v) for v in zip(*found, strict=True)]
-    prior = estimate_prior(*ranks)
-    return fit(x[p], x, prior), prior
+    prior = estimate_prior(*ranks) if ranks else 0.5
+    return fit(p, u, prior), prior
 
 
 @dataclass(frozen=True)
@@ -203,21 +202,22 @@ class Model:
 
 
 def learn(documents: DataFrame, labels: DataFrame, rows: int = labelled.TRAIN_ROWS) -> Model:
-    sample = labelled.training_sample(documents, labels, "quality", PARTS, HELD_OUT, rows)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, at in b.chunks(batch.column(1)):
                 x = features(data, at)
                 cells = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), cells], names=["doc_id", "label", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), cells], names=["doc_id", "x"])
+
+    def featured(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        got = sample.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+        x = np.stack(got["x"].to_list()) if len(got) else np.zeros((0, len(FEATURES)))
+        return x, np.array([labelled.bucket(f"p{i}", 2) for i in got["doc_id"]], dtype=np.int64)
 
-    got = sample.mapInArrow(run, "doc_id long, label double, x array<double>").toPandas().sort_values("doc_id", kind="stable")
-    if not len(got) or not (got["label"] > 0).any():
+    p = featured(labelled.training_sample(documents, labels.where("quality > 0"), "quality", PARTS, HELD_OUT, rows))
+    if not len(p[0]):
         return Model(None, 0.5)
-    x = np.stack(got["x"].to_list())
-    fold = np.array([labelled.bucket(f"p{i}", 2) for i in got["doc_id"]])
-    return Model(*learn_from(x, got["label"].to_numpy(), fold))
+    return Model(*learn_from(*p, *featured(labelled.unlabelled_sample(documents, PARTS, HELD_OUT, rows))))
 
 
 def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,12 +228,13 @@ def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_co
             parts = [model.score(data, at) for _, _, data, at in b.chunks(batch.column(1))]
             s = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), labelled.held_out(batch.column(0), PARTS, HELD_OUT), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))],
+                [batch.column(0), batch.column(2), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],
             )
 
     kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    held = (labelled.part(id_col, PARTS) == HELD_OUT).alias("held")
+    return documents.select(id_col, text_col, held).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep(documents: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:

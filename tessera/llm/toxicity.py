@@ -13,8 +13,8 @@ scores cover every document. Labels, lang, source and doc_id are not features.
 
 Defined results: null and empty texts get the score of a text without words;
 without training rows of both labels every score is the share of toxic ones, or
-0.5 without any; repeated rows give repeated results; an empty table none; other
-columns are ignored.
+0.5 without any; a text of many scan blocks is scored whole; repeated rows give
+repeated results; an empty table none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -245,9 +245,10 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             parts = [model.score(data, at) for _, _, data, at in b.chunks(batch.column(1))]
             s = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), labelled.held_out(batch.column(0), PARTS, HELD_OUT), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))],
+                [batch.column(0), batch.column(2), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],
             )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    held = (labelled.part("doc_id", PARTS) == HELD_OUT).alias("held")
+    return documents.select("doc_id", "text", held).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
