@@ -7,8 +7,9 @@ case. A document holds an item if some run of its words is within
 The CGK walk embeds a sequence x for 2 * len steps: step j writes x[i] and moves
 i on by a random bit that depends on j and x[i] alone, so two sequences at a
 small edit distance soon walk in step again and differ in few places. Bit
-sampling takes SAMPLES places of an embedding as a key; each of WALKS walks has
-TABLES such keys. Windows start at every word where a match can start: by the
+sampling takes SAMPLES places of an embedding as a key; a walk has TABLES such
+keys, and each class of lengths has as many walks as reach RECALL at the most
+edits that count, by a seeded simulation of the walks themselves. Windows start at every word where a match can start: by the
 q-gram lemma, a run within e edits of n words shares n - Q + 1 - Q * e of the
 item's Q-grams, so windows with fewer grams of any item at all are left out
 without loss. The chance of a common key falls with the number of edits, so an
@@ -21,19 +22,22 @@ bit-parallel matching), over the region of all the item's windows in a run.
 
 Benchmarks are read in blocks of at most BLOCK_ITEMS items of BLOCK_WORDS words
 in all, each one pass over the documents, so what goes to the executors is
-bounded.
+bounded; a Python worker prepares a block once for all its tasks. The driver
+holds eight bytes for each word of the benchmark.
 
 Defined results: null and empty texts hold nothing; a row is judged by its text
 alone, also where its id is null or another row's; items that are null or have
 fewer than Q words are left out; repeated rows and items give repeated results;
-an empty table gives no rows; other columns are ignored.
+a text of many scan blocks is searched whole; an empty table gives no rows;
+``find`` ignores other columns, ``keep`` hands them on whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +50,9 @@ Q = 3
 EDIT_SHARE = 0.2
 #: Target: the share of items at exactly max_edits(n) edits that are found, at every length.
 RECALL = 0.99
-# Walks that reach RECALL by simulation (12 gave 0.988) for the hardest length, one piece of 15 words with 3 edits.
-WALKS, TABLES, SAMPLES = 16, 6, 5
+TABLES, SAMPLES = 6, 5
 PIECE = 8
+_MOST_WALKS, _TRIALS = 64, 4000
 CLASS_RATIO = 1.5
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 500_000
 
@@ -117,6 +121,46 @@ def distance(pattern: np.ndarray, text: np.ndarray) -> int:
     return best
 
 
+def class_of(n: int) -> int:
+    """The class of a piece of n words: keys are made of its first ``size`` words at least."""
+    size = Q
+    while size * CLASS_RATIO <= n:
+        size = int(size * CLASS_RATIO)
+    return size
+
+
+def _edited(words: np.ndarray, edits: int, rnd: np.random.Generator) -> np.ndarray:
+    """The words after so many replaced, deleted and inserted ones, and a tail of others."""
+    out = words.tolist()
+    for kind in rnd.integers(0, 3, edits):
+        at = int(rnd.integers(0, len(out)))
+        if kind == 1 and len(out) > 1:
+            del out[at]
+        else:
+            out[at : at + (kind != 2)] = [int(rnd.integers(1, 1 << 62))]
+    return np.concatenate([np.array(out, dtype=np.uint64), rnd.integers(1, 1 << 62, 2 * len(words), dtype=np.uint64)])
+
+
+@cache
+def walks(size: int) -> int:
+    """The fewest walks that miss half of what RECALL allows of simulated pieces of the class, of each length, at ``max_edits``."""
+    most = 1
+    for n in (n for n in range(size, 2 * PIECE) if class_of(n) == size and max_edits(n)):
+        rnd = np.random.default_rng([size, n])
+        items = rnd.integers(1, 1 << 62, (_TRIALS, n), dtype=np.uint64)
+        texts = [_edited(x, max_edits(n), rnd) for x in items]
+        ends = np.cumsum([len(t) for t in texts])
+        begins, flat = ends - [len(t) for t in texts], np.concatenate(texts)
+        found, k = np.zeros(_TRIALS, dtype=bool), 0
+        while found.mean() < (1 + RECALL) / 2 and k < _MOST_WALKS:
+            mine = keys(embed(items.ravel(), np.arange(_TRIALS) * n, np.arange(1, _TRIALS + 1) * n, 2 * size, k), k, size)
+            for shift in range(max_edits(n) + 1):
+                found |= (keys(embed(flat, begins + shift, ends, 2 * size, k), k, size) == mine).any(axis=1)
+            k += 1
+        most = max(most, k)
+    return most
+
+
 @dataclass
 class Items:
     """A block of items, their grams, their pieces and the pieces' keys."""
@@ -124,6 +168,11 @@ class Items:
     ids: list[int]
     words: list[np.ndarray]
 
+    def __post_init__(self) -> None:
+        self.name = uuid.uuid4().hex
+        # Simulated on the driver, once for all tasks.
+        self.walks = {size: walks(size) for size in {class_of(n) for n in range(Q, 2 * PIECE)}}
+
     def prepare(self) -> Items:
         grams = [np.zeros(0, np.uint64)]
         self.classes: dict[int, list[int]] = {}
@@ -133,10 +182,7 @@ class Items:
             grams.append(b.window_hashes(w, np.array([0, len(w)]), Q)[0])
             at = 0
             for piece in np.array_split(w, max(1, len(w) // PIECE)):
-                size = Q
-                while size * CLASS_RATIO <= len(piece):
-                    size = int(size * CLASS_RATIO)
-                self.classes.setdefault(size, []).append(len(self.pieces))
+                self.classes.setdefault(class_of(len(piece)), []).append(len(self.pieces))
                 self.pieces.append(piece)
                 self.piece_of.append((i, at))
                 at += len(piece)
@@ -148,9 +194,9 @@ class Items:
             flat = np.concatenate([self.pieces[i] for i in members])
             n = np.array([len(self.pieces[i]) for i in members])
             ends = np.cumsum(n)
-            found = np.concatenate([keys(embed(flat, ends - n, ends, 2 * size, k), k, size) for k in range(WALKS)], axis=1)
+            found = np.concatenate([keys(embed(flat, ends - n, ends, 2 * size, k), k, size) for k in range(self.walks[size])], axis=1)
             order = np.argsort(found.ravel(), kind="stable")
-            self.tables[size] = found.ravel()[order], np.repeat(members, WALKS * TABLES)[order]
+            self.tables[size] = found.ravel()[order], np.repeat(members, self.walks[size] * TABLES)[order]
         return self
 
     def hits(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +228,7 @@ class Items:
             for lot in range(0, len(starts), 4096):
                 s = starts[lot : lot + 4096]
                 ends = stop[s]
-                for k in range(WALKS):
+                for k in range(self.walks[size]):
                     found = keys(embed(h, s, ends, 2 * size, k), k, size)
                     lo, hi = np.searchsorted(table, found.ravel()), np.searchsorted(table, found.ravel(), side="right")
                     for c in np.flatnonzero(hi > lo):
@@ -211,6 +257,17 @@ class Items:
         return out
 
 
+_ready: dict[str, Items] = {}
+
+
+def _prepared(items: Items) -> Items:
+    """The block with its tables, kept by a Python worker for its next tasks; one block at a time."""
+    if items.name not in _ready:
+        _ready.clear()
+        _ready[items.name] = items.prepare()
+    return _ready[items.name]
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
     ids: list[int] = []
     words: list[np.ndarray] = []
@@ -238,7 +295,7 @@ def find(
 
     def of(items: Items) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ready = items.prepare()
+            ready = _prepared(items)
             for batch in batches:
                 for i, _, data, at in b.chunks(batch.column(1)):
                     found = ready.search(*word_hashes(data, at))
@@ -264,7 +321,7 @@ def keep(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
     def of(rest: DataFrame, items: Items) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ready = items.prepare()
+            ready = _prepared(items)
             for batch in batches:
                 clean = np.ones(batch.num_rows, dtype=bool)
                 for i, _, data, at in b.chunks(batch.column(batch.schema.get_field_index(text_col))):
