@@ -24,7 +24,8 @@ adaptive execution splits.
 Defined results: a null text stays null; an empty text stays empty; rows equal
 in id and text count as one document and get the same result; documents that
 lose every line are dropped when ``drop_empty`` is set, else have an empty text;
-an empty table gives no rows; other columns are handed on unchanged.
+a text of any length is cut whole; an empty table gives no rows; other columns are
+handed on unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -110,17 +111,18 @@ def remove_repeats(
         .groupBy(F.col("_id").alias("_i"), F.col("_key").alias("_k"))
         .agg(F.collect_set(F.struct("_start", "_end", "_first_text")).alias("_later"))
     )
-    out = documents.withColumn("_key", key).join(
-        later, (F.col("_key") == F.col("_k")) & F.col(id_col).eqNullSafe(F.col("_i")), "left"
-    )
-    out = out.withColumn("_lines", F.split(F.when(F.col("_later").isNotNull(), F.col(text_col)), "\n", -1))
+    # The caller's columns travel in one struct, so that their names cannot clash with those used here.
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    text = F.col("row")[text_col]
+    out = documents.select(row, key.alias("_key")).join(later, (F.col("_key") == F.col("_k")) & F.col("row")[id_col].eqNullSafe(F.col("_i")), "left")
+    out = out.withColumn("_lines", F.split(F.when(F.col("_later").isNotNull(), text), "\n", -1))
     equal = F.filter("_later", lambda c: F.array_join(_slice(c["_start"], c["_end"]), "\n") == c["_first_text"])
     out = out.withColumn("_gone", F.flatten(F.transform(equal, lambda c: F.sequence(c["_start"], c["_end"] - 1))))
     out = out.withColumn("_kept", F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"))
     rebuilt = F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n")
-    done = F.struct(F.when(F.size("_gone") > 0, rebuilt).otherwise(F.col(text_col)).alias("text"), (F.size("_kept") == 0).alias("empty"))
+    done = F.struct(F.when(F.size("_gone") > 0, rebuilt).otherwise(text).alias("text"), (F.size("_kept") == 0).alias("empty"))
     # A generator keeps the filter above it: pushed down, it would bring the whole chunking into each of its terms.
     out = out.withColumn("_done", F.explode(F.array(done)))
     if drop_empty:
         out = out.where(~F.coalesce("_done.empty", F.lit(False)))
-    return out.withColumn(text_col, F.col("_done.text")).select(*documents.columns)
+    return out.select(*[(F.col("_done.text") if c == text_col else F.col("row")[c]).alias(c) for c in documents.columns])
