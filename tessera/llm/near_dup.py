@@ -18,8 +18,10 @@ Links are exact. A pair at the threshold shares a bucket with probability
 Defined results: a null or empty text, or one without words, has an empty set
 and is linked with nothing; rows that share an id and a text share a component;
 a null id is a component of its own row, without id; of rows that share an id
-but not a text, all leave the kept documents if one does; an empty table gives no
-rows; other columns are ignored. Ids are integers.
+but not a text, all leave the kept documents if one does; ties are settled by the
+least id; a text of any length has its whole set; an empty table gives no rows;
+``label`` ignores other columns, ``keep`` hands them on whatever their names. Ids
+are whole numbers; others are refused.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import bytescan as b
 from tessera.llm import graph, scratch
@@ -202,6 +205,8 @@ def classes_and_links(documents: DataFrame, k: int, percent: int) -> tuple[DataF
 
 def label(documents: DataFrame, *, k: int = SHINGLE, percent: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id and kept."""
+    if not isinstance(documents.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"{id_col} must be a column of whole numbers")
     source = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows, classes, roots = classes_and_links(source, k, percent)
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select(
@@ -218,4 +223,7 @@ def label(documents: DataFrame, *, k: int = SHINGLE, percent: int = SIMILARITY,
 def keep(documents: DataFrame, *, k: int = SHINGLE, percent: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that a smaller id of their component stands for."""
     gone = label(documents, k=k, percent=percent, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return documents.join(gone.distinct(), F.col(id_col) == F.col("_gone"), "left_anti")
+    # The caller's columns travel in one struct, so that their names cannot clash.
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    kept = rows.join(gone.distinct(), F.col("row")[id_col] == F.col("_gone"), "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in documents.columns])
