@@ -45,7 +45,9 @@ def encode(df: DataFrame, cfg: EncodeConfig) -> DataFrame:
     """
     out = prepare(df, cfg)
     if isinstance(cfg.template, Adapter):
-        out = cfg.template.rendered(out.drop("ids", "spans", "prompt", "error"))
+        out = cfg.template.rendered(
+            out.drop("ids", "spans", "prompt", "error"), spans=cfg.assistant_only_loss, longest=cfg.max_length if cfg.overlength_policy == "drop" else None
+        )
         out = M.rejected(out, "render_error", F.coalesce(F.col("error") == "render_error", F.lit(False)))
         out = out.withColumn("full_length", F.when(F.col("turns").isNotNull(), F.size("ids")))
         first = F.coalesce(F.col("error") == "assistant_first", F.lit(False))
