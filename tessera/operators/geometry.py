@@ -32,6 +32,23 @@ def attends(segments: Column | str, query: Column, key: Column) -> Column:
     return (F.get(col, query) == F.get(col, key)) & (key <= query)
 
 
+def model_inputs(rows: DataFrame, tokens: str = "input_tokens", mask: str = "input_mask") -> DataFrame:
+    """Adds positions and last_target of rows that hold one example each.
+
+    Places up to the last supervised one count as the text; later places keep
+    its position. A place sees the text's places that are not after it
+    (``attends_unpacked``); all rows of that mask follow from ``last_target``.
+    """
+    places = F.sequence(F.lit(0), F.size(tokens) - 1)
+    out = rows.withColumn("last_target", last_target(mask))
+    return out.withColumn("positions", F.transform(places, lambda p: F.greatest(F.least(p, F.col("last_target")), F.lit(0)).cast("int")))
+
+
+def attends_unpacked(last: Column, query: Column, key: Column) -> Column:
+    """Whether place ``query`` sees place ``key`` of a row whose last supervised place is ``last``."""
+    return (key <= query) & (key <= last)
+
+
 def attention_counts(windows: DataFrame, segments: str = "segment_ids") -> DataFrame:
     """Visible (query, key) pairs of each segment: the triangle of its length, never materialised."""
     sizes = windows.select("window_id", F.explode(segments).alias("segment")).groupBy("window_id", "segment").agg(F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.template import CODE_POINTS, Additive
@@ -35,8 +35,19 @@ def fit_history(df: DataFrame, budget: int, *, system: str | None = None, templa
     )
 
 
+def prompt_tokens(messages: Column, *, system: str | None = None, template: Additive = CODE_POINTS) -> Column:
+    """Length of the render that asks for a reply to the messages, behind an optional system turn."""
+    prefix = [F.struct(F.lit("system").alias("role"), F.lit(system).alias("content"))] if system else []
+    return F.length(template.render(F.concat(F.array(*prefix), messages) if prefix else messages, generate=True))
+
+
+def prompt_rejection(prompt: Column, tokens: Column, budget: int) -> Column:
+    """Why a raw prompt cannot be completed: ``empty_prompt``, ``prompt_too_long``, or null."""
+    return F.when(prompt.isNull() | (F.length(prompt) == 0), "empty_prompt").when(tokens > budget, "prompt_too_long")
+
+
 def check_prompt(tokens: int, budget: int) -> None:
-    """Raw completions need a prompt that is neither empty nor over budget."""
+    """The same rule for one prompt on the driver."""
     if tokens == 0:
         raise ValueError("the prompt is empty")
     if tokens > budget:

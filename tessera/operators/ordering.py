@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
@@ -18,20 +18,53 @@ def draw(seed: int, *parts: Column) -> Column:
     return F.conv(F.substr(F.md5(text), F.lit(1), F.lit(8)), 16, 10).cast("long")
 
 
+#: Up to here the first rows of an order are kept in the tasks that sort; beyond, they are found by their place.
+FEW = 10_000
+
+
+def _nth(df: DataFrame, order: list[str], places: list[int]) -> dict[int, Row]:
+    """The rows at some places of an order, of which only the ordering columns are moved."""
+    found = numbered(df.select(*order), order).where(F.col("position").isin(places)).collect()
+    return {r["position"]: r for r in found}
+
+
+def _at_most(order: list[str], row: Row) -> Column:
+    """Whether a row is not after another in an order with nulls first; the last column tells rows apart."""
+    out = F.lit(True)
+    for name in reversed(order):
+        col, value = F.col(name), row[name]
+        before = F.lit(False) if value is None else col.isNull() | (col < F.lit(value))
+        out = before | (col.eqNullSafe(F.lit(value)) & out)
+    return F.coalesce(out, F.lit(False))
+
+
 def first_n(df: DataFrame, n: int | None, key: str) -> DataFrame:
-    """The first n rows by key; None keeps all."""
-    return df if n is None else df.orderBy(key).limit(n)
+    """The first n rows by key, which tells rows apart; None keeps all. Rows are filtered by the n-th key, not merged in one task."""
+    if n is None:
+        return df
+    if n <= FEW:
+        return df.orderBy(key).limit(n)
+    last = _nth(df, [key], [n - 1])
+    return df.where(_at_most([key], last[n - 1])) if last else df
 
 
 def split(df: DataFrame, fraction: float, key: str, seed: int = 42, eval_cap: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(train, eval): eval has exactly ceil(n * fraction) rows, then at most ``eval_cap``; a zero fraction has none."""
+    """(train, eval): eval has exactly ceil(n * fraction) rows, then at most ``eval_cap``; a zero fraction has none.
+
+    Eval has the least draws. Both halves are filters by the last draw of eval,
+    of which only draws and keys were sorted; ``key`` tells rows apart.
+    """
     if not fraction:
         return df, None
     size = math.ceil(df.count() * fraction)
+    if size == 0:
+        return df, df.limit(0)
     drawn = df.withColumn("_draw", draw(seed, F.col(key)))
-    held = drawn.orderBy("_draw", key).limit(size)
-    train = df.join(held.select(key), key, "left_anti")
-    return train, (held if eval_cap is None else held.orderBy("_draw", key).limit(eval_cap)).drop("_draw")
+    order = ["_draw", key]
+    capped = size if eval_cap is None else min(size, eval_cap)
+    last = _nth(drawn, order, [size - 1, capped - 1])
+    train = drawn.where(~_at_most(order, last[size - 1])).drop("_draw")
+    return train, drawn.where(_at_most(order, last[capped - 1])).drop("_draw")
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:

@@ -10,7 +10,10 @@ windows each.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import accumulate, groupby
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,48 +21,47 @@ from pyspark.sql import functions as F
 from tessera.operators.ordering import numbered
 from tessera.sources import workspace
 
+#: Lengths that one task packs, unless the caller names a number of shards: some hundred megabytes.
+SHARD_ROWS = 1 << 22
 Placement = tuple[int, int, int, int]  # example index, window, segment, offset
 
 
 class Packer:
-    """An ordered pool of open windows. Windows are numbered in the order they are emitted."""
+    """Open windows in the order of their opening. Windows are numbered in the order they are emitted."""
 
     def __init__(self, max_length: int, open_windows: int = 8):
         if open_windows < 1:
             raise ValueError("open_windows must be positive")
         self.max_length, self.open_windows = max_length, open_windows
-        self.pool: list[tuple[list[int], list[tuple[int, int]]]] = []  # [used], members (index, length)
+        self.room: list[int] = []  # free places of each open window
+        self.held: list[list[tuple[int, int]]] = []  # its members (index, length)
         self.emitted = 0
 
     def _emit(self, at: int) -> list[Placement]:
-        _, members = self.pool.pop(at)
-        out, offset = [], 0
-        for segment, (index, size) in enumerate(members, 1):
-            out.append((index, self.emitted, segment, offset))
-            offset += size
-        self.emitted += 1
-        return out
+        del self.room[at]
+        members = self.held.pop(at)
+        offsets = accumulate((size for _, size in members), initial=0)
+        number, self.emitted = self.emitted, self.emitted + 1
+        return [(index, number, segment, offset) for segment, ((index, _), offset) in enumerate(zip(members, offsets, strict=False), 1)]
 
     def add(self, index: int, size: int) -> list[Placement]:
-        """Places an example; gives the window that had to leave the pool, if any."""
+        """Places an example in the first window with room; gives the window that had to leave, if any: the fullest, then oldest."""
         if size > self.max_length:
             raise ValueError(f"example {index} has {size} tokens; a window holds {self.max_length}")
-        out: list[Placement] = []
-        fit = next((w for w in self.pool if w[0][0] + size <= self.max_length), None)
-        if fit is None:
-            if len(self.pool) == self.open_windows:
-                out = self._emit(max(range(len(self.pool)), key=lambda i: (self.pool[i][0][0], -i)))
-            fit = ([0], [])
-            self.pool.append(fit)
-        fit[0][0] += size
-        fit[1].append((index, size))
-        return out
+        fitting = [at for at, room in enumerate(self.room) if size <= room]
+        left: list[Placement] = []
+        if not fitting:
+            if len(self.room) >= self.open_windows:
+                left = self._emit(self.room.index(min(self.room)))
+            fitting = [len(self.room)]
+            self.room.append(self.max_length)
+            self.held.append([])
+        self.room[fitting[0]] -= size
+        self.held[fitting[0]].append((index, size))
+        return left
 
     def flush(self) -> list[Placement]:
-        out: list[Placement] = []
-        while self.pool:
-            out += self._emit(0)
-        return out
+        return [placed for _ in range(len(self.room)) for placed in self._emit(0)]
 
 
 def fold(sizes: Iterable[tuple[int, int]], max_length: int, open_windows: int = 8) -> Iterator[Placement]:
@@ -69,16 +71,20 @@ def fold(sizes: Iterable[tuple[int, int]], max_length: int, open_windows: int =
     yield from packer.flush()
 
 
-def plan(df: DataFrame, max_length: int, *, id_col: str, order: list[str], length_col: str = "unpadded_length", open_windows: int = 8, shards: int = 1) -> DataFrame:
-    """(id, window_id, segment, offset, length): where each example goes. window_id is dense from 0."""
+def plan(df: DataFrame, max_length: int, *, id_col: str, order: list[str], length_col: str = "unpadded_length", open_windows: int = 8, shards: int | None = None) -> DataFrame:
+    """(id, window_id, segment, offset, length): where each example goes. window_id is dense from 0.
+
+    ``shards`` contiguous ranges of the order are packed apart; None makes one
+    for every SHARD_ROWS rows, 1 packs all rows in one exact sequence.
+    """
     if open_windows < 1:
         raise ValueError("open_windows must be positive")
     # Ids, order and lengths are all that planning reads, several times over; encoding runs once for it.
     lengths = workspace.saved(df.select(id_col, *[c for c in order if c != id_col], F.col(length_col).cast("int").alias("length")), "lengths")
-    rows = numbered(lengths, order)
-    total = lengths.agg(F.count(F.lit(1)).alias("_total"))
-    shard = F.floor(F.col("position") * shards / F.greatest(F.col("_total"), F.lit(1))).cast("int")
-    rows = rows.join(F.broadcast(total)).select(F.col(id_col), "position", "length", shard.alias("shard"))
+    total = max(1, lengths.count())
+    shards = shards or -(-total // SHARD_ROWS)
+    shard = F.floor(F.col("position") * shards / F.lit(total)).cast("int")
+    rows = numbered(lengths, order).select(F.col(id_col), "position", "length", shard.alias("shard"))
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -129,3 +135,19 @@ def batches(windows: DataFrame, size: int) -> DataFrame:
     """Adds batch_id to full batches of consecutive windows; window_id is dense, so no ranking is needed."""
     total = windows.agg((F.floor(F.count(F.lit(1)) / size) * size).alias("_full"))
     return windows.join(F.broadcast(total), F.col("window_id") < F.col("_full")).withColumn("batch_id", F.floor(F.col("window_id") / size)).drop("_full")
+
+
+FIELDS = ("input_tokens", "input_mask", "positions", "segment_ids")
+
+
+class BatchReader:
+    """Batches as arrays of (batch, place) by field, the same on every pass; one partition at a time comes to the driver."""
+
+    def __init__(self, batched: DataFrame, fields: tuple[str, ...] = FIELDS, order: str = "window_id"):
+        self.fields = fields
+        self.rows = batched.select("batch_id", order, *fields).orderBy("batch_id", order)
+
+    def __iter__(self) -> Iterator[dict[str, Any]]:
+        for _, rows in groupby(self.rows.toLocalIterator(prefetchPartitions=True), key=lambda r: r["batch_id"]):
+            batch = list(rows)
+            yield {f: np.array([r[f] for r in batch]) for f in self.fields}

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import copy
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.config import epochs
 from tessera.functions.messages import schema_from_config
 from tessera.functions.template import CODE_POINTS, Adapter, Additive
 from tessera.operators import encode as E
@@ -39,15 +40,24 @@ def encode_config(dataset: dict[str, Any], template: Additive | Adapter = CODE_P
     )
 
 
-def build(df: DataFrame, cfg: E.EncodeConfig, *, key: str, batch_size: int, epochs: int = 1, shuffle: bool = True, seed: int = 42, pack: bool = False, shards: int = 1) -> DataFrame:
+def with_recipe(template: Additive | Adapter, config: dict[str, Any]) -> Additive | Adapter:
+    """The template with the recipe's own chat template, which only a tokeniser can read."""
+    text = config["tokenizer"].get("chat_template")
+    if not text:
+        return template
+    if not isinstance(template, Adapter):
+        raise ValueError("tokenizer.chat_template needs a tokeniser: pass an Adapter")
+    return replace(template, chat_template=text)
+
+
+def build(df: DataFrame, cfg: E.EncodeConfig, *, key: str, batch_size: int, epochs: int = 1, shuffle: bool = True, seed: int = 42, pack: bool = False, shards: int | None = None) -> DataFrame:
     """Shuffle, repeat, encode, then pack or pad, then batch; the last short batch is dropped.
 
     Packing joins lengths back with tokens by ``example_id``, unique across epochs.
     """
     rows = ordering.repeated(df, epochs)
     rows = ordering.shuffled(rows, key, seed) if shuffle else rows.withColumn("order_key", F.col(key))
-    encoded = E.kept(E.encode(rows, cfg)).withColumn("example_id", F.struct("epoch", "order_key", key))
-    encoded = encoded.withColumn("example_id", F.concat_ws("/", F.col("epoch").cast("string"), F.col(key).cast("string")))
+    encoded = E.kept(E.encode(rows, cfg)).withColumn("example_id", F.concat_ws("/", F.col("epoch").cast("string"), F.col(key).cast("string")))
     if not pack:
         return ordering.batched(E.dense(encoded, cfg), batch_size, ["epoch", "order_key", key])
     planned = packing.plan(encoded, cfg.max_length, id_col="example_id", order=["epoch", "order_key", "example_id"], shards=shards)
@@ -56,7 +66,11 @@ def build(df: DataFrame, cfg: E.EncodeConfig, *, key: str, batch_size: int, epoc
 
 
 def load(spark: SparkSession, config: dict[str, Any], *, key: str, catalog: corpora.Catalog | None = None, template: Additive | Adapter = CODE_POINTS) -> Built:
-    """Both halves of a recipe's dataset; eval has one epoch, no shuffle, and the same batches and packing."""
+    """Both halves of a recipe's dataset; eval has one epoch, no shuffle, and the same batches and packing.
+
+    ``dataset.pack_shards`` says how many ranges of the rows are packed apart: 1
+    for one exact sequence, null for as many as the number of rows asks for.
+    """
     d = config["dataset"]
     if d.get("name") == "parquet":
         df = corpora.scan_glob(spark, d["data_files"])
@@ -67,10 +81,10 @@ def load(spark: SparkSession, config: dict[str, Any], *, key: str, catalog: corp
     df = ordering.first_n(df, d.get("max_examples"), key)
     seed = d.get("seed", 42)
     train, held = ordering.split(df, d.get("eval_fraction", 0.0), key, seed, d.get("eval_max_examples"))
-    cfg = encode_config(d, template)
-    shared = {"key": key, "batch_size": d["batch_size"], "seed": seed, "pack": d.get("packing", False)}
+    cfg = encode_config(d, with_recipe(template, config))
+    shared = {"key": key, "batch_size": d["batch_size"], "seed": seed, "pack": d.get("packing", False), "shards": d.get("pack_shards")}
     return Built(
-        build(train, cfg, epochs=d.get("num_epochs", 1), **shared),
+        build(train, cfg, epochs=epochs(config), **shared),
         None if held is None else build(held, cfg, shuffle=False, **shared),
     )
 
@@ -85,5 +99,5 @@ def probe(spark: SparkSession, config: dict[str, Any], template: Additive | Adap
     column = d.get("messages_column", "messages")
     kind = f"`{column}` array<struct<`{schema.role_key}`:string,`{schema.content_key}`:string>>"
     row = spark.createDataFrame([([(spelling.get(r, r), c) for r, c in turns],)], kind)
-    block = copy.deepcopy({k: d[k] for k in ("messages_column", "system_prompt", "message_schema") if k in d})
-    return E.encode(row, encode_config(block | {"max_length": 256}, template))
+    block = copy.deepcopy({k: d[k] for k in ("messages_column", "system_prompt", "message_schema", "reasoning_start", "reasoning_end") if k in d})
+    return E.encode(row, encode_config(block | {"max_length": 256}, with_recipe(template, config)))

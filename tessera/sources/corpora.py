@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+import os.path
 from dataclasses import dataclass
-from pathlib import Path
+from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+LOG = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Corpus:
@@ -31,8 +35,21 @@ class Catalog:
         return spark.read.option("pathGlobFilter", corpus.glob).parquet(at)
 
 
+def matching(spark: SparkSession, pattern: str | list[str]) -> int:
+    """Number of files and folders that a pattern matches; a warning for each pattern without any."""
+    jvm, found = spark.sparkContext._jvm, 0
+    for one in [pattern] if isinstance(pattern, str) else pattern:
+        at = jvm.org.apache.hadoop.fs.Path(one)
+        n = len(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or [])
+        if n == 0:
+            LOG.warning("%s matches no file", one)
+        found += n
+    return found
+
+
 def scan_glob(spark: SparkSession, pattern: str | list[str]) -> DataFrame:
     """All matching files are one split; held-out shards have to be kept out by the pattern."""
+    matching(spark, pattern)
     return spark.read.parquet(*([pattern] if isinstance(pattern, str) else pattern))
 
 
@@ -46,16 +63,24 @@ def ordered(df: DataFrame) -> DataFrame:
     return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("order_key"))
 
 
+def place(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Scheme, store and folders of a path, as the file system that it belongs to names it; local links and ``..`` are resolved."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.expanduser(path))
+    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    local = uri.getScheme() == "file"
+    folders = Path(uri.getPath()).resolve().parts if local else PurePosixPath(os.path.normpath(uri.getPath() or "/")).parts
+    return (uri.getScheme(), uri.getAuthority() or "", *folders)
+
+
 def write_guarded(df: DataFrame, path: str, *, protected: list[str], overwrite: bool = False) -> None:
-    """Refuses the root, the home and working folders, protected folders and every folder above these."""
-    if "://" not in path:
-        target = Path(path).expanduser().absolute()
-        for name in [str(Path.home()), str(Path.cwd()), *protected]:
-            at = Path(name).expanduser().absolute()
-            if target == at or target in at.parents:
-                raise ValueError(f"{path} holds {name}; choose another folder")
-        if target == Path(target.anchor):
-            raise ValueError(f"{path} is a root folder")
+    """Refuses roots, the home and working folders, protected folders and every folder above these, however a path spells them."""
+    spark = df.sparkSession
+    target = place(spark, path)
+    if len(target) <= 3:
+        raise ValueError(f"{path} is a root folder")
+    for name in [Path.home().as_uri(), Path.cwd().as_uri(), *protected]:
+        if place(spark, name)[: len(target)] == target:
+            raise ValueError(f"{path} holds {name}; choose another folder")
     df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
 
 

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: dict[str, SparkSession] = {}
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; where that is unset, as in tests, in a temporary one."""
+    """A new path in the folder of spark.checkpoint.dir; where that is unset, in a temporary one if Spark is one local process, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -22,4 +30,15 @@ def saved(frame: DataFrame, name: str) -> DataFrame:
     """The frame, written once as Parquet and read again: later steps don't repeat what made it."""
     path = folder(frame.sparkSession, name)
     frame.write.parquet(path)
+    _made[path] = frame.sparkSession
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+@atexit.register
+def clean() -> None:
+    """Deletes what was saved; results that read it must be written by then."""
+    while _made:
+        path, spark = _made.popitem()
+        with contextlib.suppress(Exception):  # the session may have ended
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

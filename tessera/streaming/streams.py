@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.config import metric_sinks
 from tessera.operators.encode import EncodeConfig, encode, kept
+from tessera.operators.events import stepped_metrics
 from tessera.operators.packing import Packer
 
 LOG = logging.getLogger(__name__)
@@ -40,8 +42,7 @@ def pack_stream(lengths: DataFrame, max_length: int, *, open_windows: int = 8, i
         names: dict[int, tuple[int, int]] = {}
         serial = 0
         if state.exists:
-            pool, names, serial, packer.emitted = pickle.loads(state.get[0])
-            packer.pool = pool
+            packer.room, packer.held, names, serial, packer.emitted = pickle.loads(state.get[0])
         placed = []
         if state.hasTimedOut:
             placed = packer.flush()
@@ -56,7 +57,7 @@ def pack_stream(lengths: DataFrame, max_length: int, *, open_windows: int = 8, i
         for i, *_ in placed:
             del names[i]
         if not state.hasTimedOut:
-            state.update((pickle.dumps((packer.pool, names, serial, packer.emitted)),))
+            state.update((pickle.dumps((packer.room, packer.held, names, serial, packer.emitted)),))
             if idle_ms is not None:
                 state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["shard", "example_id", "window_id", "segment", "offset", "length"])
@@ -93,6 +94,13 @@ def sample_stream(steps: DataFrame, sampler: IntervalSampler, checkpoint: str) -
     return steps.writeStream.foreachBatch(sampler).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def sinks(config: dict[str, Any], factories: dict[str, Callable[[dict[str, Any]], Callable[[DataFrame], None]]]) -> list[Callable[[DataFrame], None]]:
+    """The sinks that a recipe asks for, opened by the factory of their kind; a tracked run gets stepped metrics only."""
+    opened = [(kind, factories[kind](options)) for kind, options in metric_sinks(config)]
+    stepped = lambda sink: lambda batch: sink(stepped_metrics(batch))
+    return [stepped(sink) if kind == "wandb" else sink for kind, sink in opened]
+
+
 def fan_out(batch: DataFrame, sinks: list[Callable[[DataFrame], None]]) -> None:
     """Hands one batch to several metric sinks, read once."""
     held = batch.persist()

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -30,6 +31,7 @@ def as_windows(placed):
 
 
 def test_goldens():
+    # The published cases of the packing rules.
     assert as_windows(packing.fold(enumerate([6, 5, 2]), 8)) == [[0, 2], [1]]
     assert as_windows(packing.fold(enumerate([3, 4, 4]), 6, 2)) == [[1], [0], [2]]
     with pytest.raises(ValueError):
@@ -105,6 +107,37 @@ def test_orders(spark):
     assert ordering.batched(df, 300, ["id"]).groupBy("batch_id").count().orderBy("batch_id").collect()[-1] == (2, 300)
 
 
+def test_large_first_n_and_split(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "FEW", 10)
+    df = spark.range(2000).select((F.col("id") * 7 % 2000).alias("id"), F.lit("x").alias("y")).repartition(5)
+    assert sorted(r.id for r in ordering.first_n(df, 345, "id").collect()) == list(range(345))
+    assert ordering.first_n(df, 5000, "id").count() == 2000
+    plan = ordering.first_n(df, 345, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Exchange" not in plan.replace("Exchange RoundRobin", "")
+    train, held = ordering.split(df, 0.25, "id", 3, 100)
+    assert (train.count(), held.count()) == (1500, 100) and train.columns == held.columns == ["id", "y"]
+    least = sorted(range(2000), key=lambda i: (int(hashlib.md5(f"3:{i}".encode()).hexdigest()[:8], 16), i))
+    assert {r.id for r in held.collect()} == set(least[:100]) and {r.id for r in train.collect()} == set(least[500:])
+    odd = spark.createDataFrame([(None,), (3,), (1,)], "id long")
+    assert [r.id for r in ordering.first_n(odd.union(spark.range(10, 30).toDF("id")), 11, "id").orderBy("id").collect()][:3] == [None, 1, 3]
+
+
+def test_reader(spark):
+    df = examples(spark, [8] * 7)
+    windows = packing.batches(packing.assemble(packing.plan(df, 8, id_col="id", order=["id"]), df, 8, id_col="id"), 3)
+    reader = packing.BatchReader(windows)
+    first, again = list(reader), list(reader)
+    assert len(first) == 2 and first[0]["input_tokens"].shape == (3, 8) and first[1]["input_mask"].dtype == bool
+    assert all((x[f] == y[f]).all() for x, y in zip(first, again, strict=True) for f in packing.FIELDS)
+    assert first[0]["input_tokens"][:, 0].tolist() == [11, 21, 31]
+
+
+def test_unpacked_inputs(spark):
+    df = spark.createDataFrame([([5, 6, 7, 8, 0], [False, True, True, False, False]), ([5, 6], [False, False])], "input_tokens array<int>, input_mask array<boolean>")
+    got = geometry.model_inputs(df).select("last_target", "positions").collect()
+    assert [(r.last_target, r.positions) for r in got] == [(2, [0, 1, 2, 2, 2]), (-1, [0, 0])]
+
+
 def test_geometry(spark):
     df = spark.createDataFrame([([5, 6, 7, 0], [False, True, True, False], [1, 1, 2, 0]), ([5, 6, 0, 0], [False] * 4, [1, 1, 0, 0])], "t array<int>, m array<boolean>, s array<int>")
     got = df.select(geometry.next_tokens("t").alias("n"), geometry.last_target("m").alias("l"), geometry.supervised_targets("m").alias("c"), geometry.attends("s", F.lit(1), F.lit(0)).alias("a"), geometry.attends("s", F.lit(2), F.lit(1)).alias("b")).collect()

@@ -46,7 +46,7 @@ def test_settings_and_steps(tmp_path):
     assert got["max_prompt_length"] == 1024 and got["cache_size"] == 1280 and len(got["prompts"]) == 3 and got["output_path"] == "/tmp/x/transcripts.jsonl"
     with pytest.raises(TypeError):
         C.transcript_settings(recipe(tmp_path, "training.transcripts={temperature: null}"))
-    cfg = recipe(tmp_path, "dataset.num_epochs=3", "training.gradient_accumulation_steps=4")
+    cfg = recipe(tmp_path, "dataset.num_train_epochs=3", "training.gradient_accumulation_steps=4")
     assert C.max_steps(cfg, 100) == 25 * 3 // 4 and C.max_steps(cfg, 1) == 1
     with pytest.raises(ValueError):
         C.max_steps(cfg, None)
@@ -60,7 +60,7 @@ def test_load_from_recipe(spark, tmp_path):
     built = pipeline.load(spark, cfg, key="id")
     sizes = {r["count"] for r in built.train.groupBy("batch_id").count().collect()}
     assert sizes == {4} and sum(r.n_segments for r in built.train.collect()) <= 54
-    cfg["dataset"] |= {"packing": False, "num_epochs": 2}
+    cfg["dataset"] |= {"packing": False, "num_train_epochs": 2}
     built = pipeline.load(spark, cfg, key="id")
     assert built.train.count() == 108 and built.eval.count() == 4
 
@@ -77,14 +77,18 @@ def test_sources(spark, tmp_path):
     assert found.count() == 10 and corpora.shards(found) == 2 and corpora.ordered(found).select("order_key").distinct().count() == 10
     with pytest.raises(ValueError):
         corpora.Catalog({}).scan(spark, "c")
+    assert corpora.matching(spark, [f"{tmp_path}/c/train/*.parquet", f"{tmp_path}/c/*.csv"]) == 2
     for name in ("1500", "1000", "not-a-step"):
         (tmp_path / "k" / name).mkdir(parents=True)
     assert corpora.checkpoint_steps(spark, str(tmp_path / "k")) == [1000, 1500] and corpora.checkpoint_steps(spark, str(tmp_path / "none")) == []
     assert corpora.resolve_step([1], None) is None and corpora.resolve_step([], 5) == 5
     with pytest.raises(ValueError):
         corpora.resolve_step([1, 2], 3)
-    with pytest.raises(ValueError):
-        corpora.write_guarded(found, str(tmp_path), protected=[str(tmp_path / "c")])
+    (tmp_path / "link").symlink_to(tmp_path / "c")
+    above = [str(tmp_path), f"file://{tmp_path}", f"{tmp_path}/k/..", f"{tmp_path}/link", f"file://{tmp_path}/k/../c", "/", "file:///", "~", f"{tmp_path}/../../../../../../root/.."]
+    for name in above:
+        with pytest.raises(ValueError):
+            corpora.write_guarded(found, name, protected=[str(tmp_path / "c")], overwrite=True)
     corpora.write_guarded(found, str(tmp_path / "out"), protected=[str(tmp_path / "c")])
     with pytest.raises(Exception, match="(?i)exists"):
         corpora.write_guarded(found, str(tmp_path / "out"), protected=[])
@@ -176,6 +180,32 @@ def test_fan_out(spark):
     assert got == [3, 3]
 
 
+def test_sinks_of_a_recipe(spark, tmp_path):
+    off = recipe(tmp_path)
+    assert C.wandb_arguments(off) == {"mode": "disabled"} and [k for k, _ in C.metric_sinks(off)] == ["tensorboard"]
+    on = recipe(tmp_path, "training.wandb={enabled: true, tags: [a], notes: null, other: 3}", "training.project_name=p")
+    (_, files), (_, run) = C.metric_sinks(on)
+    assert files == {"log_dir": "/tmp/x/logs", "flush_every_n_steps": 20}
+    assert run == {"project": "p", "name": "sft", "mode": "online", "save_code": True, "tags": ["a"], "dir": "/tmp/x/logs", "config": on}
+    got = {"tensorboard": [], "wandb": []}
+    keeping = lambda kind: lambda options: lambda batch: got[kind].extend(r.event for r in batch.collect())
+    df = spark.createDataFrame([("train/loss", 1), ("jax/x", 1), ("eval/loss", None)], "event string, step long")
+    streams.fan_out(df, streams.sinks(on, {k: keeping(k) for k in got}))
+    assert sorted(got["tensorboard"]) == ["eval/loss", "jax/x", "train/loss"] and got["wandb"] == ["train/loss"]
+
+
+def test_sampling_batch(spark):
+    said = F.udf(lambda text: (text[-14:] + "<think>a</think>b", 4), "text string, n_tokens int")
+    df = spark.createDataFrame([(3, "hi", "<user>hi</user><assistant>")], "step int, prompt string, rendered string")
+    row = transcripts.sample(df, said, max_new_tokens=4).first()
+    assert (row.step, row.prompt, row.completion_chars, row.reasoning_balanced, row.hit_token_cap) == (3, "hi", 31, True, True)
+
+
+def test_prompts(spark):
+    df = spark.createDataFrame([("", 0), ("abc", 3), ("abcd", 4), (None, 0)], "p string, n int")
+    assert [r.why for r in df.select(history.prompt_rejection(F.col("p"), F.col("n"), 3).alias("why")).collect()] == ["empty_prompt", None, "prompt_too_long", "empty_prompt"]
+
+
 def test_stop_ids():
     from tessera.functions.template import stop_ids
 
@@ -203,3 +233,13 @@ def test_doctor(spark, tmp_path):
     good = recipe(tmp_path)
     assert doctor(spark, good) == []
     assert "rejected" in doctor(spark, recipe(tmp_path, "dataset.system_prompt=" + "x" * 300))[0]
+    more = ["dataset.system_prompt=" + "x" * 300, f"dataset.data_files={tmp_path}/none/*.parquet", "training={wandb: {enabled: true}}"]
+    assert len(doctor(spark, recipe(tmp_path, *more))) == 3
+
+
+def test_command_line(spark, tmp_path):
+    from tessera.__main__ import main
+
+    for bad in (["doctor", str(tmp_path / "none.yaml")], ["build", str(tmp_path / "r.yaml"), "--shards", "0", "--out", "x"]):
+        with pytest.raises(SystemExit):
+            main(bad)
