@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import config
 from tessera.functions import messages as M
 from tessera.functions import replies
 from tessera.functions.template import CODE_POINTS, MARKERS
 from tessera.operators import encode as E
 from tessera.operators import events, geometry, history, ordering, packing, stats, transcripts
-from tessera.sources import workspace
+from tessera.sources import corpora, workspace
 from tessera.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -320,28 +321,31 @@ def _plan(spark: SparkSession, sf: str, **more) -> DataFrame:
     return packing.plan(_examples(spark, sf), 8192, id_col="conv_id", order=["conv_id"], **more)
 
 
-def _placed_sql(pool: int) -> str:
-    """First-fit packing as a recursion over examples that carries the pool as lists."""
-    return f"""WITH RECURSIVE k AS ({_encoded_sql(4096, "drop", False)}), x AS (SELECT conv_id, unpadded_length AS size, row_number() OVER (ORDER BY conv_id) AS i FROM k),
-st(i, conv_id, size, used, cid, seg, made, home, segment, start_at, gone) AS (
-  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+def _placed_sql(pool: int, shards: int = 1) -> str:
+    """First-fit packing as a recursion over the examples of each shard that carries the pool as lists."""
+    return f"""WITH RECURSIVE k AS ({_encoded_sql(4096, "drop", False)}),
+n AS (SELECT conv_id, unpadded_length AS size, row_number() OVER (ORDER BY conv_id) - 1 AS p, count(*) OVER () AS total FROM k),
+x AS (SELECT conv_id, size, p * {shards} // total AS sh, row_number() OVER (PARTITION BY p * {shards} // total ORDER BY p) AS i FROM n),
+st(sh, i, conv_id, size, used, cid, seg, made, home, segment, start_at, gone) AS (
+  SELECT DISTINCT CAST(sh AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM x
   UNION ALL
-  SELECT i + 1, conv, l,
+  SELECT sh, i + 1, conv, l,
     CASE WHEN f > 0 THEN list_transform(used, lambda u, n: CASE WHEN n = f THEN u + l ELSE u END) ELSE list_append(CASE WHEN e > 0 THEN list_filter(used, lambda u, n: n <> e) ELSE used END, l) END,
     CASE WHEN f > 0 THEN cid ELSE list_append(CASE WHEN e > 0 THEN list_filter(cid, lambda u, n: n <> e) ELSE cid END, made) END,
     CASE WHEN f > 0 THEN list_transform(seg, lambda u, n: CASE WHEN n = f THEN u + 1 ELSE u END) ELSE list_append(CASE WHEN e > 0 THEN list_filter(seg, lambda u, n: n <> e) ELSE seg END, CAST(1 AS BIGINT)) END,
     CASE WHEN f > 0 THEN made ELSE made + 1 END,
     CASE WHEN f > 0 THEN cid[f] ELSE made END, CASE WHEN f > 0 THEN seg[f] + 1 ELSE 1 END, CASE WHEN f > 0 THEN used[f] ELSE 0 END,
     CASE WHEN f = 0 AND e > 0 THEN cid[e] END
-  FROM (SELECT st.i, st.used, st.cid, st.seg, st.made, x.size AS l, x.conv_id AS conv,
+  FROM (SELECT st.sh, st.i, st.used, st.cid, st.seg, st.made, x.size AS l, x.conv_id AS conv,
       coalesce(list_position(list_transform(st.used, lambda u: u + x.size <= 8192), true), 0) AS f,
       CASE WHEN len(st.used) >= {pool} THEN list_position(st.used, list_max(st.used)) ELSE 0 END AS e
-    FROM st JOIN x ON x.i = st.i + 1) z
+    FROM st JOIN x ON x.sh = st.sh AND x.i = st.i + 1) z
 ), o AS (
-  SELECT gone AS c, i AS a, CAST(0 AS BIGINT) AS b FROM st WHERE gone IS NOT NULL
-  UNION ALL SELECT unnest(cid) AS c, i + 1 AS a, unnest(generate_series(1, len(cid))) AS b FROM (SELECT * FROM st ORDER BY i DESC LIMIT 1) q
-), w AS (SELECT c, row_number() OVER (ORDER BY a, b) - 1 AS window_id FROM o),
-placed AS (SELECT st.conv_id, w.window_id, st.segment, st.start_at AS "offset", st.size AS length FROM st JOIN w ON w.c = st.home)
+  SELECT sh, gone AS c, i AS a, CAST(0 AS BIGINT) AS b FROM st WHERE gone IS NOT NULL
+  UNION ALL SELECT sh, unnest(cid) AS c, i + 1 AS a, unnest(generate_series(1, len(cid))) AS b
+  FROM (SELECT *, row_number() OVER (PARTITION BY sh ORDER BY i DESC) AS back FROM st) q WHERE back = 1
+), w AS (SELECT sh, c, row_number() OVER (ORDER BY sh, a, b) - 1 AS window_id FROM o),
+placed AS (SELECT st.conv_id, w.window_id, st.segment, st.start_at AS "offset", st.size AS length FROM st JOIN w ON w.c = st.home AND w.sh = st.sh)
 """
 
 
@@ -364,21 +368,21 @@ SELECT window_id, CAST(max(segment) AS BIGINT) AS n_segments, md5(string_agg(CAS
 
 @query(f"{_placed_sql(8)} SELECT {_PLACED_COLUMNS} FROM placed")
 def pack_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return _plan(spark, sf).select("conv_id", "window_id", *_long("segment", "offset", "length"))
+    return _plan(spark, sf, shards=1).select("conv_id", "window_id", *_long("segment", "offset", "length"))
 
 
 @query(f"{_placed_sql(2)} SELECT {_PLACED_COLUMNS} FROM placed")
 def pack_pool_eviction(spark: SparkSession, sf: str) -> DataFrame:
-    return _plan(spark, sf, open_windows=2).select("conv_id", "window_id", *_long("segment", "offset", "length"))
+    return _plan(spark, sf, open_windows=2, shards=1).select("conv_id", "window_id", *_long("segment", "offset", "length"))
 
 
-@query()
+@query(f"{_placed_sql(8, 4)} SELECT {_PLACED_COLUMNS} FROM placed")
 def pack_sharded(spark: SparkSession, sf: str) -> DataFrame:
     return _plan(spark, sf, shards=4).select("conv_id", "window_id", *_long("segment", "offset", "length"))
 
 
 def _windows(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.assemble(_plan(spark, sf), _examples(spark, sf), 8192, id_col="conv_id")
+    return packing.assemble(_plan(spark, sf, shards=1), _examples(spark, sf), 8192, id_col="conv_id")
 
 
 @query(_WINDOWS_SQL)
@@ -390,7 +394,7 @@ def pack_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_placed_sql(8)} SELECT CAST(count(DISTINCT window_id) AS BIGINT) AS windows, count(*) AS examples, CAST(sum(length) AS BIGINT) AS tokens, round(sum(length) / (count(DISTINCT window_id) * 8192.0), 9) AS fill FROM placed")
 def pack_fill(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.fill(_plan(spark, sf), 8192).withColumn("fill", F.round("fill", 9))
+    return stats.fill(_plan(spark, sf, shards=1), 8192).withColumn("fill", F.round("fill", 9))
 
 
 @query(f"{_placed_sql(8)}, b AS (SELECT window_id, CAST(max(segment) AS BIGINT) AS n_segments FROM placed GROUP BY window_id) SELECT window_id, CAST(floor(window_id / 4) AS BIGINT) AS batch_id, n_segments FROM b WHERE window_id < (SELECT floor(count(*) / 4) * 4 FROM b)")
@@ -525,35 +529,35 @@ def log_demotion(spark: SparkSession, sf: str) -> DataFrame:
     return events.demoted(df).where("level >= 20").select("event_id", "pathname", F.col("level").cast("long").alias("level"), "level_name")
 
 
-_LAYER = "p_partkey % 28"
 _PATHS = ("attn.q_proj.w", "attn.o_proj.w", "mlp.up_proj.kernel", "attn.k_norm.w", "input_layernorm.w")
 _KEYS = ("self_attn.q_proj", "self_attn.o_proj", "mlp.up_proj", "self_attn.k_norm", "input_layernorm")
 
 
-def _parameters(spark: SparkSession, sf: str) -> DataFrame:
+def _parameters(spark: SparkSession, sf: str, layer: str = "p_partkey % 28") -> DataFrame:
     k = F.col("p_partkey") % 5
     name = F.lit(None).cast("string")
     for i, p in enumerate(_PATHS):
         name = F.when(k == i, p).otherwise(name)
-    path = F.concat(F.lit("layers."), (F.col("p_partkey") % 28).cast("string"), F.lit("."), name)
+    path = F.concat(F.lit("layers."), F.expr(layer).cast("string"), F.lit("."), name)
     return _table(spark, sf, "part").select("p_partkey", events.parameter_key(path, F.lit(3)).alias("key"))
 
 
-_KEYED = "SELECT p_partkey, 'model.layers.' || (" + _LAYER + ") || '.' || CASE p_partkey % 5 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KEYS)) + " END || '.weight' AS key FROM part"
+def _keyed_sql(layer: str = "p_partkey % 28") -> str:
+    return f"SELECT p_partkey, 'model.layers.' || ({layer}) || '.' || CASE p_partkey % 5 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KEYS)) + " END || '.weight' AS key FROM part"
 
 
-@query(_KEYED)
+@query(_keyed_sql())
 def param_key_map(spark: SparkSession, sf: str) -> DataFrame:
     return _parameters(spark, sf)
 
 
-@query(f"WITH k AS ({_KEYED}), b AS (SELECT DISTINCT key FROM k WHERE p_partkey % 3 > 0), x AS (SELECT DISTINCT key FROM k WHERE p_partkey < 60) SELECT 'missing' AS side, key FROM b WHERE key NOT IN (SELECT key FROM x) UNION ALL SELECT 'extra' AS side, key FROM x WHERE key NOT IN (SELECT key FROM b)")
+@query(f"WITH b AS (SELECT DISTINCT key FROM ({_keyed_sql()}) k), x AS (SELECT DISTINCT key FROM ({_keyed_sql('p_size')}) k) SELECT 'missing' AS side, key FROM b WHERE key NOT IN (SELECT key FROM x) UNION ALL SELECT 'extra' AS side, key FROM x WHERE key NOT IN (SELECT key FROM b)")
 def param_key_diff(spark: SparkSession, sf: str) -> DataFrame:
-    df = _parameters(spark, sf)
-    return events.key_difference(df.where("p_partkey % 3 > 0"), df.where("p_partkey < 60"))
+    """Layers numbered by key against layers numbered by size, over all parts."""
+    return events.key_difference(_parameters(spark, sf), _parameters(spark, sf, "p_size"))
 
 
-@query(f"SELECT key, count(*) AS n FROM ({_KEYED}) k GROUP BY key HAVING count(*) > 1")
+@query(f"SELECT key, count(*) AS n FROM ({_keyed_sql()}) k GROUP BY key HAVING count(*) > 1")
 def param_key_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return events.duplicate_keys(_parameters(spark, sf))
 
@@ -565,8 +569,8 @@ def lr_schedule(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT CAST(greatest(1, floor(floor(count(*) / 8) * 3 / 4)) AS BIGINT) AS steps FROM (SELECT DISTINCT conv_id FROM conversations) q")
 def max_steps(spark: SparkSession, sf: str) -> DataFrame:
-    per_epoch = F.floor(F.count(F.lit(1)) / 8)
-    return _ids(spark, sf).agg(F.greatest(F.lit(1), F.floor(per_epoch * 3 / 4)).cast("long").alias("steps"))
+    recipe = {"dataset": {"batch_size": 8, "num_train_epochs": 3}, "training": {"gradient_accumulation_steps": 4}}
+    return spark.createDataFrame([(config.max_steps(recipe, _ids(spark, sf).count()),)], "steps long")
 
 
 @query("SELECT p_partkey, CAST(pow(2, ceil(log2(p_size))) AS BIGINT) AS prompt_length FROM part")
@@ -576,10 +580,16 @@ def prompt_length_pow2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH n AS (SELECT CASE n_nationkey % 3 WHEN 0 THEN CAST(n_nationkey * 500 AS VARCHAR) WHEN 1 THEN n_name ELSE n_nationkey || '-tmp' END AS name FROM nation) SELECT DISTINCT CAST(name AS BIGINT) AS step FROM n WHERE regexp_full_match(name, '[0-9]+')")
 def checkpoint_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Folders named by the nations, of which some are steps; there are as many as nations."""
     k = F.col("n_nationkey")
     name = F.when(k % 3 == 0, (k * 500).cast("string")).when(k % 3 == 1, F.col("n_name")).otherwise(F.concat(k.cast("string"), F.lit("-tmp")))
-    df = _table(spark, sf, "nation").select(name.alias("name")).where(F.col("name").rlike("^[0-9]+$"))
-    return df.select(F.col("name").cast("long").alias("step")).distinct().orderBy("step")
+    root = workspace.folder(spark, "steps")
+    _table(spark, sf, "nation").select(name.alias("name"), F.lit(1).alias("x")).write.partitionBy("name").parquet(root)
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for status in (at := fs(root)).getFileSystem(conf := spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at):
+        folder = status.getPath()
+        folder.getFileSystem(conf).rename(folder, fs(at, folder.getName().removeprefix("name=")))
+    return spark.createDataFrame([(s,) for s in corpora.checkpoint_steps(spark, root)], "step long")
 
 
 @query(_encoded_sql(2048, "drop", False))
@@ -594,14 +604,18 @@ def stream_encode(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(encoded.schema).parquet(out)
 
 
-@query("SELECT event_type, count(*) AS n, CAST(sum(CASE WHEN event_id % 7 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS stepped FROM events GROUP BY event_type")
-def metric_counts(spark: SparkSession, sf: str) -> DataFrame:
-    df = _table(spark, sf, "events")
-    return df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_id") % 7 != 0).alias("stepped"))
+@query(f"{_MASK_SQL}, l AS (SELECT conv_id, coalesce(max(CASE WHEN supervised THEN place END), -1) AS last FROM m GROUP BY conv_id) SELECT conv_id, CAST(last AS BIGINT) AS last_target, CAST(sum(greatest(least(g.i, last), 0)) AS BIGINT) AS position_sum, CAST(sum(least(g.i, last) + 1) AS BIGINT) AS visible FROM l CROSS JOIN (SELECT unnest(generate_series(0, 511)) AS i) g GROUP BY conv_id, last")
+def unpacked_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Positions and visible (query, key) pairs of rows of one example each."""
+    rows = geometry.model_inputs(_masked(spark, sf))
+    places = F.sequence(F.lit(0), F.lit(511))
+    seen = F.aggregate(places, F.lit(0).cast("long"), lambda n, q: n + F.size(F.filter(F.sequence(F.lit(0), F.greatest(F.col("last_target"), F.lit(0))), lambda k: geometry.attends_unpacked(F.col("last_target"), q, k))))
+    total = F.aggregate("positions", F.lit(0).cast("long"), lambda n, p: n + p)
+    return rows.select("conv_id", F.col("last_target").cast("long").alias("last_target"), total.alias("position_sum"), seen.alias("visible"))
 
 
-@query("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS segment, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS seg_offset FROM conversations")
-def segment_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    before = F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return _table(spark, sf, "conversations").select("conv_id", "turn", F.row_number().over(w).cast("long").alias("segment"), F.coalesce(before, F.lit(0)).cast("long").alias("seg_offset"))
+@query(f"WITH {TURNS} SELECT e.conv_id, CAST(total + 11 + {2 * len('system') + 5 + len(SYSTEM)} AS BIGINT) AS tokens, CASE WHEN length(f.text) = 0 THEN 'empty_prompt' WHEN total + 11 + {2 * len('system') + 5 + len(SYSTEM)} > 2000 THEN 'prompt_too_long' END AS reason FROM e JOIN t f ON f.conv_id = e.conv_id AND f.turn = 0")
+def prompt_rejection(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = history.prompt_tokens(F.col("messages"), system=SYSTEM)
+    prompt = F.get("messages", F.lit(0))["content"]
+    return _nested(spark, sf).select("conv_id", tokens.cast("long").alias("tokens"), history.prompt_rejection(prompt, tokens, 2000).alias("reason"))

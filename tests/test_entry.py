@@ -2,10 +2,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = "messages_json messages_invalid span_list encode_drop encode_truncate encode_full_loss loss_mask_tokens shuffle_order fit_history param_key_map length_percentiles".split()
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +24,7 @@ def test_sql_only_for_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_agrees_with_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     cur = duck.execute(entry.oracle_sql()[name])
