@@ -18,8 +18,9 @@ if equal; first occurrences stay, except for lines that are part of a repeat as
 well. Every line that is removed stays at its first place in the corpus.
 
 Hashes are counted without texts; only chunks whose hash repeats carry bytes.
-Joins on a chunk's hash may be skewed: both sides are plain exchanges, which
-adaptive execution splits.
+A chunk that makes up a HOT-th or more of all repeated ones is dealt to as many
+more tasks by a salt: such chunks are at most HOT, which bounds what is broadcast
+of them, and their bytes are repeated at most HOT times more in all.
 
 Defined results: a null text stays null; an empty text stays empty; rows equal
 in id and text count as one document and get the same result; documents that
@@ -33,9 +34,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import scratch
+
 WINDOW = 2
 MASK = 3  # a limit after one line in four, on average
 MIN_LINES = 2
+HOT = 1000
 
 
 def _rolled(at: Column) -> Column:
@@ -92,8 +96,12 @@ def remove_repeats(
         spans.groupBy("_hash")
         .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_id", "_key", "_start", "_end")).alias("_first"))
         .where("_n > 1")
-        .select(F.col("_hash").alias("_h"), "_first")
+        .select(F.col("_hash").alias("_h"), "_first", "_n")
     )
+    repeated = scratch.saved(repeated, "repeated")
+    total = repeated.agg(F.sum("_n").alias("n")).first()["n"] or 1
+    parts = F.ceil(F.col("_n") * HOT / F.lit(total)).cast("int")
+    hot = F.broadcast(repeated.where(F.col("_n") * HOT >= total).select(F.col("_h").alias("_hot"), parts.alias("_parts")))
     # Bytes of the first occurrence of each repeated hash.
     firsts = repeated.select("_h", F.col("_first._id").alias("_id"), F.col("_first._key").alias("_key"), F.col("_first._start").alias("_start"), F.col("_first._end").alias("_end"))
     texts = keyed.select(F.col("_key").alias("_k"), F.col("_id").alias("_i"), "_text")
@@ -103,11 +111,16 @@ def remove_repeats(
         .withColumn("_lines", F.split("_text", "\n", -1))
         .select("_h", F.struct("_id", "_key", "_end").alias("_place"), text_of.alias("_first_text"))
         .dropDuplicates(["_h"])
+        .join(hot, F.col("_h") == F.col("_hot"), "left")
+        .withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+        .drop("_hot", "_parts")
     )
+    salt = F.coalesce(F.pmod(F.xxhash64("_id", "_key", "_start"), F.col("_parts")), F.lit(0)).cast("int")
+    salted = spans.join(hot, F.col("_hash") == F.col("_hot"), "left").withColumn("_salt", salt)
     # The first occurrence has the least start of its document, so what starts before its end is it or overlaps it.
     own = F.struct("_id", "_key").eqNullSafe(F.struct("_place._id", "_place._key")) & (F.col("_start") < F.col("_place._end"))
     later = (
-        spans.join(first_text, (F.col("_hash") == F.col("_h")) & ~own)
+        salted.join(first_text, (F.col("_hash") == F.col("_h")) & (F.col("_salt") == F.col("_s")) & ~own)
         .groupBy(F.col("_id").alias("_i"), F.col("_key").alias("_k"))
         .agg(F.collect_set(F.struct("_start", "_end", "_first_text")).alias("_later"))
     )
