@@ -150,7 +150,9 @@ def classes_and_links(documents: DataFrame, k: int, percent: int) -> tuple[DataF
     )
     classes = scratch.saved(classes, "classes")
     members = classes.select("rep", "n", "mark", F.explode("bands").alias("bucket"))
+    # What is known of buckets is saved: a hot bucket's rows meet it in a broadcast or in a plain exchange, which adaptive execution splits.
     full = members.groupBy(F.col("bucket").alias("_b")).agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("least")).where("size > 1")
+    full = scratch.saved(full, "buckets")
     members = scratch.saved(members.join(full, F.col("bucket") == F.col("_b")).drop("_b"), "members")
 
     wanted = members.groupBy("rep", "mark").agg(F.lit(1).alias("_one"))
@@ -173,6 +175,7 @@ def classes_and_links(documents: DataFrame, k: int, percent: int) -> tuple[DataF
             .agg(F.max_by("label", F.struct("_n", "label")).alias("main"), F.max("_n").alias("n_main"), F.count(F.lit(1)).alias("_labels"))
             .where("_labels > 1")
         )
+        open_ = scratch.saved(open_, "open")
         named = named.join(open_, F.col("bucket") == F.col("_b"))
         if not wide:
             parts = F.ceil(F.col("size") / BLOCK)
