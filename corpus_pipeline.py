@@ -53,8 +53,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
+    """All stages over documents, each written as Parquet and read again; what a stage saved is freed once its result stands."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    others = scratch.tables()
     for name, stage in STAGES[:-1]:
         docs = scratch.saved(stage(spark, docs, sf_dir), name)
+        scratch.clean(keep=others | {docs.scratch_path})
     return STAGES[-1][1](spark, docs, sf_dir)
