@@ -110,10 +110,10 @@ def remove_repeats(
         firsts.join(texts, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")))
         .withColumn("_lines", F.split("_text", "\n", -1))
         .select("_h", F.struct("_id", "_key", "_end").alias("_place"), text_of.alias("_first_text"))
-        .dropDuplicates(["_h"])
         .join(hot, F.col("_h") == F.col("_hot"), "left")
         .withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
         .drop("_hot", "_parts")
+        .dropDuplicates(["_h", "_s"])
     )
     salt = F.coalesce(F.pmod(F.xxhash64("_id", "_key", "_start"), F.col("_parts")), F.lit(0)).cast("int")
     salted = spans.join(hot, F.col("_hash") == F.col("_hot"), "left").withColumn("_salt", salt)
