@@ -52,13 +52,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """P with P[i] = sum of code(data[j]) * base**j over j < i."""
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_CODE[data] * powers(len(data))[0], dtype=np.uint64, out=out[1:])
+def prefix_of(codes: np.ndarray) -> np.ndarray:
+    """P with P[i] = sum of codes[j] * base**j over j < i."""
+    out = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum(codes * powers(len(codes))[0], dtype=np.uint64, out=out[1:])
     return out
 
 
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """``prefix_of`` the codes of bytes."""
+    return prefix_of(_BYTE_CODE[data])
+
+
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end], equal for equal bytes at any place."""
     down = powers(len(prefix))[1]

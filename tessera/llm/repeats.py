@@ -25,6 +25,11 @@ row from each task; of rows that are alike one goes on for all. Rows get their
 keys' counts back by two joins: keys with at least one in HOT of all rows are at
 most HOT and go to every task, the rows of the others are shuffled.
 
+The same rounds run over words (Unit ``WORDS``): they find passages of over 50
+words that stand anywhere else, also where these have fewer than LENGTH bytes.
+Such passages are counted, not removed. Below, a unit's length, anchor, reach and
+cell stand for LENGTH, LENGTH / 2, the offsets of windows around an anchor and CELL.
+
 Matches never cross documents; the same document may hold both occurrences.
 Defined results: a null text has no bytes; texts under LENGTH bytes are never
 touched; texts of many scan blocks are looked at whole, a block of windows at a
@@ -36,6 +41,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -47,14 +53,44 @@ from tessera.llm import bytescan as b
 from tessera.llm import scratch
 
 LENGTH = 400
-HALF = LENGTH // 2
-CELL = 16
+PASSAGE_WORDS = 51
 HOT = 1000
 _RUNS = 1 << 14
 _STARTS = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 
 
+@dataclass(frozen=True)
+class Unit:
+    """What windows are made of: bytes, or words named by their hashes."""
+
+    name: str
+    length: int  # of a window
+    anchor: int  # of the strings among which a window's anchor is chosen
+    cell: int  # offsets from the anchor in a cell
+    kind: type  # of an item
+    least_bytes: int  # of a text with a window
+
+    @property
+    def reach(self) -> int:
+        """The furthest that a window starts before its anchor."""
+        return self.length - self.anchor
+
+    def read(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The items of texts and the first item of each text (n + 1)."""
+        if self.kind is np.uint8:
+            return data, at
+        starts, ends, first = b.words(data, at)
+        return b.hashes(data, starts, ends), first
+
+    def prefix(self, items: np.ndarray) -> np.ndarray:
+        return b.prefix_hash(items) if self.kind is np.uint8 else b.prefix_of(b.mix(items))
+
+
+BYTES = Unit("bytes", LENGTH, LENGTH // 2, 16, np.uint8, LENGTH)
+WORDS = Unit("words", PASSAGE_WORDS, 11, 8, np.uint64, 2 * PASSAGE_WORDS - 1)
+
+
 def _least_in_windows(keys: np.ndarray, width: int) -> np.ndarray:
     """The least of keys[i : i + width] for each i that has as many."""
     n = len(keys) - width + 1
@@ -65,24 +101,24 @@ def _least_in_windows(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def runs(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def runs(items: np.ndarray, at: np.ndarray, unit: Unit = BYTES) -> Iterator[tuple[np.ndarray, ...]]:
     """(row, first window, windows - 1, anchor - first, anchor rank, context rank) of runs, a block of windows at a time.
 
     Windows and anchors count from the start of their text.
     """
-    n = len(data) - LENGTH + 1
+    n = len(items) - unit.length + 1
     for low in range(0, max(0, n), _STARTS):
-        # One window before the block shows whether its first run is new, and runs have at most HALF + 1 windows.
+        # One window before the block shows whether its first run is new, and a run has at most reach + 1 windows.
         high = min(low + _STARTS, n)
-        begin, stop = max(0, low - 1), min(high + HALF + 1, n)
-        prefix = b.prefix_hash(data[begin : stop + LENGTH - 1])
-        places = np.arange(stop - begin + HALF)
-        rank = b.span_hash(prefix, places, places + HALF)
+        begin, stop = max(0, low - 1), min(high + unit.reach + 1, n)
+        prefix = unit.prefix(items[begin : stop + unit.length - 1])
+        places = np.arange(stop - begin + unit.reach)
+        rank = b.span_hash(prefix, places, places + unit.anchor)
         keys = (rank & ~_PLACE) | places.astype(np.uint64)
         starts = np.arange(stop - begin)
-        anchor = (_least_in_windows(keys, HALF + 1) & _PLACE).astype(np.int64)
+        anchor = (_least_in_windows(keys, unit.reach + 1) & _PLACE).astype(np.int64)
         row = np.searchsorted(at, starts + begin, side="right") - 1
-        inside = starts + begin + LENGTH <= at[row + 1]
+        inside = starts + begin + unit.length <= at[row + 1]
         starts, anchor, row = starts[inside], anchor[inside], row[inside]
         if not len(starts):
             continue
@@ -93,15 +129,15 @@ def runs(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         own = (starts[i] + begin >= low) & (starts[i] + begin < high)
         i, j = i[own], j[own]
         first, last, a = starts[i], starts[j], anchor[i]
-        context = b.mix(b.span_hash(prefix, first, last + LENGTH) ^ b.mix((a - first).astype(np.uint64)))
+        context = b.mix(b.span_hash(prefix, first, last + unit.length) ^ b.mix((a - first).astype(np.uint64)))
         yield row[i], first - (at[row[i]] - begin), last - first, a - first, b.mix(rank[a]), context
 
 
-def _scan(documents: DataFrame) -> DataFrame:
+def _scan(documents: DataFrame, unit: Unit) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, _, data, at in b.chunks(batch.column(2)):
-                for row, first, more, shift, rank, context in runs(data, at):
+                for row, first, more, shift, rank, context in runs(*unit.read(data, at), unit):
                     take = pa.array(row + i)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -155,8 +191,8 @@ def _told_apart(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return settled, going
 
 
-def _with_bytes(going: DataFrame, documents: DataFrame) -> DataFrame:
-    """Adds ``bytes``, the text around the anchor, and ``at``, the place of its first byte. A text is read once for all its runs."""
+def _with_items(going: DataFrame, documents: DataFrame, unit: Unit) -> DataFrame:
+    """Adds ``items``, those around the anchor, and ``at``, the place of the first. A text is read once for all its runs."""
     wanted = going.select(
         F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.struct("first", "more", "shift", "core", "alone").alias("_run")
     ).groupBy("_id", "_mark").agg(F.collect_list("_run").alias("_runs"))
@@ -165,29 +201,29 @@ def _with_bytes(going: DataFrame, documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                _, _, data, _ = next(b.chunks(batch.column(2).slice(row, 1)))
-                raw, all_runs = data.tobytes(), batch.column(3)[row].values
+                _, _, data, ends = next(b.chunks(batch.column(2).slice(row, 1)))
+                raw, all_runs, width = unit.read(data, ends)[0].tobytes(), batch.column(3)[row].values, np.dtype(unit.kind).itemsize
                 for low in range(0, len(all_runs), _RUNS):
                     runs_ = all_runs.slice(low, _RUNS)
                     first, shift = (runs_.field(n).to_numpy().astype(np.int64) for n in ("first", "shift"))
-                    at = np.maximum(first + shift - HALF, 0)
-                    cut = [raw[s:e] for s, e in zip(at.tolist(), (first + shift + LENGTH).tolist(), strict=True)]
+                    at = np.maximum(first + shift - unit.reach, 0)
+                    cut = [raw[s * width : e * width] for s, e in zip(at.tolist(), (first + shift + unit.length).tolist(), strict=True)]
                     take = pa.array(np.full(len(first), row))
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(take), batch.column(1).take(take), *[runs_.field(n) for n in ("first", "more", "shift", "core", "alone")], pa.array(at), pa.array(cut, pa.binary())],
-                        names=["doc_id", "mark", "first", "more", "shift", "core", "alone", "at", "bytes"],
+                        names=["doc_id", "mark", "first", "more", "shift", "core", "alone", "at", "items"],
                     )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return joined.select("doc_id", "mark", "text", "_runs").mapInArrow(
-        run, f"doc_id {kind}, mark long, first long, more int, shift int, core long, alone boolean, at long, bytes binary"
+        run, f"doc_id {kind}, mark long, first long, more int, shift int, core long, alone boolean, at long, items binary"
     )
 
 
-def _cells(around: DataFrame) -> DataFrame:
+def _cells(around: DataFrame, unit: Unit) -> DataFrame:
     """One row for each cell that a run's windows lie in.
 
-    Cell c has the windows that start CELL * c .. CELL * c + CELL - 1 bytes before
+    Cell c has the windows that start cell * c .. cell * c + cell - 1 places before
     the anchor. ``first`` and ``more`` are the run's windows in the cell.
     """
 
@@ -197,16 +233,16 @@ def _cells(around: DataFrame) -> DataFrame:
             first, more, shift, core, at = (get[n].to_numpy() for n in ("first", "more", "shift", "core", "at"))
             out: list[tuple[np.ndarray, ...]] = []
             for r in range(batch.num_rows):
-                data = np.frombuffer(get["bytes"][r].as_buffer(), dtype=np.uint8)
-                prefix = b.prefix_hash(data)
+                data = np.frombuffer(get["items"][r].as_buffer(), dtype=unit.kind)
+                prefix = unit.prefix(data)
                 anchor = int(first[r] + shift[r] - at[r])
                 # Offsets of the run's windows before the anchor, and the cells they lie in.
                 far, near = int(shift[r]), int(shift[r] - more[r])
-                c = np.arange(near // CELL, far // CELL + 1)
-                nearest, furthest = c * CELL, np.minimum(c * CELL + CELL - 1, HALF)
-                h_core = b.span_hash(prefix, anchor - nearest, anchor - furthest + LENGTH)
-                full = (anchor - furthest >= 0) & (anchor - nearest + LENGTH <= len(data))
-                lo, hi = np.where(full, anchor - furthest, 0), np.where(full, anchor - nearest + LENGTH, 0)
+                c = np.arange(near // unit.cell, far // unit.cell + 1)
+                nearest, furthest = c * unit.cell, np.minimum(c * unit.cell + unit.cell - 1, unit.reach)
+                h_core = b.span_hash(prefix, anchor - nearest, anchor - furthest + unit.length)
+                full = (anchor - furthest >= 0) & (anchor - nearest + unit.length <= len(data))
+                lo, hi = np.where(full, anchor - furthest, 0), np.where(full, anchor - nearest + unit.length, 0)
                 h_outer = b.span_hash(prefix, lo, hi)
                 key = b.mix(np.full(len(c), np.int64(core[r])).view(np.uint64) ^ b.mix(c.astype(np.uint64) + np.uint64(1)))
                 w_far, w_near = np.minimum(far, furthest), np.maximum(near, nearest)
@@ -227,13 +263,13 @@ def _cells(around: DataFrame) -> DataFrame:
     return around.mapInArrow(run, f"doc_id {kind}, mark long, first long, more int, mine boolean, core long, outer long, anchor long")
 
 
-def _windows(going: DataFrame, around: DataFrame) -> DataFrame:
+def _windows(going: DataFrame, around: DataFrame, unit: Unit) -> DataFrame:
     """(doc_id, mark, first, mine, r1, r2): single windows with the ranks of their halves."""
     cells = going.select(
         F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("anchor").alias("_anchor"),
         F.struct("first", "more", (F.col("alone") & F.col("mine")).alias("mine")).alias("_cell"),
     ).groupBy("_id", "_mark", "_anchor").agg(F.collect_set("_cell").alias("cells"))
-    joined = around.select("doc_id", "mark", "core", "at", "bytes", F.col("first").alias("_first"), F.col("more").alias("_more")).join(
+    joined = around.select("doc_id", "mark", "core", "at", "items", F.col("first").alias("_first"), F.col("more").alias("_more")).join(
         cells, (F.col("mark") == F.col("_mark")) & (F.col("core") == F.col("_anchor")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     )
     # A text may have an anchor's rank more than once; each cell goes with the run it came from.
@@ -244,15 +280,15 @@ def _windows(going: DataFrame, around: DataFrame) -> DataFrame:
             ids, marks, ats = batch.column(0), batch.column(1), batch.column(2).to_numpy()
             rows, places, mine, one, two = [], [], [], [], []
             for r in range(batch.num_rows):
-                data = np.frombuffer(batch.column(3)[r].as_buffer(), dtype=np.uint8)
-                prefix = b.prefix_hash(data)
+                data = np.frombuffer(batch.column(3)[r].as_buffer(), dtype=unit.kind)
+                prefix, half = unit.prefix(data), unit.length // 2
                 for c in batch.column(4)[r].as_py():
                     s = np.arange(c["first"], c["first"] + c["more"] + 1) - ats[r]
                     rows.append(np.full(len(s), r))
                     places.append(s + ats[r])
                     mine.append(np.full(len(s), c["mine"]))
-                    one.append(b.span_hash(prefix, s, s + HALF))
-                    two.append(b.span_hash(prefix, s + HALF, s + LENGTH))
+                    one.append(b.span_hash(prefix, s, s + half))
+                    two.append(b.span_hash(prefix, s + half, s + unit.length))
             if not rows:
                 continue
             take = pa.array(np.concatenate(rows))
@@ -262,61 +298,67 @@ def _windows(going: DataFrame, around: DataFrame) -> DataFrame:
             )
 
     kind = around.schema["doc_id"].dataType.simpleString()
-    return joined.select("doc_id", "mark", "at", "bytes", own.alias("cells")).where(F.size("cells") > 0).mapInArrow(
+    return joined.select("doc_id", "mark", "at", "items", own.alias("cells")).where(F.size("cells") > 0).mapInArrow(
         run, f"doc_id {kind}, mark long, first long, mine boolean, r1 long, r2 long"
     )
 
 
-def repeated_spans(documents: DataFrame) -> DataFrame:
-    """(doc_id, mark, start, end): byte ranges that repeated windows cover; they may overlap.
+def repeated_spans(documents: DataFrame, unit: Unit = BYTES) -> DataFrame:
+    """(doc_id, mark, start, end): ranges of items that repeated windows cover; they may overlap.
 
     ``documents`` has doc_id, mark (a hash of the row) and text.
     """
-    settled0, going0 = _told_apart(scratch.saved(_scan(documents), "runs"), "round0")
-    around = scratch.saved(_with_bytes(going0, documents), "around")
-    settled1, going1 = _told_apart(scratch.saved(_cells(around), "cells"), "round1")
-    windows = scratch.saved(_windows(going1, around), "windows")
+    documents = documents.where(F.octet_length("text") >= unit.least_bytes)
+    settled0, going0 = _told_apart(scratch.saved(_scan(documents, unit), f"{unit.name}-runs"), f"{unit.name}-round0")
+    around = scratch.saved(_with_items(going0, documents, unit), f"{unit.name}-around")
+    settled1, going1 = _told_apart(scratch.saved(_cells(around, unit), f"{unit.name}-cells"), f"{unit.name}-round1")
+    windows = scratch.saved(_windows(going1, around, unit), f"{unit.name}-windows")
     scratch.free(around)
     ranked = windows.groupBy(F.col("r1").alias("_r1"), F.col("r2").alias("_r2")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    settled2 = _with_keys(windows, scratch.saved(ranked, "ranked"), {"r1": "_r1", "r2": "_r2"}, "left_semi").where("mine")
-    span = lambda d, more: d.select("doc_id", "mark", F.col("first").alias("start"), (F.col("first") + more + LENGTH).alias("end"))
+    settled2 = _with_keys(windows, scratch.saved(ranked, f"{unit.name}-ranked"), {"r1": "_r1", "r2": "_r2"}, "left_semi").where("mine")
+    span = lambda d, more: d.select("doc_id", "mark", F.col("first").alias("start"), (F.col("first") + more + unit.length).alias("end"))
     return span(settled0, F.col("more")).union(span(settled1.where("mine"), F.col("more"))).union(span(settled2, F.lit(0)))
 
 
 def remove(documents: DataFrame, *, keep_bytes: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_bytes, spans (maximal removed ranges), kept_sha256 and kept.
+    """One row a document: doc_id, n_bytes, spans (maximal removed ranges), n_passages, kept_sha256 and kept.
 
-    ``kept`` are the bytes that stay (null unless ``keep_bytes``).
+    ``kept`` are the bytes that stay (null unless ``keep_bytes``). ``n_passages``
+    is the number of passages of PASSAGE_WORDS words or more, runs of words
+    ``[^\\x20\\x09-\\x0D]+``, all of whose windows of as many words stand anywhere else.
     """
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     source = documents.select(F.col(id_col).alias("doc_id"), key.alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = [repeated_spans(source, unit).withColumn("unit", F.lit(unit.name)) for unit in (BYTES, WORDS)]
+    of = lambda unit: F.collect_set(F.when(F.col("unit") == unit.name, F.struct("start", "end")))
     spans = (
-        repeated_spans(source.where(F.octet_length("text") >= LENGTH))
+        found[0].union(found[1])
         .groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
-        .agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+        .agg(of(BYTES).alias("spans"), of(WORDS).alias("passages"))
     )
     joined = source.join(spans, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, at in b.chunks(batch.column(1)):
-                sizes, ranges, left, sums = np.diff(at), [], [], []
+                sizes, ranges, passages, left, sums = np.diff(at), [], [], [], []
                 for r in range(j - i):
                     raw = data[at[r] : at[r + 1]].tobytes()
                     merged = _merged(batch.column(2)[i + r])
                     edges = [0, *merged.ravel().tolist(), len(raw)]
                     kept = b"".join(raw[edges[e] : edges[e + 1]] for e in range(0, len(edges), 2))
                     ranges.append([{"start": x, "end": y} for x, y in merged.tolist()])
+                    passages.append(len(_merged(batch.column(3)[i + r])))
                     left.append(kept if keep_bytes else None)
                     sums.append(hashlib.sha256(kept).hexdigest())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(sizes), pa.array(ranges, _SPANS), pa.array(sums, pa.string()), pa.array(left, pa.binary())],
-                    names=["doc_id", "n_bytes", "spans", "kept_sha256", "kept"],
+                    [batch.column(0).slice(i, j - i), pa.array(sizes), pa.array(ranges, _SPANS), pa.array(passages, pa.int64()), pa.array(sums, pa.string()), pa.array(left, pa.binary())],
+                    names=["doc_id", "n_bytes", "spans", "n_passages", "kept_sha256", "kept"],
                 )
 
     kind = documents.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary"
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, schema)
+    schema = f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, n_passages long, kept_sha256 string, kept binary"
+    return joined.select("doc_id", "text", "spans", "passages").mapInArrow(run, schema)
 
 
 def _merged(spans: pa.Scalar) -> np.ndarray:
@@ -336,4 +378,4 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def digest(removed: DataFrame) -> DataFrame:
     gone: Column = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return removed.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return removed.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "n_passages")

@@ -152,3 +152,21 @@ def repeats(rows: list[tuple[int, str | None]], length: int = 400) -> dict[int,
         kept.append(raw[until:])
         out[i] = (len(raw), gone, spans, hashlib.sha256(b"".join(kept)).hexdigest())
     return out
+
+
+def passages(rows: list[tuple[int, str | None]], size: int = 51) -> dict[int, int]:
+    """By id, the runs of words whose windows of ``size`` words all stand anywhere else; windows that overlap or touch make one."""
+    from collections import Counter
+
+    words = {i: WORD.findall(t or "") for i, t in rows}
+    windows = lambda w: [tuple(w[s : s + size]) for s in range(len(w) - size + 1)]
+    seen = Counter(x for w in words.values() for x in windows(w))
+    out = {}
+    for i, w in words.items():
+        until, n = -1, 0
+        for s, x in enumerate(windows(w)):
+            if seen[x] > 1:
+                n += s > until
+                until = s + size
+        out[i] = n
+    return out

@@ -93,6 +93,36 @@ def test_repeats(spark, monkeypatch):
     assert got == brute.repeats(rows)
 
 
+def test_repeated_passages(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "_STARTS", 50)
+    rnd = random.Random(2)
+    text = lambda n: " ".join(rnd.choice("a b c dd ee é 日本 x-y".split()) for _ in range(n))
+    shared = [text(n) for n in (50, 51, 52, 60, 130)]
+    rows = [(i, f"{text(rnd.randint(1, 80))}{rnd.choice(' ' + chr(9) + chr(10))}{rnd.choice(shared)}\n{text(rnd.randint(1, 80))}") for i in range(60)]
+    rows += [(70, None), (71, ""), (72, text(50)), (73, "z " * 120), (74, f"{shared[1]} {text(9)} {shared[4]}"), (75, rows[0][1]), (76, " ".join(shared[4].split()[3:99]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = repeats.digest(repeats.remove(df)).collect()
+    assert {r.doc_id: r.n_passages for r in got} == brute.passages(rows)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.repeats(rows)
+
+
+def test_repeats_in_a_text_of_several_scan_blocks(spark):
+    rnd = random.Random(3)
+    long = "".join(rnd.choice("abcdefghij ") for _ in range(2_300_000))
+    rows = [(1, long[:1_200_000] + long[500:1000] + long[1_200_000:]), (2, long[2_100_000:2_100_450]), (3, "plain")]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.digest(repeats.remove(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {1: (500 + 500 + 450, 3), 2: (450, 1), 3: (0, 0)}
+
+
+def test_hot_keys_are_matched_like_others(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 2)
+    rows = spark.createDataFrame([(i % 7 if i < 300 else 1, i) for i in range(900)], "k int, i int")
+    counts = rows.groupBy(F.col("k").alias("key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 42")
+    for how in ("inner", "left_semi"):
+        got = repeats._with_keys(rows, counts, {"k": "key"}, how)
+        assert got.columns == ["k", "i"] and got.count() == 643 + 5 * 43
+
+
 def test_repeats_of_equal_rows(spark):
     text = "".join(random.Random(1).choice("abc ") for _ in range(500))
     df = spark.createDataFrame([(1, text), (1, text), (None, "short")], "doc_id long, text string")
