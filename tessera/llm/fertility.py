@@ -1,35 +1,52 @@
-"""Quality rules on words and lines, and on how a public tokeniser takes a text.
+"""Quality rules on words and lines, and on how public tokenisers take a text.
 
-Fertility measures, from a vocabulary with byte fallback: characters per token,
-the share of tokens that are single fallback bytes, and the entropy of the
-text's tokens as a share of the greatest for as many tokens. A text is rejected
-outside the bands of its script, the one that most of its letters belong to.
-Words are tokenised one by one, as the vocabulary never joins across white
-space; each distinct word once per block of texts.
+Fertility measures, from each vocabulary: characters per token, the share of
+tokens that are single bytes (fallback bytes where a vocabulary has them), and
+the entropy of the text's tokens as a share of the greatest for as many tokens.
+Words are tokenised one by one, each distinct word once a block of texts.
 
-The vocabulary file is read on the driver and handed to the executors as bytes.
+A text is rejected outside either of two kinds of bands:
+
+* fixed bands of its script, the one that most of its letters belong to, on the
+  first vocabulary: what no text of the script comes near;
+* bands of its language (its script where that is null or absent) and its number
+  of words to the power of two, on every measure of every vocabulary: SPREADS
+  spreads around the median of all documents of the kind that pass all other
+  rules, where a spread is that of a normal law with the same quartiles. Counts
+  cover all documents, in bins of STEP; kinds of under LEAST_DOCS documents have
+  no such bands.
+
+Vocabulary files are read on the driver and handed to the executors as bytes.
 
 Defined results: a null or empty text has no words, so it fails the base rules;
-repeated rows give repeated results; an empty table none; other columns are
-ignored.
+a text of any length is read whole, one word of any length as one; repeated rows
+count as rows of their own and get repeated results; an empty table gives none;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from tessera.llm import bytescan as b
+from tessera.llm import scratch
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+VOCABULARIES = (VOCABULARY, "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+SPREADS = 5.0
+LEAST_DOCS = 50
+STEP = 0.001
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-_CACHED_WORDS = 200_000
 _BLOCK_BYTES = 4 << 20
 
 
@@ -69,7 +86,7 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
 
 
 class Words:
-    """Token ids of words, with a bounded memory of words met before."""
+    """Token ids of words by a sentencepiece model."""
 
     def __init__(self, model: bytes):
         import sentencepiece
@@ -77,19 +94,36 @@ class Words:
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.size = self.pieces.get_piece_size()
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.size)])
-        self.known: dict[bytes, np.ndarray] = {}
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        return self.pieces.encode(words, num_threads=1)
 
     def tokens(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the first index of each word (n + 1)."""
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if len(self.known) + len(new) > _CACHED_WORDS:
-            self.known.clear()
-            new = list(dict.fromkeys(words))
-        for w, ids in zip(new, self.pieces.encode([w.decode("utf-8", "replace") for w in new], num_threads=1), strict=True):
-            self.known[w] = np.array(ids, dtype=np.int32)
-        found = [self.known[w] for w in words]
-        first = np.concatenate([[0], np.cumsum([len(f) for f in found], dtype=np.int64)]).astype(np.int64)
-        return (np.concatenate(found) if found else np.zeros(0, np.int32)), first
+        found = self.encode([w.decode("utf-8", "replace") for w in words])
+        first = np.zeros(len(found) + 1, dtype=np.int64)
+        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=first[1:])
+        return np.fromiter(chain.from_iterable(found), np.int64, int(first[-1])), first
+
+
+class ByteWords(Words):
+    """Token ids of words by a byte-level vocabulary of (token, rank) lines; a word is never split before."""
+
+    def __init__(self, ranks: bytes):
+        import tiktoken
+
+        pairs = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
+        self.pieces = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=pairs, special_tokens={})
+        self.size = max(pairs.values()) + 1
+        self.is_byte = np.zeros(self.size, dtype=bool)
+        self.is_byte[[rank for token, rank in pairs.items() if len(token) == 1]] = True
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        return [self.pieces.encode_ordinary(w) for w in words]
+
+
+def vocabulary(path: str, content: bytes) -> Words:
+    return ByteWords(content) if path.endswith(".tiktoken") else Words(content)
 
 
 def _repeats(tags: np.ndarray) -> np.ndarray:
@@ -111,7 +145,34 @@ def _tag(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return h ^ b.mix(rows.astype(np.uint64) + np.uint64(1))
 
 
-def measure(data: np.ndarray, at: np.ndarray, words: Words) -> dict[str, np.ndarray]:
+def _fertility(words: Words, distinct: list[bytes], pair_row: np.ndarray, pair_word: np.ndarray, times: np.ndarray, chars: np.ndarray, n_rows: int) -> dict[str, np.ndarray]:
+    """n_tokens and the measures of each row, from how often it has each distinct word."""
+    ids, token_first = words.tokens(distinct)
+    per_word = np.diff(token_first)
+    byte_words = b.per_row(words.is_byte[ids], token_first)
+    n_tokens = np.bincount(pair_row, per_word[pair_word] * times, n_rows).astype(np.int64)
+    n_bytes = np.bincount(pair_row, byte_words[pair_word] * times, n_rows)
+    size = per_word[pair_word]
+    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(token_first[pair_word], size)
+    key = np.repeat(pair_row, size) * words.size + ids[place]
+    weight = np.repeat(times, size)
+    order = np.argsort(key, kind="stable")
+    key, weight = key[order], weight[order]
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    counts = np.add.reduceat(weight, cut).astype(np.float64) if len(cut) else np.zeros(0)
+    count_rows = key[cut] // words.size
+    share = counts / np.maximum(n_tokens[count_rows], 1)
+    entropy = np.bincount(count_rows, -share * np.log2(share), n_rows)
+    return {
+        "n_tokens": n_tokens,
+        "chars_per_token": chars / np.maximum(n_tokens, 1),
+        "byte_share": n_bytes / np.maximum(n_tokens, 1),
+        "entropy_share": entropy / np.maximum(np.log2(np.maximum(n_tokens, 2)), 1e-9),
+    }
+
+
+def measure(data: np.ndarray, at: np.ndarray, words: Words, *others: Words) -> dict[str, np.ndarray]:
+    """Counts, measures (of further vocabularies with their number) and the verdict of the fixed bands, for each text."""
     n_rows = len(at) - 1
     starts, ends, first = b.words(data, at)
     n = np.diff(first)
@@ -140,32 +201,16 @@ def measure(data: np.ndarray, at: np.ndarray, words: Words) -> dict[str, np.ndar
         "n_repeat_words": b.per_row(covered[: len(h)], first),
     }
     out["base_failed"] = (n < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
-    # Tokens, each distinct word of the block once.
+    # Each distinct word of the block is tokenised once.
     _, where, which = np.unique(h, return_index=True, return_inverse=True)
     raw = data.tobytes()
-    ids, token_first = words.tokens([raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
-    per_word = np.diff(token_first)
-    byte_words = b.per_row(words.is_byte[ids], token_first)
-    n_tokens = b.per_row(per_word[which], first)
-    n_bytes = b.per_row(byte_words[which], first)
-    # Entropy from the counts of (row, distinct word), expanded to tokens.
+    distinct = [raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+    # Counts of (row, distinct word), from which the counts of tokens follow.
     pair, times = np.unique(rows.astype(np.int64) * max(1, len(where)) + which, return_counts=True)
     pair_row, pair_word = pair // max(1, len(where)), pair % max(1, len(where))
-    size = per_word[pair_word]
-    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(token_first[pair_word], size)
-    key = np.repeat(pair_row, size) * words.size + ids[place]
-    weight = np.repeat(times, size)
-    order = np.argsort(key, kind="stable")
-    key, weight = key[order], weight[order]
-    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    counts = np.add.reduceat(weight, cut).astype(np.float64) if len(cut) else np.zeros(0)
-    count_rows = key[cut] // words.size
-    share = counts / np.maximum(n_tokens[count_rows], 1)
-    entropy = np.bincount(count_rows, -share * np.log2(share), n_rows)
-    out["n_tokens"] = n_tokens
-    out["chars_per_token"] = chars / np.maximum(n_tokens, 1)
-    out["byte_share"] = n_bytes / np.maximum(n_tokens, 1)
-    out["entropy_share"] = entropy / np.maximum(np.log2(np.maximum(n_tokens, 2)), 1e-9)
+    for k, words in enumerate((words, *others)):
+        got = _fertility(words, distinct, pair_row, pair_word, times, chars, n_rows)
+        out |= {name if k == 0 else f"{name}_{k + 1}": values for name, values in got.items()}
     scripts = np.stack([b.per_row(_SCRIPT[data] == k, at) for k in range(len(_SCRIPTS))])
     script = scripts.argmax(axis=0)
     script[scripts.sum(axis=0) == 0] = len(_SCRIPTS) - 1
@@ -183,31 +228,63 @@ def _window_shift(first: np.ndarray, gram_rows: np.ndarray) -> np.ndarray:
     return (first[:-1] - (np.cumsum(per) - per))[gram_rows]
 
 
-_LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_DOUBLES = ("chars_per_token", "byte_share", "entropy_share")
-
-
-def rules(documents: DataFrame, *, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: the counts, base_failed, kept, the fertility measures and the script."""
-    model = Path(vocabulary).read_bytes()
+_LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")
+_MEASURES = ("chars_per_token", "byte_share", "entropy_share")
+
+
+def _bands(measured: DataFrame, names: list[str]) -> DataFrame:
+    """(_kind, _size, _measure, _low, _high) of each kind of text, from all documents that pass the other rules."""
+    values = F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.round(F.col(n) / STEP).cast("long").alias("bin")) for n in names]))
+    bins = measured.where("kept").select("_kind", "_size", values.alias("_v")).groupBy("_kind", "_size", "_v.measure", "_v.bin").agg(F.count(F.lit(1)).alias("n"))
+    # A group has as many rows as bins at most, whatever the number of documents.
+    group = Window.partitionBy("_kind", "_size", "measure")
+    up_to = F.sum("n").over(group.orderBy("bin"))
+    quartile = lambda q: F.min(F.when(F.col("up_to") >= F.col("total") * q, F.col("bin"))).alias(f"q{round(q * 4)}")
+    found = (
+        bins.withColumns({"up_to": up_to, "total": F.sum("n").over(group)})
+        .where(F.col("total") >= LEAST_DOCS)
+        .groupBy("_kind", "_size", "measure")
+        .agg(quartile(0.25), quartile(0.5), quartile(0.75))
+    )
+    # The quartiles of a normal law are 1.349 spreads apart.
+    reach = F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(1.0)) * SPREADS
+    limits = F.struct("measure", ((F.col("q2") - reach) * STEP).alias("low"), ((F.col("q2") + reach) * STEP).alias("high"))
+    return found.groupBy(F.col("_kind").alias("_k"), F.col("_size").alias("_s")).agg(F.collect_list(limits).alias("_limits"))
+
+
+def rules(documents: DataFrame, *, vocabularies: tuple[str, ...] = VOCABULARIES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row a document: the counts, base_failed, kept, the measures of each vocabulary and the script."""
+    files = [(path, Path(path).read_bytes()) for path in vocabularies]
+    names = [m if k == 0 else f"{m}_{k + 1}" for k in range(len(files)) for m in _MEASURES]
+    columns = [*_LONGS, "base_failed", "kept", *names, "script"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(model)
+        words = [vocabulary(*f) for f in files]
         for batch in batches:
-            for i, j, data, at in b.chunks(batch.column(1), _BLOCK_BYTES):
-                m = measure(data, at, words)
+            for i, j, data, at in b.chunks(batch.column(2), _BLOCK_BYTES):
+                m = measure(data, at, *words)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
+                        batch.column(1).slice(i, j - i),
                         *[pa.array(m[c].astype(np.int64)) for c in _LONGS],
                         pa.array(m["base_failed"]),
                         pa.array(m["kept"]),
-                        *[pa.array(m[c].astype(np.float64)) for c in _DOUBLES],
+                        *[pa.array(m[c].astype(np.float64)) for c in names],
                         pa.array([_SCRIPTS[k] for k in m["script"]], pa.string()),
                     ],
-                    names=["doc_id", *_LONGS, "base_failed", "kept", *_DOUBLES, "script"],
+                    names=["doc_id", "_kind", *columns],
                 )
 
     kind = documents.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, {', '.join(f'{c} long' for c in _LONGS)}, base_failed boolean, kept boolean, {', '.join(f'{c} double' for c in _DOUBLES)}, script string"
-    return documents.select(id_col, text_col).mapInArrow(run, schema)
+    types = [f"{c} long" for c in _LONGS] + ["base_failed boolean", "kept boolean"] + [f"{c} double" for c in names] + ["script string"]
+    lang = F.col(lang_col).cast("string") if lang_col in documents.columns else F.lit(None).cast("string")
+    rows = documents.select(F.col(id_col), lang.alias("_kind"), text_col).mapInArrow(run, f"doc_id {kind}, _kind string, {', '.join(types)}")
+    size = F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int")
+    rows = scratch.saved(rows.withColumns({"_kind": F.coalesce("_kind", F.concat(F.lit("script "), "script")), "_size": size}), "measured")
+    bands = scratch.saved(_bands(rows, names), "bands")
+    value = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])
+    inside = F.forall("_limits", lambda x: value[x["measure"]].between(x["low"], x["high"]))
+    # Kinds of text are a small table, which Spark broadcasts by its size; hot kinds are split where it does not.
+    judged = rows.join(bands, (F.col("_kind") == F.col("_k")) & (F.col("_size") == F.col("_s")), "left")
+    return judged.withColumn("kept", F.col("kept") & F.coalesce(inside, F.lit(True))).select("doc_id", *columns)

@@ -112,6 +112,38 @@ def test_fertility_of_scripts():
         assert np.isclose(m["entropy_share"][i], -(share * np.log2(share)).sum() / np.log2(len(ids)))
 
 
+def test_byte_level_vocabulary():
+    words = fertility.vocabulary(fertility.VOCABULARIES[1], open(fertility.VOCABULARIES[1], "rb").read())
+    said = [b"the", "日本語".encode(), b"x" * 50_000, "é".encode()]
+    ids, first = words.tokens(said)
+    assert [words.pieces.decode_bytes(ids[i:j].tolist()) for i, j in zip(first, first[1:], strict=False)] == said
+    assert words.tokens([])[0].shape == (0,) and words.is_byte.sum() == 256
+
+
+def test_bands_of_all_documents(spark):
+    rnd = random.Random(9)
+    plain = "the house by old river was quiet in light of morning and people came to see what it had been".split()
+    junk = ["".join(rnd.choices("etaoinshr", k=6)) for _ in range(99)]
+    rows = [(i, " ".join(rnd.choices(plain, k=rnd.randint(60, 200))), "en" if i % 3 else None) for i in range(600)]
+    rows += [(1000 + i, " ".join(rnd.choices(junk, k=150)), "en") for i in range(12)] + [(2000, "word " * 10, "en"), (2001, None, "en"), (2002, " ".join(rnd.choices(junk, k=150)), "rare")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = {r.doc_id: r for r in fertility.rules(df).collect()}
+    assert not any(got[1000 + i].kept for i in range(12)) and got[2002].kept and not got[2000].kept and not got[2001].kept
+    # The same verdicts from sorted values.
+    names = [m + n for n in ("", "_2") for m in ("chars_per_token", "byte_share", "entropy_share")]
+    kinds = {i: (lang or f"script {got[i].script}", int(np.log2(max(1, got[i].n_words)))) for i, _, lang in rows}
+    script_ok = {r.doc_id: r.kept for r in fertility.rules(df.withColumn("lang", F.col("doc_id").cast("string"))).collect()}
+    for i, r in got.items():
+        peers = [got[k] for k in got if kinds[k] == kinds[i] and script_ok[k]]
+        want = script_ok[i]
+        for n in names if len(peers) >= fertility.LEAST_DOCS else ():
+            bins = sorted(int(np.floor(p[n] / fertility.STEP + 0.5)) for p in peers)
+            q1, q2, q3 = (bins[int(np.ceil(len(bins) * q)) - 1] for q in (0.25, 0.5, 0.75))
+            reach = max((q3 - q1) / 1.349, 1) * fertility.SPREADS
+            want &= (q2 - reach) * fertility.STEP <= r[n] <= (q2 + reach) * fertility.STEP
+        assert r.kept == want, i
+
+
 def as_pattern(p):
     return re.compile("".join({"**": "(?s:.*)", "*": "[^/]*"}.get(x, re.escape(x)) for x in re.findall(r"\*\*|\*|[^*]", p)) + r"\Z")
 
