@@ -35,7 +35,7 @@ a text of many scan blocks is searched whole; an empty table gives no rows;
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache, reduce
 
@@ -45,6 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bytescan as b
+from tessera.llm.rows import filtered
 
 Q = 3
 EDIT_SHARE = 0.2
@@ -320,14 +321,17 @@ def keep(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     """The rows that hold no item, with all their columns; ids play no part."""
 
     def of(rest: DataFrame, items: Items) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def make() -> Callable[[pa.Array], np.ndarray]:
             ready = _prepared(items)
-            for batch in batches:
-                clean = np.ones(batch.num_rows, dtype=bool)
-                for i, _, data, at in b.chunks(batch.column(batch.schema.get_field_index(text_col))):
-                    clean[[i + r for r, _, _ in ready.search(*word_hashes(data, at))]] = False
-                yield batch.filter(pa.array(clean))
 
-        return rest.mapInArrow(run, documents.schema)
+            def clean(column: pa.Array) -> np.ndarray:
+                out = np.ones(len(column), dtype=bool)
+                for i, _, data, at in b.chunks(column):
+                    out[[i + r for r, _, _ in ready.search(*word_hashes(data, at))]] = False
+                return out
+
+            return clean
+
+        return filtered(rest, text_col, make)
 
     return reduce(of, _blocks(benchmark, "item_id", text_col), documents)

@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import scratch
+from tessera.llm import rows, scratch
 
 WINDOW = 2
 MASK = 3  # a limit after one line in four, on average
@@ -125,9 +125,8 @@ def remove_repeats(
         .agg(F.collect_set(F.struct("_start", "_end", "_first_text")).alias("_later"))
     )
     # The caller's columns travel in one struct, so that their names cannot clash with those used here.
-    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
     text = F.col("row")[text_col]
-    out = documents.select(row, key.alias("_key")).join(later, (F.col("_key") == F.col("_k")) & F.col("row")[id_col].eqNullSafe(F.col("_i")), "left")
+    out = documents.select(rows.as_struct(documents), key.alias("_key")).join(later, (F.col("_key") == F.col("_k")) & F.col("row")[id_col].eqNullSafe(F.col("_i")), "left")
     out = out.withColumn("_lines", F.split(F.when(F.col("_later").isNotNull(), text), "\n", -1))
     equal = F.filter("_later", lambda c: F.array_join(_slice(c["_start"], c["_end"]), "\n") == c["_first_text"])
     out = out.withColumn("_gone", F.flatten(F.transform(equal, lambda c: F.sequence(c["_start"], c["_end"] - 1))))
@@ -138,4 +137,4 @@ def remove_repeats(
     out = out.withColumn("_done", F.explode(F.array(done)))
     if drop_empty:
         out = out.where(~F.coalesce("_done.empty", F.lit(False)))
-    return out.select(*[(F.col("_done.text") if c == text_col else F.col("row")[c]).alias(c) for c in documents.columns])
+    return rows.restored(out, documents.columns, **{text_col: F.col("_done.text")})

@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 from tessera.llm import bytescan as b
 from tessera.llm import graph, scratch
 from tessera.llm import sketch as sk
+from tessera.llm.rows import as_struct, restored
 
 SHINGLE, SIMILARITY = 5, 80
 BLOCK, WIDE_BLOCK = 128, 512
@@ -227,6 +228,5 @@ def keep(documents: DataFrame, *, k: int = SHINGLE, percent: int = SIMILARITY, i
     """The documents without those that a smaller id of their component stands for."""
     gone = label(documents, k=k, percent=percent, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias("_gone"))
     # The caller's columns travel in one struct, so that their names cannot clash.
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
-    kept = rows.join(gone.distinct(), F.col("row")[id_col] == F.col("_gone"), "left_anti")
-    return kept.select(*[F.col("row")[c].alias(c) for c in documents.columns])
+    kept = documents.select(as_struct(documents)).join(gone.distinct(), F.col("row")[id_col] == F.col("_gone"), "left_anti")
+    return restored(kept, documents.columns)

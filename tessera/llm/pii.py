@@ -34,6 +34,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.rows import as_struct, restored
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 CONTEXT_CHARS = 40
 THRESHOLD = 0.6
@@ -218,7 +220,6 @@ def redact(documents: DataFrame, found: DataFrame, *, id_col: str = "doc_id", te
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1))
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
-    joined = rows.join(spans, F.col("row")[id_col].eqNullSafe(F.col("_id")), "left")
+    joined = documents.select(as_struct(documents)).join(spans, F.col("row")[id_col].eqNullSafe(F.col("_id")), "left")
     clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", zero, step, rest)).otherwise(text)
-    return joined.select(*[(clean if c == text_col else F.col("row")[c]).alias(c) for c in documents.columns])
+    return restored(joined, documents.columns, **{text_col: clean})

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm import bytescan as b
 from tessera.llm import labelled
+from tessera.llm.rows import filtered
 
 PARTS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -124,6 +125,27 @@ def _sigmoid(f: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
 
 
+def risk(f: np.ndarray, is_p: np.ndarray, prior: float) -> tuple[float, float]:
+    """(risk of positives as positive, risk of negatives): the second, from unlabelled less positive rows, may fall below zero."""
+    as_positive, as_negative = np.logaddexp(0, -f), np.logaddexp(0, f)
+    return prior * as_positive[is_p].mean(), as_negative[~is_p].mean() - prior * as_negative[is_p].mean()
+
+
+def slopes(f: np.ndarray, is_p: np.ndarray, prior: float | None) -> np.ndarray:
+    """Derivatives by each raw score of what a step lowers.
+
+    That is the sum of both risks, or minus the second alone where it is below
+    zero; without a prior, the mean loss of either kind of row.
+    """
+    s = _sigmoid(f)  # log(1 + exp(f)) has the derivative s, log(1 + exp(-f)) has s - 1
+    n_p, n_u = max(1, int(is_p.sum())), max(1, int((~is_p).sum()))
+    if prior is None:
+        return np.where(is_p, (s - 1) / n_p, s / n_u)
+    if risk(f, is_p, prior)[1] < 0:
+        return np.where(is_p, prior * s / n_p, -s / n_u)
+    return np.where(is_p, -prior / n_p, s / n_u)
+
+
 def fit(p: np.ndarray, u: np.ndarray, prior: float | None, *, steps: int = 1200, rate: float = 0.05, decay: float = 1e-5, seed: int = 5) -> Network:
     """Non-negative risk minimisation; without a prior, plain separation of p from u.
 
@@ -140,17 +162,7 @@ def fit(p: np.ndarray, u: np.ndarray, prior: float | None, *, steps: int = 1200,
     for step in range(1, steps + 1):
         a = np.tanh(z @ theta[0] + theta[1])
         f = a @ theta[2] + theta[3][0]
-        s = _sigmoid(f)
-        # Derivatives of log(1 + exp(-f)) and of log(1 + exp(f)) are s - 1 and s.
-        if prior is None:
-            d = np.where(is_p, (s - 1) / max(1, len(p)), s / max(1, len(u)))
-        else:
-            loss = np.logaddexp(0, f)
-            negative = loss[~is_p].mean() - prior * loss[is_p].mean()
-            if negative >= 0:
-                d = np.where(is_p, prior * (s - 1) / len(p) - prior * s / len(p), s / len(u))
-            else:
-                d = np.where(is_p, prior * s / len(p), -s / len(u))
+        d = slopes(f, is_p, prior)
         da = np.outer(d, theta[2]) * (1 - a * a)
         grads = [z.T @ da + decay * theta[0], da.sum(0), a.T @ d + decay * theta[2], np.array([d.sum()])]
         for i, g in enumerate(grads):
@@ -240,11 +252,7 @@ def score(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_co
 def keep(documents: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """The rows whose text scores at least THRESHOLD, with all their columns."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text_col))
-            parts = [model.score(data, at) for _, _, data, at in b.chunks(column)]
-            s = np.concatenate(parts) if parts else np.zeros(0)
-            yield batch.filter(pa.array(s >= THRESHOLD))
+    def high(column: pa.Array) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *[model.score(data, at) for _, _, data, at in b.chunks(column)]]) >= THRESHOLD
 
-    return documents.mapInArrow(run, documents.schema)
+    return filtered(documents, text_col, lambda: high)

@@ -100,6 +100,26 @@ OP1_SQL = OP1_SQL.format(
 )
 
 
+# Pairs of neighbouring lines with text (and the blank lines between them) that stand earlier go; doc_id is unique.
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE contains(text, chr(10))),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM d),
+t AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM l WHERE regexp_matches(line, '[^ 	-]')),
+s AS (SELECT t.doc_id, t.i, t.j, array_to_string(list_slice(d.ls, t.i + 1, t.j + 1), chr(10)) AS body FROM t JOIN d ON d.doc_id = t.doc_id WHERE t.j IS NOT NULL),
+f AS (SELECT body, min(struct_pack(doc_id := doc_id, i := i, j := j)) AS first FROM s GROUP BY body HAVING count(*) > 1),
+r AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, j)) AS i
+  FROM (SELECT s.* FROM s JOIN f ON f.body = s.body WHERE NOT (s.doc_id = f.first.doc_id AND s.i <= f.first.j)) z
+), k AS (
+  SELECT l.doc_id, coalesce(string_agg(CASE WHEN r.i IS NULL THEN l.line END, chr(10) ORDER BY l.i), '') AS kept, count(r.i) AS gone
+  FROM l LEFT JOIN r ON r.doc_id = l.doc_id AND r.i = l.i GROUP BY l.doc_id
+), o AS (
+  SELECT documents.doc_id, CASE WHEN k.gone > 0 THEN k.kept ELSE documents.text END AS text FROM documents LEFT JOIN k ON k.doc_id = documents.doc_id
+)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars_kept, sha256(text) AS text_sha256 FROM o
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_urls": op1_urls,
@@ -116,4 +136,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_urls": OP1_SQL}
+    return {"op1_urls": OP1_SQL, "op5_lines": OP5_SQL}

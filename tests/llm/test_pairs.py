@@ -178,6 +178,31 @@ def test_decontamination(spark):
     assert decontam.find(df.limit(0), bench).count() == 0 and decontam.find(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_against_a_search_of_all_places(spark):
+    rnd = random.Random(12)
+    words = [f"{a}{b}{c}" for a in "bdfglm" for b in "aeiou" for c in "nrst"]
+    draw = lambda n: [rnd.choice(words) for _ in range(n)]
+    items = [(i, draw(rnd.choice([5, 9, 12, 15, 22]))) for i in range(12)]
+    rows = []
+    for i in range(90):
+        w = list(rnd.choice(items)[1])
+        for _ in range(rnd.randint(0, decontam.max_edits(len(w)) + 1)):
+            at = rnd.randrange(len(w))
+            w[at : at + rnd.randint(0, 1)] = rnd.choice([[], draw(1)])
+        rows.append((i, draw(rnd.randint(0, 25)) + w + draw(rnd.randint(0, 25))))
+    want = {(i, k): plain_distance(item, text) for i, text in rows for k, item in items if plain_distance(item, text) <= decontam.max_edits(len(item))}
+    frame = lambda r, name: spark.createDataFrame([(i, " ".join(w)) for i, w in r], f"{name} long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontam.find(frame(rows, "doc_id"), frame(items, "item_id")).collect()}
+    assert set(got) <= set(want) and all(got[k] == want[k] for k in got)
+    assert len(want) > 60 and len(got) >= decontam.RECALL * len(want) - 1
+
+
+def test_walks_follow_the_target():
+    sizes = sorted({decontam.class_of(n) for n in range(decontam.Q, 2 * decontam.PIECE)})
+    found = {s: decontam.walks(s) for s in sizes}
+    assert all(1 <= n < decontam._MOST_WALKS for n in found.values()) and max(found.values()) > 4
+
+
 def test_rows_without_an_id_are_decontaminated(spark, monkeypatch):
     items = [(1, "one two three four five six seven eight nine ten"), (2, "red orange yellow green blue indigo violet black white grey")]
     rows = [(None, f"so {items[0][1]} it goes", "x"), (None, "nothing of the kind", "y"), (7, f"and {items[1][1]}", "z"), (8, None, "n")]

@@ -67,6 +67,84 @@ def test_prior_estimate():
         assert abs(quality.estimate_prior(p, u) - share) < 0.05
 
 
+def test_slopes_of_the_non_negative_risk():
+    rnd = np.random.default_rng(4)
+    for shift, prior in ((0, 0.4), (-3, 0.9), (2, 0.2), (0, None)):
+        f, is_p = rnd.normal(shift, 1, 30), np.arange(30) < 10
+        if prior is not None:
+            f[is_p] += 3 * (shift < 0) * 2
+
+        def lowered(f, is_p=is_p, prior=prior):
+            if prior is None:
+                return np.log1p(np.exp(-f[is_p])).mean() + np.log1p(np.exp(f[~is_p])).mean()
+            plus = prior * sum(np.log1p(np.exp(-x)) for x in f[is_p]) / 10
+            minus = sum(np.log1p(np.exp(x)) for x in f[~is_p]) / 20 - prior * sum(np.log1p(np.exp(x)) for x in f[is_p]) / 10
+            return plus + minus if minus >= 0 else -minus
+
+        got = quality.slopes(f, is_p, prior)
+        for i in range(30):
+            step = np.zeros(30)
+            step[i] = 1e-6
+            assert np.isclose(got[i], (lowered(f + step) - lowered(f - step)) / 2e-6, atol=1e-6)
+    assert quality.risk(np.array([5.0, -5.0]), np.array([True, False]), 0.9)[1] < 0
+
+
+def test_unlabelled_rows_come_from_all_documents(spark):
+    d = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text")).union(spark.createDataFrame([(7, "again"), (None, "x")], "doc_id long, text string"))
+    got = labelled.unlabelled_sample(d, 5, 0).collect()
+    assert {r.doc_id for r in got} == {i for i in range(300) if labelled.bucket(i, 5)} and len(got) == len({r.doc_id for r in got})
+    assert labelled.unlabelled_sample(d, 5, 0, rows=20).count() == 20
+    held = d.select("doc_id", (labelled.part("doc_id", 5) == 0).alias("h")).collect()
+    assert all(r.h == (labelled.bucket(r.doc_id, 5) == 0) for r in held)
+
+
+def plain_tree_sum(model, row):
+    total = model.base
+    for f, t, v in zip(model.feature, model.threshold, model.value, strict=True):
+        node = 0
+        for _ in range(model.depth):
+            node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+        total += v[node - (2**model.depth - 1)]
+    return total
+
+
+def test_trees_against_plain_walks():
+    rnd = np.random.default_rng(6)
+    x = rnd.random((400, 5)).round(2)
+    y = (x[:, 1] + x[:, 2] > 1).astype(float)
+    model = trees.fit(x, y, trees=8, depth=2)
+    assert np.allclose(model.raw(x), [plain_tree_sum(model, r) for r in x])
+    # The first cut is the best of all cuts by the Newton gain.
+    g, h = y - y.mean(), np.full(400, y.mean() * (1 - y.mean()))
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    best = max(gain(x[:, j] <= c) + gain(x[:, j] > c) for j in range(5) for c in np.unique(x[:, j]))
+    j, c = model.feature[0, 0], model.threshold[0, 0]
+    assert gain(x[:, j] <= c) + gain(x[:, j] > c) >= 0.98 * best
+    # Isotonic fit: no other non-decreasing step function through its blocks is nearer.
+    score, label = rnd.random(60), (rnd.random(60) < 0.5).astype(float)
+    order = np.argsort(score)
+    means = [min(max(np.mean(label[order][i:k]) for i in range(0, j + 1)) for k in range(j + 1, 61)) for j in range(60)]
+    knots = trees.isotonic(score, label)
+    pooled = np.unique(np.round(means, 9))
+    assert len(pooled) == len(knots[0])
+
+
+def test_toxicity_features_against_plain_counts():
+    texts = ["You IDIOT! you moron?", "a fine day, and no more.", "stup1d id1ot!", ""]
+    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    got = dict(zip(toxicity.FEATURES, toxicity.features(data, at, toxicity.NO_LEXICON).T, strict=True))
+    for i, t in enumerate(texts):
+        words = re.findall(r"[a-z0-9]+", t.lower())
+        assert got["insults"][i] == sum(w in toxicity.INSULTS for w in words)
+        assert got["second_share"][i] == pytest.approx(100 * sum(w in toxicity.SECOND_PERSON for w in words) / max(1, len(words)))
+        letters = max(1, len(re.findall("[A-Za-z]", t)))
+        assert got["capitals"][i] == pytest.approx(len(re.findall("[A-Z]", t)) / letters)
+        assert got["bangs"][i] == pytest.approx(t.count("!") / max(1, len(t))) and got["asks"][i] == pytest.approx(t.count("?") / max(1, len(t)))
+        assert got["words_log"][i] == pytest.approx(np.log1p(len(words)))
+    assert got["near_second"].tolist() == [2, 0, 0, 0] and got["spelt"][2] == 2
+
+
 def test_trees_and_calibration():
     rnd = np.random.default_rng(2)
     x = rnd.random((3000, 4))
