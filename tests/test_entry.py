@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tessera.plans import catalog
+from tessera.plans import catalog, runs
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -24,7 +24,7 @@ def test_sql_only_for_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql() | runs.oracle_sql()))
 def test_query_agrees_with_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     cur = duck.execute(entry.oracle_sql()[name])
