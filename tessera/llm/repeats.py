@@ -199,18 +199,21 @@ def _with_items(going: DataFrame, documents: DataFrame, unit: Unit) -> DataFrame
     joined = wanted.join(documents, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = np.dtype(unit.kind).itemsize
         for batch in batches:
-            for row in range(batch.num_rows):
-                _, _, data, ends = next(b.chunks(batch.column(2).slice(row, 1)))
-                raw, all_runs, width = unit.read(data, ends)[0].tobytes(), batch.column(3)[row].values, np.dtype(unit.kind).itemsize
-                for low in range(0, len(all_runs), _RUNS):
-                    runs_ = all_runs.slice(low, _RUNS)
-                    first, shift = (runs_.field(n).to_numpy().astype(np.int64) for n in ("first", "shift"))
-                    at = np.maximum(first + shift - unit.reach, 0)
-                    cut = [raw[s * width : e * width] for s, e in zip(at.tolist(), (first + shift + unit.length).tolist(), strict=True)]
-                    take = pa.array(np.full(len(first), row))
+            for i, j, data, ends in b.chunks(batch.column(2)):
+                items, begin = unit.read(data, ends)
+                raw, lists = items.tobytes(), batch.column(3).slice(i, j - i)
+                every, rows = lists.flatten(), np.repeat(np.arange(j - i), np.diff(lists.offsets.to_numpy()))
+                for low in range(0, len(every), _RUNS):
+                    some, row = every.slice(low, _RUNS), rows[low : low + _RUNS]
+                    anchor = some.field(0).to_numpy() + some.field(2).to_numpy()  # first + shift
+                    at = np.maximum(anchor - unit.reach, 0)
+                    start, stop = begin[row] + at, np.minimum(begin[row] + anchor + unit.length, begin[row + 1])
+                    cut = [raw[x:y] for x, y in zip((start * width).tolist(), (stop * width).tolist(), strict=True)]
+                    take = pa.array(row + i)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(take), batch.column(1).take(take), *[runs_.field(n) for n in ("first", "more", "shift", "core", "alone")], pa.array(at), pa.array(cut, pa.binary())],
+                        [batch.column(0).take(take), batch.column(1).take(take), *[some.field(k) for k in range(5)], pa.array(at), pa.array(cut, pa.binary())],
                         names=["doc_id", "mark", "first", "more", "shift", "core", "alone", "at", "items"],
                     )
 
@@ -220,6 +223,23 @@ def _with_items(going: DataFrame, documents: DataFrame, unit: Unit) -> DataFrame
     )
 
 
+def _lots(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of runs with about a million items."""
+    step = max(1, (1 << 20) // (unit.length + unit.reach))
+    for batch in batches:
+        for low in range(0, batch.num_rows, step):
+            yield batch.slice(low, step)
+
+
+def _together(column: pa.Array, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix hashes over the items of all runs, and where each run's items begin there and how many they are."""
+    width = np.dtype(unit.kind).itemsize
+    at = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[at[0] : at[-1]] if len(column) and at[-1] > at[0] else np.zeros(0, np.uint8)
+    items = data if unit.kind is np.uint8 else np.frombuffer(data.tobytes(), dtype=unit.kind)
+    return unit.prefix(items), (at[:-1] - at[0]) // width, np.diff(at) // width
+
+
 def _cells(around: DataFrame, unit: Unit) -> DataFrame:
     """One row for each cell that a run's windows lie in.
 
@@ -228,33 +248,30 @@ def _cells(around: DataFrame, unit: Unit) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _lots(batches, unit):
             get = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            first, more, shift, core, at = (get[n].to_numpy() for n in ("first", "more", "shift", "core", "at"))
-            out: list[tuple[np.ndarray, ...]] = []
-            for r in range(batch.num_rows):
-                data = np.frombuffer(get["items"][r].as_buffer(), dtype=unit.kind)
-                prefix = unit.prefix(data)
-                anchor = int(first[r] + shift[r] - at[r])
-                # Offsets of the run's windows before the anchor, and the cells they lie in.
-                far, near = int(shift[r]), int(shift[r] - more[r])
-                c = np.arange(near // unit.cell, far // unit.cell + 1)
-                nearest, furthest = c * unit.cell, np.minimum(c * unit.cell + unit.cell - 1, unit.reach)
-                h_core = b.span_hash(prefix, anchor - nearest, anchor - furthest + unit.length)
-                full = (anchor - furthest >= 0) & (anchor - nearest + unit.length <= len(data))
-                lo, hi = np.where(full, anchor - furthest, 0), np.where(full, anchor - nearest + unit.length, 0)
-                h_outer = b.span_hash(prefix, lo, hi)
-                key = b.mix(np.full(len(c), np.int64(core[r])).view(np.uint64) ^ b.mix(c.astype(np.uint64) + np.uint64(1)))
-                w_far, w_near = np.minimum(far, furthest), np.maximum(near, nearest)
-                out.append((np.full(len(c), r), at[r] + anchor - w_far, w_far - w_near, b.mix(key ^ h_core), b.mix(key ^ h_outer), full))
-            if not out:
-                continue
-            row, start, n, h1, h2, full = (np.concatenate(x) for x in zip(*out, strict=True))
+            prefix, base, size = _together(get["items"], unit)
+            first, more, shift, core, at = (get[n].to_numpy().astype(np.int64) for n in ("first", "more", "shift", "core", "at"))
+            # Offsets of each run's windows before the anchor, and the cells they lie in.
+            far, near = shift, shift - more
+            count = far // unit.cell - near // unit.cell + 1
+            row = np.repeat(np.arange(batch.num_rows), count)
+            c = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + (near // unit.cell)[row]
+            nearest, furthest = c * unit.cell, np.minimum(c * unit.cell + unit.cell - 1, unit.reach)
+            anchor = (first + shift - at)[row]
+            h_core = b.span_hash(prefix, base[row] + anchor - nearest, base[row] + anchor - furthest + unit.length)
+            full = (anchor - furthest >= 0) & (anchor - nearest + unit.length <= size[row])
+            low, high = np.where(full, anchor - furthest, 0), np.where(full, anchor - nearest + unit.length, 0)
+            h_outer = b.span_hash(prefix, base[row] + low, base[row] + high)
+            key = b.mix(core[row].view(np.uint64) ^ b.mix(c.astype(np.uint64) + np.uint64(1)))
+            w_far, w_near = np.minimum(far[row], furthest), np.maximum(near[row], nearest)
+            start, more_here = at[row] + anchor - w_far, (w_far - w_near).astype(np.int32)
+            h1, h2 = b.mix(key ^ h_core).view(np.int64), b.mix(key ^ h_outer).view(np.int64)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [
-                    get["doc_id"].take(take), get["mark"].take(take), pa.array(start.astype(np.int64)), pa.array(n.astype(np.int32)),
-                    get["alone"].take(take), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64), mask=~full), get["core"].take(take),
+                    get["doc_id"].take(take), get["mark"].take(take), pa.array(start), pa.array(more_here),
+                    get["alone"].take(take), pa.array(h1), pa.array(h2, mask=~full), get["core"].take(take),
                 ],
                 names=["doc_id", "mark", "first", "more", "mine", "core", "outer", "anchor"],
             )
@@ -276,26 +293,22 @@ def _windows(going: DataFrame, around: DataFrame, unit: Unit) -> DataFrame:
     own = F.filter("cells", lambda c: (c["first"] >= F.col("_first")) & (c["first"] <= F.col("_first") + F.col("_more")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, marks, ats = batch.column(0), batch.column(1), batch.column(2).to_numpy()
-            rows, places, mine, one, two = [], [], [], [], []
-            for r in range(batch.num_rows):
-                data = np.frombuffer(batch.column(3)[r].as_buffer(), dtype=unit.kind)
-                prefix, half = unit.prefix(data), unit.length // 2
-                for c in batch.column(4)[r].as_py():
-                    s = np.arange(c["first"], c["first"] + c["more"] + 1) - ats[r]
-                    rows.append(np.full(len(s), r))
-                    places.append(s + ats[r])
-                    mine.append(np.full(len(s), c["mine"]))
-                    one.append(b.span_hash(prefix, s, s + half))
-                    two.append(b.span_hash(prefix, s + half, s + unit.length))
-            if not rows:
-                continue
-            take = pa.array(np.concatenate(rows))
+        half = unit.length // 2
+        for batch in _lots(batches, unit):
+            prefix, base, _ = _together(batch.column(3), unit)
+            lists = batch.column(4)
+            every, cell_row = lists.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            first, count = every.field(0).to_numpy(), every.field(1).to_numpy().astype(np.int64) + 1
+            cell = np.repeat(np.arange(len(count)), count)
+            place = first[cell] + np.arange(len(cell)) - np.repeat(np.cumsum(count) - count, count)
+            row = cell_row[cell]
+            s = base[row] + place - batch.column(2).to_numpy()[row]
+            r1, r2 = b.span_hash(prefix, s, s + half).view(np.int64), b.span_hash(prefix, s + half, s + unit.length).view(np.int64)
+            take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(take), marks.take(take), pa.array(np.concatenate(places)), pa.array(np.concatenate(mine)), pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int64))],
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(place), every.field(2).take(pa.array(cell)), pa.array(r1), pa.array(r2)],
                 names=["doc_id", "mark", "first", "mine", "r1", "r2"],
-            )
+            )
 
     kind = around.schema["doc_id"].dataType.simpleString()
     return joined.select("doc_id", "mark", "at", "items", own.alias("cells")).where(F.size("cells") > 0).mapInArrow(
