@@ -7,10 +7,13 @@ Draws are md5 hashes of seed and id: they do not depend on partitioning.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from tessera.sources import workspace
+
 
 def draw(seed: int, *parts: Column) -> Column:
     """32 pseudo-random bits of seed and parts, equal in any engine with md5."""
@@ -79,26 +82,33 @@ def repeated(df: DataFrame, epochs: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
-    """Dense positions from 0 in a total order, without one task for all rows.
+    """Dense positions from 0 in a total order, without one task for all rows; for narrow rows, which are saved once.
 
     Rows are range-partitioned by the order; positions are the rank within a
     partition plus the sizes of the partitions before, of which the driver sees
-    one number each.
+    one number each. Ranges come from a sample that another run would draw
+    anew, so rows are saved with their range: ranks and sizes have to agree.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    local = spread.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = workspace.saved(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    local = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     # One row a partition: bounded by the partition count.
     return local.join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(name, (F.col("_at") + F.col("_before")).cast("long")).drop("_part", "_at", "_p", "_before")
 
 
 def batched(df: DataFrame, size: int, order: list[str]) -> DataFrame:
-    """Adds batch_id to consecutive groups of ``size`` rows; the last short group is dropped."""
-    out = numbered(df, order)
-    total = out.agg((F.floor(F.count(F.lit(1)) / size) * size).alias("_full"))
-    return out.join(F.broadcast(total), F.col("position") < F.col("_full")).withColumn("batch_id", F.floor(F.col("position") / size)).drop("_full")
+    """Adds position and batch_id to consecutive groups of ``size`` rows; the last short group is dropped.
+
+    Only the ordering columns, which tell rows apart, are numbered; the rows meet their numbers in one exchange.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    places = numbered(df.select(*[F.col(c).alias(n) for c, n in zip(order, names, strict=True)]), names)
+    total = places.agg((F.floor(F.count(F.lit(1)) / size) * size).alias("_full"))
+    full = places.join(F.broadcast(total), F.col("position") < F.col("_full")).withColumn("batch_id", F.floor(F.col("position") / size)).drop("_full")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(order, names, strict=True)])
+    return df.join(full, same).drop(*names)
 
 
 def stratified(df: DataFrame, strata: str, per_stratum: int, key: str, seed: int = 42) -> DataFrame:

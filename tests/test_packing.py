@@ -143,3 +143,13 @@ def test_geometry(spark):
     got = df.select(geometry.next_tokens("t").alias("n"), geometry.last_target("m").alias("l"), geometry.supervised_targets("m").alias("c"), geometry.attends("s", F.lit(1), F.lit(0)).alias("a"), geometry.attends("s", F.lit(2), F.lit(1)).alias("b")).collect()
     assert [r.l for r in got] == [2, -1] and [r.c for r in got] == [2, 0] and got[0].n == [6, 7, 0]
     assert got[0].a and not got[0].b
+
+
+def test_positions_of_many_rows(spark):
+    n = 600_000
+    df = spark.range(n).select(F.xxhash64("id").alias("k")).repartition(23)
+    got = ordering.numbered(df, ["k"])
+    w = got.selectExpr("count(*) n", "count(distinct position) d", "min(position) a", "max(position) b").first()
+    assert (w.n, w.d, w.a, w.b) == (n, n, 0, n - 1)
+    later = got.select("k", (F.col("position") + 1).alias("position"))
+    assert got.withColumnRenamed("k", "next").join(later, "position").where("next <= k").count() == 0
