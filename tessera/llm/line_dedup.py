@@ -106,8 +106,9 @@ def remove_repeats(
     firsts = repeated.select("_h", F.col("_first._id").alias("_id"), F.col("_first._key").alias("_key"), F.col("_first._start").alias("_start"), F.col("_first._end").alias("_end"))
     texts = keyed.select(F.col("_key").alias("_k"), F.col("_id").alias("_i"), "_text")
     text_of = F.array_join(_slice(F.col("_start"), F.col("_end")), "\n")
+    # A merge join at every size: a broadcast of the firsts is no choice where they are many, and plans are alike.
     first_text = (
-        firsts.join(texts, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")))
+        firsts.hint("merge").join(texts, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")))
         .withColumn("_lines", F.split("_text", "\n", -1))
         .select("_h", F.struct("_id", "_key", "_end").alias("_place"), text_of.alias("_first_text"))
         .join(hot, F.col("_h") == F.col("_hot"), "left")
