@@ -22,8 +22,9 @@ bit-parallel matching), over the region of all the item's windows in a run.
 
 Benchmarks are read in blocks of at most BLOCK_ITEMS items of BLOCK_WORDS words
 in all, each one pass over the documents, so what goes to the executors is
-bounded; a Python worker prepares a block once for all its tasks. The driver
-holds eight bytes for each word of the benchmark.
+bounded; a Python worker prepares a block once for all its tasks. The benchmark
+streams through the driver, which holds two blocks at most: with more than one,
+results are written block by block.
 
 Defined results: null and empty texts hold nothing; a row is judged by its text
 alone, also where its id is null or another row's; items that are null or have
@@ -45,6 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bytescan as b
+from tessera.llm import scratch
 from tessera.llm.rows import filtered
 
 Q = 3
@@ -314,7 +316,16 @@ def find(
         ids_type = pa.string() if item_kind == "string" else pa.int64() if item_kind == "bigint" else pa.int32()
         return documents.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, n_words long, distance long")
 
-    return reduce(DataFrame.union, [of(items) for items in _blocks(benchmark, item_col, item_text_col)])
+    blocks = _blocks(benchmark, item_col, item_text_col)
+    found, more = of(next(blocks)), next(blocks, None)
+    if more is None:
+        return found
+    # Of several blocks, each one's result is written before the next is read, so that the driver holds two at most.
+    results = [scratch.saved(found, "found")]
+    while more is not None:
+        results.append(scratch.saved(of(more), "found"))
+        more = next(blocks, None)
+    return reduce(DataFrame.union, results)
 
 
 def keep(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,4 +345,10 @@ def keep(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
         return filtered(rest, text_col, make)
 
-    return reduce(of, _blocks(benchmark, "item_id", text_col), documents)
+    blocks = _blocks(benchmark, "item_id", text_col)
+    rest, more = of(documents, next(blocks)), next(blocks, None)
+    while more is not None:
+        # What is left is written before the next block is read, so that the driver holds two at most.
+        before = scratch.saved(rest, "left")
+        rest, more = of(before, more), next(blocks, None)
+    return rest
