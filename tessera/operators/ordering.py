@@ -101,14 +101,18 @@ def numbered(df: DataFrame, order: list[str], name: str = "position") -> DataFra
 def batched(df: DataFrame, size: int, order: list[str]) -> DataFrame:
     """Adds position and batch_id to consecutive groups of ``size`` rows; the last short group is dropped.
 
-    Only the ordering columns, which tell rows apart, are numbered; the rows meet their numbers in one exchange.
+    Only the ordering columns are numbered; the rows meet their numbers in one
+    exchange. Rows that the order does not tell apart stand in consecutive places.
     """
     names = [f"_o{i}" for i in range(len(order))]
     places = numbered(df.select(*[F.col(c).alias(n) for c, n in zip(order, names, strict=True)]), names)
     total = places.agg((F.floor(F.count(F.lit(1)) / size) * size).alias("_full"))
-    full = places.join(F.broadcast(total), F.col("position") < F.col("_full")).withColumn("batch_id", F.floor(F.col("position") / size)).drop("_full")
+    starts = places.groupBy(*names).agg(F.min("position").alias("_start"))
     same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(order, names, strict=True)])
-    return df.join(full, same).drop(*names)
+    rank = F.row_number().over(Window.partitionBy(*names).orderBy(*names))
+    out = df.join(starts, same).withColumn("position", (F.col("_start") + rank - 1).cast("long"))
+    out = out.join(F.broadcast(total), F.col("position") < F.col("_full"))
+    return out.withColumn("batch_id", F.floor(F.col("position") / size)).drop("_full", "_start", *names)
 
 
 def stratified(df: DataFrame, strata: str, per_stratum: int, key: str, seed: int = 42) -> DataFrame:

@@ -59,10 +59,17 @@ def render_prompt(prompt: Column, system: str | None = None, template: Additive
     return template.render(F.array(*turns, turn("user", prompt)), generate=True)
 
 
-def sample(df: DataFrame, sampler, *, max_new_tokens: int) -> DataFrame:
+def sample(df: DataFrame, sampler, *, max_new_tokens: int, start: str = "<think>", end: str = "</think>") -> DataFrame:
     """Records from a sampler: a scalar Arrow or pandas function, prompt to struct(text, n_tokens)."""
     said = df.withColumn("_said", sampler(F.col("rendered")))
-    return records(said.withColumns({"completion": F.col("_said.text"), "generated_tokens": F.col("_said.n_tokens")}), max_new_tokens=max_new_tokens)
+    said = said.withColumns({"completion": F.col("_said.text"), "generated_tokens": F.col("_said.n_tokens")})
+    return records(said, max_new_tokens=max_new_tokens, start=start, end=end)
+
+
+def asked(steps: DataFrame, prompts: list[str], system: str | None = None, template: Additive = CODE_POINTS) -> DataFrame:
+    """step, prompt and rendered of every prompt at every step; prompts are a recipe's short list."""
+    each = steps.select("step").distinct().withColumn("prompt", F.explode(F.array(*[F.lit(p) for p in prompts])))
+    return each.withColumn("rendered", render_prompt(F.col("prompt"), system, template))
 
 
 def zip_strict(df: DataFrame, *columns: str, name: str = "zipped") -> DataFrame:

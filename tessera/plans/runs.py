@@ -257,6 +257,28 @@ def interval_sampling(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(steps.schema).parquet(out)
 
 
+@query("""WITH p AS (SELECT unnest(['Name a prime.', 'Why is the sky blue?']) AS prompt), r AS (
+  SELECT event_id AS step, prompt, '<system>Be brief.</system><user>' || prompt || '</user><assistant>' AS rendered FROM events CROSS JOIN p WHERE event_id > 0 AND event_id % 100 = 0)
+SELECT kind, step, prompt, rendered || '<think>' AS completion, CAST(length(rendered) AS BIGINT) AS generated_tokens, false AS reasoning_balanced, length(rendered) >= 72 AS hit_token_cap
+FROM r CROSS JOIN (SELECT unnest(['file', 'log']) AS kind) k""")
+def transcript_hook(spark: SparkSession, sf: str) -> DataFrame:
+    """What a recipe's sampling hook appends to its file and hands to its log, over a stream of steps."""
+    source, out, log, state = (workspace.folder(spark, n) for n in ("hook-in", "hook-out", "hook-log", "hook-state"))
+    steps = C._table(spark, sf, "events").select(F.col("event_id").alias("step"))
+    steps.write.parquet(source)
+    overrides = [f"training.transcripts={{every_n_steps: 100, max_new_tokens: 72, prompts: ['Name a prime.', 'Why is the sky blue?'], output_path: '{out}'}}", "dataset.system_prompt=Be brief."]
+    settings = config.transcript_settings(config.read(RECIPE, overrides))
+
+    def build() -> Any:
+        return F.pandas_udf(lambda rendered: pd.DataFrame({"text": rendered + "<think>", "n_tokens": rendered.str.len().astype("int32")}), "text string, n_tokens int")
+
+    act = streams.transcript_action(settings, build, lambda table: table.write.mode("append").parquet(log))
+    hook = streams.IntervalSampler(settings["every_n_steps"], act)
+    streams.sample_stream(spark.readStream.schema(steps.schema).parquet(source), hook, state).awaitTermination()
+    found = [transcripts.read_jsonl(spark, out).select(F.lit("file").alias("kind"), *transcripts.LOGGED), spark.read.parquet(log).select(F.lit("log").alias("kind"), *transcripts.LOGGED)]
+    return found[0].union(found[1]).withColumns({c: F.col(c).cast("long") for c in ("step", "generated_tokens")})
+
+
 @query("""WITH s AS (SELECT conv_id, turn, '<user>' || text || '</user><assistant>' AS rendered FROM conversations WHERE role = 'user'),
 c AS (SELECT conv_id * 1000 + turn AS step, CASE WHEN turn % 2 = 0 THEN '<think>' || rendered || '</think>' ELSE rendered END AS said, length(rendered) AS n FROM s)
 SELECT CAST(step AS BIGINT) AS step, md5(said) AS completion, CAST(length(said) AS BIGINT) AS completion_chars, CAST(n AS BIGINT) AS generated_tokens,

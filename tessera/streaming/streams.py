@@ -14,9 +14,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.config import metric_sinks
+from tessera.functions.template import CODE_POINTS, Additive
+from tessera.operators import transcripts
 from tessera.operators.encode import EncodeConfig, encode, kept
 from tessera.operators.events import stepped_metrics
 from tessera.operators.packing import Packer
+from tessera.sources.corpora import log_table
 
 LOG = logging.getLogger(__name__)
 
@@ -90,6 +93,33 @@ class IntervalSampler:
             LOG.exception("sampling failed and is off from now on")
 
 
+def transcript_action(
+    settings: dict[str, Any], build_sampler: Callable[[], Any], log: Callable[[DataFrame], None] | None = None, template: Additive = CODE_POINTS
+) -> Callable[[DataFrame, int], None]:
+    """What an ``IntervalSampler`` does at a sampling step by ``config.transcript_settings``.
+
+    All prompts are asked at each due step; records are appended to the
+    recipe's file, and their table log goes to ``log`` if the recipe wants it.
+    The sampler is built when it is first needed.
+    """
+    built: list[Any] = []
+
+    def act(due: DataFrame, batch_id: int) -> None:
+        if not built:
+            built.append(build_sampler())
+        rows = transcripts.asked(due, settings["prompts"], settings["system_prompt"], template)
+        said = transcripts.sample(rows, built[0], max_new_tokens=settings["max_new_tokens"], start=settings["reasoning_start"], end=settings["reasoning_end"]).persist()
+        try:
+            transcripts.append_jsonl(said, settings["output_path"])
+            if log is not None and settings["log_to_wandb"]:
+                log(log_table(said, transcripts.LOGGED))
+            LOG.info("%d transcripts, of which %d stopped by themselves with their reasoning open", said.count(), transcripts.unclosed(said).count())
+        finally:
+            said.unpersist()
+
+    return act
+
+
 def sample_stream(steps: DataFrame, sampler: IntervalSampler, checkpoint: str) -> StreamingQuery:
     return steps.writeStream.foreachBatch(sampler).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

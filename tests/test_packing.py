@@ -153,3 +153,10 @@ def test_positions_of_many_rows(spark):
     assert (w.n, w.d, w.a, w.b) == (n, n, 0, n - 1)
     later = got.select("k", (F.col("position") + 1).alias("position"))
     assert got.withColumnRenamed("k", "next").join(later, "position").where("next <= k").count() == 0
+
+
+def test_batches_of_rows_with_equal_keys(spark):
+    df = spark.createDataFrame([(i // 3 if i < 9 else None, f"r{i}") for i in range(11)], "k int, v string").repartition(3)
+    got = ordering.batched(df, 2, ["k"]).collect()
+    assert sorted(r.position for r in got) == list(range(10)) and len({r.v for r in got}) == 10
+    assert [r.k for r in sorted(got, key=lambda r: r.position)] == [None, None, 0, 0, 0, 1, 1, 1, 2, 2]
