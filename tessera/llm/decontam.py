@@ -55,7 +55,7 @@ EDIT_SHARE = 0.2
 RECALL = 0.99
 TABLES, SAMPLES = 6, 5
 PIECE = 8
-_MOST_WALKS, _TRIALS = 64, 4000
+_MOST_WALKS, _TRIALS = 64, 2000
 CLASS_RATIO = 1.5
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 500_000
 
