@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, fertility, line_dedup, mixing, near_dup, pii, quality, repeats, toxicity, url_filter
+from tessera.llm import decontam, fertility, line_dedup, mixing, near_dup, pii, quality, repeats, sharding, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
 # The built-in globs as one pattern over '.' + host + path.
 OP1_SQL = r"""
 WITH split AS (
@@ -104,7 +108,8 @@ OP1_SQL = OP1_SQL.format(
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE contains(text, chr(10))),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM d),
-t AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM l WHERE regexp_matches(line, '[^ 	-]')),
+t AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM l WHERE regexp_matches(line, '[^ 	-
+]')),
 s AS (SELECT t.doc_id, t.i, t.j, array_to_string(list_slice(d.ls, t.i + 1, t.j + 1), chr(10)) AS body FROM t JOIN d ON d.doc_id = t.doc_id WHERE t.j IS NOT NULL),
 f AS (SELECT body, min(struct_pack(doc_id := doc_id, i := i, j := j)) AS first FROM s GROUP BY body HAVING count(*) > 1),
 r AS (
@@ -132,6 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repeats": op8_repeats,
         "op9_mixing": op9_mixing,
         "op10_pii": op10_pii,
+        "op11_sharding": op11_sharding,
     }
 
 
