@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, fertility, line_dedup, mixing, near_dup, pii, quality, repeats, sharding, toxicity, url_filter
+from tessera.llm import decontam, divergence, fertility, line_dedup, mixing, near_dup, pii, quality, repeats, sharding, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 # The built-in globs as one pattern over '.' + host + path.
 OP1_SQL = r"""
 WITH split AS (
@@ -125,6 +129,39 @@ SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars_kept, sha256(text) AS tex
 """
 
 
+# Every group's share of every kept term, then all pairs of a language's groups, in whole numbers.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT id, lang, source, translate(unnest(words), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+t AS (SELECT id, lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+v AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM t GROUP BY lang, term HAVING count(*) >= 10),
+l AS (SELECT lang, sum(n) AS total, count(*) AS terms FROM v GROUP BY lang),
+c AS (SELECT t.lang, t.source, t.term, CAST(sum(t.n) AS HUGEINT) AS n FROM t JOIN v ON v.lang = t.lang AND v.term = t.term GROUP BY ALL),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(s.total, 0) + 2 * l.terms) AS p,
+         1 + (1000000000::HUGEINT * (v.n + 2)) // (l.total + 2 * l.terms) AS q
+  FROM g JOIN v ON v.lang = g.lang JOIN l ON l.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term
+  LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL
+), o AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM o)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_urls": op1_urls,
@@ -138,8 +175,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": op9_mixing,
         "op10_pii": op10_pii,
         "op11_sharding": op11_sharding,
+        "op12_divergence": op12_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_urls": OP1_SQL, "op5_lines": OP5_SQL}
+    return {"op1_urls": OP1_SQL, "op5_lines": OP5_SQL, "op12_divergence": OP12_SQL}
