@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, divergence, fertility, line_dedup, mixing, near_dup, pii, quality, repeats, sharding, toxicity, url_filter
+from tessera.llm import decontam, divergence, fertility, line_dedup, mixing, near_dup, pii, quality, quantiles, repeats, sharding, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quantiles.shop_rows(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "items"))
+    return quantiles.audit(rows)
+
+
 # The built-in globs as one pattern over '.' + host + path.
 OP1_SQL = r"""
 WITH split AS (
@@ -176,6 +181,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_pii": op10_pii,
         "op11_sharding": op11_sharding,
         "op12_divergence": op12_divergence,
+        "op13_quantiles": op13_quantiles,
     }
 
 
