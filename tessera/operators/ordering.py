@@ -21,10 +21,6 @@ def draw(seed: int, *parts: Column) -> Column:
     return F.conv(F.substr(F.md5(text), F.lit(1), F.lit(8)), 16, 10).cast("long")
 
 
-#: Up to here the first rows of an order are kept in the tasks that sort; beyond, they are found by their place.
-FEW = 10_000
-
-
 def _nth(df: DataFrame, order: list[str], places: list[int]) -> dict[int, Row]:
     """The rows at some places of an order, of which only the ordering columns are moved."""
     found = numbered(df.select(*order), order).where(F.col("position").isin(places)).collect()
@@ -42,13 +38,24 @@ def _at_most(order: list[str], row: Row) -> Column:
 
 
 def first_n(df: DataFrame, n: int | None, key: str) -> DataFrame:
-    """The first n rows by key, which tells rows apart; None keeps all. Rows are filtered by the n-th key, not merged in one task."""
-    if n is None:
-        return df
-    if n <= FEW:
-        return df.orderBy(key).limit(n)
+    """The first n rows by key, exactly n where there are as many; None keeps all.
+
+    Rows are filtered by the n-th key, not merged in one task. Rows that share
+    that key go by a hash of all their columns, and are numbered if not all fit.
+    """
+    if n is None or n <= 0:
+        return df if n is None else df.limit(0)
     last = _nth(df, [key], [n - 1])
-    return df.where(_at_most([key], last[n - 1])) if last else df
+    if not last:
+        return df
+    upto = df.where(_at_most([key], last[n - 1]))
+    tied = F.col(key).eqNullSafe(F.lit(last[n - 1][key]))
+    counts = upto.agg(F.count(F.lit(1)).alias("upto"), F.count_if(tied).alias("tied")).first()
+    if counts["upto"] == n:
+        return upto
+    same = upto.where(tied).withColumn("_tie", F.xxhash64(F.to_json(F.struct("*"))))
+    fit = numbered(same, ["_tie"], "_nth").where(F.col("_nth") < n - counts["upto"] + counts["tied"])
+    return upto.where(~tied).unionByName(fit.drop("_tie", "_nth"))
 
 
 def split(df: DataFrame, fraction: float, key: str, seed: int = 42, eval_cap: int | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -59,13 +66,15 @@ def split(df: DataFrame, fraction: float, key: str, seed: int = 42, eval_cap: in
     """
     if not fraction:
         return df, None
-    size = math.ceil(df.count() * fraction)
-    if size == 0:
-        return df, df.limit(0)
     drawn = df.withColumn("_draw", draw(seed, F.col(key)))
     order = ["_draw", key]
+    # Draws and keys are read from the corpus once, for the count and for the places.
+    draws = workspace.saved(drawn.select(*order), "draws")
+    size = math.ceil(draws.count() * fraction)
+    if size == 0:
+        return df, df.limit(0)
     capped = size if eval_cap is None else min(size, eval_cap)
-    last = _nth(drawn, order, [size - 1, capped - 1])
+    last = _nth(draws, order, [size - 1, capped - 1])
     train = drawn.where(~_at_most(order, last[size - 1])).drop("_draw")
     return train, drawn.where(_at_most(order, last[capped - 1])).drop("_draw")
 
@@ -98,6 +107,12 @@ def numbered(df: DataFrame, order: list[str], name: str = "position") -> DataFra
     return local.join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(name, (F.col("_at") + F.col("_before")).cast("long")).drop("_part", "_at", "_p", "_before")
 
 
+def in_batches(places: DataFrame, size: int) -> DataFrame:
+    """Adds batch_id to rows with dense positions; the last short batch is dropped."""
+    total = places.agg((F.floor(F.count(F.lit(1)) / size) * size).alias("_full"))
+    return places.join(F.broadcast(total), F.col("position") < F.col("_full")).withColumn("batch_id", F.floor(F.col("position") / size)).drop("_full")
+
+
 def batched(df: DataFrame, size: int, order: list[str]) -> DataFrame:
     """Adds position and batch_id to consecutive groups of ``size`` rows; the last short group is dropped.
 

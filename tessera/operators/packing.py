@@ -1,15 +1,19 @@
 """First-fit packing of examples into fixed windows.
 
 A plan is made from lengths alone (some twenty bytes a row) and joined back with
-the tokens. The fold over a shard is sequential by nature; one shard gives the
-exact order-dependent result over all rows, more shards (contiguous ranges of
-the order) run in parallel and leave at most ``open_windows`` under-filled
-windows each.
+the tokens. The fold is sequential by nature, but all that it carries from one
+row to the next is the room left in at most ``open_windows`` windows, and two
+folds that start apart soon have the same rooms. So ranges of the order are
+packed side by side from guessed pools; a range whose guess differs from the
+pool that the range before it left is packed again, until none differs. The
+result is that of one fold over all rows, whatever the number of ranges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import logging
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 from itertools import accumulate, groupby
 from typing import Any
 
@@ -21,20 +25,22 @@ from pyspark.sql import functions as F
 from tessera.operators.ordering import numbered
 from tessera.sources import workspace
 
-#: Lengths that one task packs, unless the caller names a number of shards: some hundred megabytes.
-SHARD_ROWS = 1 << 22
+LOG = logging.getLogger(__name__)
+#: Lengths that one task packs at once.
+RANGE_ROWS = 1 << 20
 Placement = tuple[int, int, int, int]  # example index, window, segment, offset
 
 
 class Packer:
     """Open windows in the order of their opening. Windows are numbered in the order they are emitted."""
 
-    def __init__(self, max_length: int, open_windows: int = 8):
+    def __init__(self, max_length: int, open_windows: int = 8, room: Sequence[int] = ()):
         if open_windows < 1:
             raise ValueError("open_windows must be positive")
         self.max_length, self.open_windows = max_length, open_windows
-        self.room: list[int] = []  # free places of each open window
-        self.held: list[list[tuple[int, int]]] = []  # its members (index, length)
+        self.room = list(room)  # free places of each open window
+        # Its members (index, length); what stood in the k-th window before counts as one, -1 - k.
+        self.held: list[list[tuple[int, int]]] = [[(-1 - k, max_length - free)] for k, free in enumerate(room)]
         self.emitted = 0
 
     def _emit(self, at: int) -> list[Placement]:
@@ -71,42 +77,137 @@ def fold(sizes: Iterable[tuple[int, int]], max_length: int, open_windows: int =
     yield from packer.flush()
 
 
-def plan(df: DataFrame, max_length: int, *, id_col: str, order: list[str], length_col: str = "unpadded_length", open_windows: int = 8, shards: int | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Walk:
+    """How a range was packed: what its neighbours have to know of it."""
+
+    entry: list[int]  # rooms of the windows that it began with
+    rooms: list[int]  # rooms of the windows that it left open
+    members: list[int]  # how many members each of these has, of this range or as one from before
+    origin: list[int]  # which window of the entry each of these was, or -1
+    emitted: int  # windows that left the pool
+    left_at: list[int]  # when each window of the entry left, or -1
+
+    @staticmethod
+    def of(packer: Packer, entry: list[int], placed: list[Placement]) -> Walk:
+        left = {-1 - index: window for index, window, *_ in placed if index < 0}
+        firsts = [members[0][0] for members in packer.held]
+        return Walk(entry, packer.room, [len(m) for m in packer.held], [-1 - i if i < 0 else -1 for i in firsts], packer.emitted, [left.get(k, -1) for k in range(len(entry))])
+
+
+#: The fields of a walk that a task hands back.
+WALKED = ("rooms", "members", "origin", "emitted", "left_at")
+
+
+@dataclass
+class _Open:
+    """A window on its way through the ranges."""
+
+    members: int
+    number: int = -1
+
+
+def chain(walks: list[Walk]) -> list[dict[str, Any]]:
+    """For each range: its entry, its first window number, members and numbers of the windows it began with, numbers of those it left open."""
+    out, slots, first = [], [], 0
+    for walk in walks:
+        found = {"entry": walk.entry, "first": first, "members": [w.members for w in slots], "began": slots}
+        for window, at in zip(slots, walk.left_at, strict=True):
+            if at >= 0:
+                window.number = first + at
+        after = []
+        for origin, members in zip(walk.origin, walk.members, strict=True):
+            window = slots[origin] if origin >= 0 else _Open(0)
+            window.members += members - (origin >= 0)
+            after.append(window)
+        out.append(found | {"left": after})
+        slots, first = after, first + walk.emitted
+    return [x | {"began": [w.number for w in x["began"]], "left": [w.number for w in x["left"]]} for x in out]
+
+
+def _walk(sizes: list[int], max_length: int, open_windows: int, entry: list[int], last: bool) -> tuple[Packer, list[Placement]]:
+    packer = Packer(max_length, open_windows, entry)
+    placed = [p for index, size in enumerate(sizes) for p in packer.add(index, size)]
+    return packer, placed + (packer.flush() if last else [])
+
+
+def _placements(sizes: list[int], max_length: int, open_windows: int, facts: dict[str, Any], last: bool) -> list[Placement]:
+    """The rows of a range with their numbers in the whole order."""
+    packer, placed = _walk(sizes, max_length, open_windows, facts["entry"], last)
+    out = [(index, facts["first"] + window, segment, offset) for index, window, segment, offset in placed]
+    for number, members in zip(facts["left"], packer.held, strict=True):
+        offsets = accumulate((size for _, size in members), initial=0)
+        out += [(index, number, segment, offset) for segment, ((index, _), offset) in enumerate(zip(members, offsets, strict=False), 1)]
+    # Windows from before have more members than the one that stands for them here.
+    before = {number: n - 1 for number, n in zip(facts["began"], facts["members"], strict=True)}
+    return [(index, number, segment + before.get(number, 0), offset) for index, number, segment, offset in out if index >= 0]
+
+
+def _agreed(rows: DataFrame, n: int, max_length: int, open_windows: int) -> tuple[list[Walk], list[int]]:
+    """How each of n ranges is packed, and how many were packed in each round. The driver sees a few numbers a range."""
+
+    def walked(entries: dict[int, list[int]]) -> dict[int, Walk]:
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            at, entry = key[0].as_py(), entries[key[0].as_py()]
+            packer, placed = _walk(table.sort_by("position")["length"].to_pylist(), max_length, open_windows, entry, at == n - 1)
+            walk = Walk.of(packer, entry, placed)
+            fields = [("range", pa.int64()), *[(f, pa.int64() if f == "emitted" else pa.list_(pa.int64())) for f in WALKED]]
+            return pa.table({"range": [at], **{f: [getattr(walk, f)] for f in WALKED}}, schema=pa.schema(fields))
+
+        some = rows if len(entries) == n else rows.where(F.col("range").isin(list(entries)))
+        found = some.groupBy("range").applyInArrow(run, "range long, rooms array<long>, members array<long>, origin array<long>, emitted long, left_at array<long>")
+        # Without rows there is one range, and it has none.
+        nothing = {k: Walk(entry, entry, [1] * len(entry), list(range(len(entry))), 0, [-1] * len(entry)) for k, entry in entries.items()}
+        return nothing | {r["range"]: Walk(entries[r["range"]], *[r[f] for f in WALKED]) for r in found.collect()}
+
+    walks, rounds = walked({k: [] for k in range(n)}), [n]
+    while differ := {k: walks[k - 1].rooms for k in range(1, n) if walks[k].entry != walks[k - 1].rooms}:
+        walks |= walked(differ)
+        rounds.append(len(differ))
+    LOG.info("packed %s ranges in %d rounds", "+".join(map(str, rounds)), len(rounds))
+    return [walks[k] for k in range(n)], rounds
+
+
+def plan(
+    df: DataFrame, max_length: int, *, id_col: str, order: list[str], length_col: str = "unpadded_length", open_windows: int = 8, shards: int | None = None, range_rows: int = RANGE_ROWS
+) -> DataFrame:
     """(id, window_id, segment, offset, length): where each example goes. window_id is dense from 0.
 
-    ``shards`` contiguous ranges of the order are packed apart; None makes one
-    for every SHARD_ROWS rows, 1 packs all rows in one exact sequence.
+    The result is that of one fold over all rows in order, in ranges of
+    ``range_rows`` at once. With two ``shards`` or more, as many contiguous
+    parts of the order are packed apart, each with a pool of its own.
     """
     if open_windows < 1:
         raise ValueError("open_windows must be positive")
     # Ids, order and lengths are all that planning reads, several times over; encoding runs once for it.
     lengths = workspace.saved(df.select(id_col, *[c for c in order if c != id_col], F.col(length_col).cast("int").alias("length")), "lengths")
     total = max(1, lengths.count())
-    shards = shards or -(-total // SHARD_ROWS)
-    shard = F.floor(F.col("position") * shards / F.lit(total)).cast("int")
-    rows = numbered(lengths, order).select(F.col(id_col), "position", "length", shard.alias("shard"))
+    apart = shards is not None and shards > 1
+    n = shards if apart else -(-total // range_rows)
+    part = F.floor(F.col("position") * n / F.lit(total)) if apart else F.floor(F.col("position") / range_rows)
+    rows = numbered(lengths, order).select(F.col(id_col), "position", "length", part.cast("long").alias("range"))
+    if apart:
+        facts = [{"entry": [], "first": 0, "members": [], "began": [], "left": []}] * n
+    else:
+        rows = workspace.saved(rows, "ranges")
+        facts = chain(_agreed(rows, n, max_length, open_windows)[0])
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("position")
-        placed = list(fold(enumerate(table["length"].to_pylist()), max_length, open_windows))
+        table, at = table.sort_by("position"), key[0].as_py()
+        placed = _placements(table["length"].to_pylist(), max_length, open_windows, facts[at], apart or at == n - 1)
         take = pa.array([p[0] for p in placed], pa.int64())
-        return pa.table(
-            {
-                id_col: table[id_col].take(take), "length": table["length"].take(take), "shard": table["shard"].take(take),
-                "_window": pa.array([p[1] for p in placed], pa.int64()), "segment": pa.array([p[2] for p in placed], pa.int32()), "offset": pa.array([p[3] for p in placed], pa.int32()),
-            }
-        )
-
-    packed = rows.groupBy("shard").applyInArrow(run, f"{id_col} {kind}, length int, shard int, _window long, segment int, offset int")
-    if shards == 1:
-        return packed.withColumnRenamed("_window", "window_id").drop("shard")
-    counts = packed.groupBy("shard").agg((F.max("_window") + 1).alias("_n"))
-    before = Window.partitionBy(F.lit(1)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("shard").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return packed.join(F.broadcast(starts), F.col("shard") == F.col("_s")).select(
-        id_col, "length", (F.col("_window") + F.col("_before")).cast("long").alias("window_id"), "segment", "offset"
-    )
+        numbers = {name: pa.array([p[i] for p in placed], t) for name, i, t in (("window_id", 1, pa.int64()), ("segment", 2, pa.int32()), ("offset", 3, pa.int32()))}
+        return pa.table({id_col: table[id_col].take(take), "length": table["length"].take(take), "range": table["range"].take(take), **numbers})
+
+    packed = rows.groupBy("range").applyInArrow(run, f"{id_col} {kind}, length int, range long, window_id long, segment int, offset int")
+    names = [id_col, "length", "window_id", "segment", "offset"]
+    if not apart:
+        return packed.select(*names)
+    counts = packed.groupBy("range").agg((F.max("window_id") + 1).alias("_n"))
+    before = Window.partitionBy(F.lit(1)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("range").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return packed.join(F.broadcast(starts), F.col("range") == F.col("_s")).withColumn("window_id", F.col("window_id") + F.col("_before")).select(*names)
 
 
 def assemble(planned: DataFrame, examples: DataFrame, max_length: int, *, id_col: str, pad_id: int = 0) -> DataFrame:

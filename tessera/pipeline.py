@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from tessera.config import epochs
 from tessera.functions.messages import schema_from_config
-from tessera.functions.template import CODE_POINTS, Adapter, Additive
+from tessera.functions.template import CODE_POINTS, Adapter, Additive, padding_id
 from tessera.operators import encode as E
 from tessera.operators import ordering, packing
-from tessera.sources import corpora
+from tessera.sources import corpora, workspace
 
 
 @dataclass(frozen=True)
@@ -50,26 +50,33 @@ def with_recipe(template: Additive | Adapter, config: dict[str, Any]) -> Additiv
     return replace(template, chat_template=text)
 
 
-def build(df: DataFrame, cfg: E.EncodeConfig, *, key: str, batch_size: int, epochs: int = 1, shuffle: bool = True, seed: int = 42, pack: bool = False, shards: int | None = None) -> DataFrame:
-    """Shuffle, repeat, encode, then pack or pad, then batch; the last short batch is dropped.
+def build(
+    df: DataFrame, cfg: E.EncodeConfig, *, key: str, batch_size: int, pad_id: int, epochs: int = 1, shuffle: bool = True, seed: int = 42, pack: bool = False, shards: int | None = None
+) -> DataFrame:
+    """Encode, shuffle, repeat, then pack or pad, then batch; the last short batch is dropped.
 
-    Packing joins lengths back with tokens by ``example_id``, unique across epochs.
+    Rows are encoded once, whatever the number of epochs: encoded rows are
+    saved under a number of their own, and epochs are orders of these numbers,
+    each with its own shuffle, that meet the tokens at the end.
     """
-    rows = ordering.repeated(df, epochs)
-    rows = ordering.shuffled(rows, key, seed) if shuffle else rows.withColumn("order_key", F.col(key))
-    encoded = E.kept(E.encode(rows, cfg)).withColumn("example_id", F.concat_ws("/", F.col("epoch").cast("string"), F.col(key).cast("string")))
+    encoded = workspace.saved(E.kept(E.encode(df, cfg)).withColumn("_row", F.monotonically_increasing_id()), "encoded")
+    rows = ordering.repeated(encoded.select("_row", F.col(key).alias("_key"), "unpadded_length"), epochs)
+    rows = ordering.shuffled(rows, "_key", seed) if shuffle else rows.withColumn("order_key", F.col("_key"))
+    order = ["epoch", "order_key", "_key", "_row"]
     if not pack:
-        return ordering.batched(E.dense(encoded, cfg), batch_size, ["epoch", "order_key", key])
-    planned = packing.plan(encoded, cfg.max_length, id_col="example_id", order=["epoch", "order_key", "example_id"], shards=shards)
-    windows = packing.assemble(planned, encoded, cfg.max_length, id_col="example_id")
+        places = ordering.in_batches(ordering.numbered(rows.select(*order), order), batch_size)
+        return E.dense(places.drop("_key").join(encoded, "_row").drop("_row"), cfg, pad_id)
+    example = F.struct("epoch", "_row").alias("example")
+    planned = packing.plan(rows.select(*order, "unpadded_length", example), cfg.max_length, id_col="example", order=order, shards=shards)
+    windows = packing.assemble(planned.withColumn("_row", F.col("example._row")), encoded, cfg.max_length, id_col="_row", pad_id=pad_id)
     return packing.batches(windows, batch_size)
 
 
 def load(spark: SparkSession, config: dict[str, Any], *, key: str, catalog: corpora.Catalog | None = None, template: Additive | Adapter = CODE_POINTS) -> Built:
     """Both halves of a recipe's dataset; eval has one epoch, no shuffle, and the same batches and packing.
 
-    ``dataset.pack_shards`` says how many ranges of the rows are packed apart: 1
-    for one exact sequence, null for as many as the number of rows asks for.
+    ``dataset.pack_shards`` says how many parts of the rows are packed apart:
+    null or 1 for one exact sequence.
     """
     d = config["dataset"]
     if d.get("name") == "parquet":
@@ -81,8 +88,9 @@ def load(spark: SparkSession, config: dict[str, Any], *, key: str, catalog: corp
     df = ordering.first_n(df, d.get("max_examples"), key)
     seed = d.get("seed", 42)
     train, held = ordering.split(df, d.get("eval_fraction", 0.0), key, seed, d.get("eval_max_examples"))
-    cfg = encode_config(d, with_recipe(template, config))
-    shared = {"key": key, "batch_size": d["batch_size"], "seed": seed, "pack": d.get("packing", False), "shards": d.get("pack_shards")}
+    template = with_recipe(template, config)
+    cfg = encode_config(d, template)
+    shared = {"key": key, "batch_size": d["batch_size"], "pad_id": padding_id(template), "seed": seed, "pack": d.get("packing", False), "shards": d.get("pack_shards")}
     return Built(
         build(train, cfg, epochs=epochs(config), **shared),
         None if held is None else build(held, cfg, shuffle=False, **shared),

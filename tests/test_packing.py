@@ -67,6 +67,36 @@ def test_first_token_of_a_segment_is_not_supervised(spark):
     assert row.input_mask == [False, True, False, True, *[False] * 4]
 
 
+def test_ranges_give_the_sequence_of_one():
+    """Ranges packed from the pools before them, put together, are one fold over all sizes."""
+    rnd = random.Random(11)
+    for _ in range(150):
+        limit, pool, width = rnd.randint(3, 40), rnd.randint(1, 6), rnd.randint(1, 25)
+        sizes = [rnd.randint(1, limit) for _ in range(rnd.randint(1, 90))]
+        parts = [sizes[i : i + width] for i in range(0, len(sizes), width)]
+        walks, entry = [], []
+        for k, part in enumerate(parts):
+            packer, placed = packing._walk(part, limit, pool, entry, k == len(parts) - 1)
+            walks.append(packing.Walk.of(packer, entry, placed))
+            entry = packer.room
+        got = []
+        for k, (part, facts) in enumerate(zip(parts, packing.chain(walks), strict=True)):
+            got += [(k * width + i, *rest) for i, *rest in packing._placements(part, limit, pool, facts, k == len(parts) - 1)]
+        assert sorted(got) == sorted(packing.fold(enumerate(sizes), limit, pool))
+
+
+def test_parallel_plan_is_exact(spark):
+    """Any number of ranges: soon equal pools (large sizes) and pools that never meet (small ones)."""
+    rnd = random.Random(12)
+    for sizes in ([rnd.randint(1, 64) for _ in range(300)], [rnd.randint(1, 3) for _ in range(300)], [5]):
+        df = examples(spark, sizes)
+        want = sorted(packing.fold(enumerate(sizes), 64, 8))
+        for width in (1000, 97, 40):
+            got = packing.plan(df, 64, id_col="id", order=["id"], range_rows=width).collect()
+            assert sorted((r.id, r.window_id, r.segment, r.offset) for r in got) == want
+            assert all(r.length == sizes[r.id] for r in got)
+
+
 def test_plan_and_shards(spark):
     rnd = random.Random(9)
     sizes = [rnd.randint(1, 40) for _ in range(200)]

@@ -1,4 +1,5 @@
 import math
+import uuid
 
 import pytest
 import yaml
@@ -6,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera import config as C
 from tessera import pipeline
-from tessera.operators import events, history, stats, transcripts
+from tessera.functions.points import PointTokenizer
+from tessera.functions.template import Adapter
+from tessera.operators import events, history, ordering, stats, transcripts
 from tessera.sources import corpora
 from tessera.streaming import streams
 
@@ -65,6 +68,61 @@ def test_load_from_recipe(spark, tmp_path):
     assert built.train.count() == 108 and built.eval.count() == 4
 
 
+class Counting(PointTokenizer):
+    """Pads with 99,999 and leaves a mark for each whole render."""
+
+    def __init__(self, marks):
+        super().__init__()
+        self.marks = marks
+
+    def pad_id(self):
+        return 99_999
+
+    def apply_chat_template(self, messages, *, tokenize=True, add_generation_prompt=False):
+        if not add_generation_prompt and messages[0]["content"] != "probe":
+            (self.marks / uuid.uuid4().hex).touch()
+        return super().apply_chat_template(messages, add_generation_prompt=add_generation_prompt)
+
+
+class Unpadded(PointTokenizer):
+    def __init__(self):
+        super().__init__()
+        self.pad_token_id = self.eos_token_id = None
+
+
+@pytest.mark.parametrize("pack", [False, True])
+@pytest.mark.parametrize("epochs", [1, 3])
+def test_rows_are_rendered_once_and_padded_by_the_tokenizer(spark, tmp_path, pack, epochs):
+    (tmp_path / "marks").mkdir()
+    rows = [(i, [("user", "q" * (i + 1)), ("assistant", "a" * (i + 1))]) for i in range(6)]
+    spark.createDataFrame(rows, "id long, messages array<struct<role:string,content:string>>").write.parquet(str(tmp_path / "d"))
+    cfg = recipe(tmp_path, f"dataset.data_files={tmp_path}/d/*.parquet", f"dataset.num_train_epochs={epochs}", f"dataset.packing={pack}", "dataset.eval_fraction=0", "dataset.batch_size=1", "dataset.max_length=64")
+    marks = tmp_path / "marks"
+    got = pipeline.load(spark, cfg, key="id", template=Adapter(lambda: Counting(marks))).train.collect()
+    assert len(list(marks.iterdir())) == 6
+    texts = [r.input_tokens for r in got]
+    assert all(len(t) == 64 and t[-1] == 99_999 for t in texts) and not any(0 in t for t in texts)
+    assert sum(t.count(ord("a")) - 0 for t in texts) > 0 and sum(t.count(ord("q")) for t in texts) == 21 * epochs
+    if not pack:
+        assert sorted(r.epoch for r in got) == sorted(list(range(epochs)) * 6)
+    with pytest.raises(ValueError, match="padding"):
+        pipeline.load(spark, cfg, key="id", template=Adapter(Unpadded))
+
+
+def test_epochs_below_two_are_one(tmp_path):
+    for value in (0, 1, -3, "null"):
+        assert C.epochs(recipe(tmp_path, f"dataset.num_train_epochs={value}")) == 1
+    assert C.max_steps(recipe(tmp_path, "dataset.num_train_epochs=0"), 100) == 1
+
+
+@pytest.mark.parametrize("n", [1, 15, 20, 99, 100, 500])
+def test_first_rows_with_tied_keys(spark, n):
+    df = spark.range(100).select((F.col("id") % 10).alias("key"), "id", F.create_map(F.lit("k"), "id").alias("m")).repartition(5)
+    got = ordering.first_n(df, n, "key").collect()
+    assert len(got) == min(n, 100) and sorted(r.key for r in got) == sorted(i % 10 for i in range(100))[:n]
+    assert sorted(r.id for r in ordering.first_n(df.repartition(3), n, "key").collect()) == sorted(r.id for r in got)
+
+
 def test_probe_in_the_corpus_spelling(spark, tmp_path):
     cfg = recipe(tmp_path, "dataset.message_schema={role_key: from, content_key: value, role_map: {human: user, gpt: assistant}}", "dataset.messages_column=chat")
     row = pipeline.probe(spark, cfg).first()
