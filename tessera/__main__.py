@@ -10,12 +10,12 @@ from pyspark.sql import SparkSession
 
 from tessera import config as C
 from tessera import pipeline
-from tessera.functions.template import CODE_POINTS, Adapter, Additive
+from tessera.functions.template import CODE_POINTS, Template
 from tessera.operators.encode import supervised
 from tessera.sources import corpora
 
 
-def doctor(spark: SparkSession, config: dict, template: Additive | Adapter = CODE_POINTS) -> list[str]:
+def doctor(spark: SparkSession, config: dict, template: Template = CODE_POINTS) -> list[str]:
     """Every fault that the recipe's files, settings and a probe show, not only the first."""
     faults = []
     dataset, training = config["dataset"], config["training"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import messages as M
-from tessera.functions.template import CODE_POINTS, Adapter, Additive, code_points
+from tessera.functions.template import CODE_POINTS, Additive, Template, code_points
 
 POLICIES = ("drop", "truncate")
 
@@ -24,7 +24,7 @@ class EncodeConfig:
     reasoning_end: str = "</think>"
     schema: M.MessageSchema = field(default_factory=lambda: M.DEFAULT_SCHEMA)
     overlength_policy: str = "drop"
-    template: Additive | Adapter = CODE_POINTS
+    template: Template = CODE_POINTS
 
     def __post_init__(self) -> None:
         if self.overlength_policy not in POLICIES:
@@ -44,7 +44,7 @@ def encode(df: DataFrame, cfg: EncodeConfig) -> DataFrame:
     ``full_length`` is the render's length before truncation.
     """
     out = prepare(df, cfg)
-    if isinstance(cfg.template, Adapter):
+    if not isinstance(cfg.template, Additive):
         out = cfg.template.rendered(
             out.drop("ids", "spans", "prompt", "error"), spans=cfg.assistant_only_loss, longest=cfg.max_length if cfg.overlength_policy == "drop" else None
         )
@@ -90,7 +90,7 @@ def encode(df: DataFrame, cfg: EncodeConfig) -> DataFrame:
         out = out.withColumn("spans", whole)
     kept = F.col("drop_reason").isNull()
     clipped = F.transform(F.filter("spans", lambda s: s["start"] < length), lambda s: F.struct(s["start"].alias("start"), F.least(s["end"], length).alias("end")))
-    ids = F.col("ids") if isinstance(cfg.template, Adapter) else code_points(F.substr("rendered", F.lit(1), length))
+    ids = F.col("ids") if not isinstance(cfg.template, Additive) else code_points(F.substr("rendered", F.lit(1), length))
     return (
         out.withColumn("prompt_length", F.when(kept, prompt).cast("int"))
         .withColumn("unpadded_length", F.when(kept, length).cast("int"))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tessera.config import epochs
 from tessera.functions.messages import schema_from_config
-from tessera.functions.template import CODE_POINTS, Adapter, Additive, padding_id
+from tessera.functions.template import CODE_POINTS, Adapter, Template, padding_id
 from tessera.operators import encode as E
-from tessera.operators import ordering, packing
+from tessera.operators import bpe, ordering, packing
 from tessera.sources import corpora, workspace
 
 
@@ -25,7 +25,7 @@ class Built:
     eval: DataFrame | None
 
 
-def encode_config(dataset: dict[str, Any], template: Additive | Adapter = CODE_POINTS) -> E.EncodeConfig:
+def encode_config(dataset: dict[str, Any], template: Template = CODE_POINTS) -> E.EncodeConfig:
     return E.EncodeConfig(
         max_length=dataset["max_length"],
         messages_column=dataset.get("messages_column", "messages"),
@@ -40,8 +40,11 @@ def encode_config(dataset: dict[str, Any], template: Additive | Adapter = CODE_P
     )
 
 
-def with_recipe(template: Additive | Adapter, config: dict[str, Any]) -> Additive | Adapter:
-    """The template with the recipe's own chat template, which only a tokeniser can read."""
+def with_recipe(template: Template, config: dict[str, Any]) -> Template:
+    """The template that the recipe's ``tokenizer`` section asks for: a vocabulary (``ranks``), or a chat template for a given tokeniser."""
+    chat = bpe.from_recipe(config["tokenizer"])
+    if chat is not None:
+        return chat
     text = config["tokenizer"].get("chat_template")
     if not text:
         return template
@@ -72,7 +75,7 @@ def build(
     return packing.batches(windows, batch_size)
 
 
-def load(spark: SparkSession, config: dict[str, Any], *, key: str, catalog: corpora.Catalog | None = None, template: Additive | Adapter = CODE_POINTS) -> Built:
+def load(spark: SparkSession, config: dict[str, Any], *, key: str, catalog: corpora.Catalog | None = None, template: Template = CODE_POINTS) -> Built:
     """Both halves of a recipe's dataset; eval has one epoch, no shuffle, and the same batches and packing.
 
     ``dataset.pack_shards`` says how many parts of the rows are packed apart:
@@ -97,7 +100,7 @@ def load(spark: SparkSession, config: dict[str, Any], *, key: str, catalog: corp
     )
 
 
-def probe(spark: SparkSession, config: dict[str, Any], template: Additive | Adapter = CODE_POINTS) -> DataFrame:
+def probe(spark: SparkSession, config: dict[str, Any], template: Template = CODE_POINTS) -> DataFrame:
     """A preflight check: one small conversation in the corpus's own spelling, encoded at 256 places."""
     d = config["dataset"]
     schema = schema_from_config(d.get("message_schema"))
