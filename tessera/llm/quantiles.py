@@ -37,7 +37,7 @@ from tessera.llm import mixing, scratch
 K = 300
 SHRINK = 2 / 3
 LOWEST = 2
-LOT_VALUES = 1 << 17
+LOT_VALUES = 1 << 13
 FAN_IN = 64
 MOST = 1e16
 KEY = ["stream", "grp", "batch"]
