@@ -1,21 +1,19 @@
 """Line dedup by content-defined chunks of lines.
 
-Only DataFrame functions run here. There are two ways to cut texts:
-
-* ``runs``: every line with text is a chunk, and two neighbouring chunks (with
-  the blank lines between them) are looked up together. Each pair that stands
-  earlier is a repeat, and repeats that overlap or touch join into runs, so a
-  repeated passage of two or more lines goes whole whatever stands around it. A
-  pair that shares a line with its own first occurrence is not a repeat of it.
-* otherwise a cyclic rolling hash over the last ``WINDOW`` line hashes ends a
-  chunk where its low bits are zero. Limits depend on nearby lines alone, but one
-  line in four is a limit, so short passages inside unlike texts are mostly not
-  chunks of their own and stay.
-
-Chunks of two or more lines with text that occur again anywhere are compared
-byte for byte with the first occurrence (least doc_id, then place) and removed
-if equal; first occurrences stay, except for lines that are part of a repeat as
-well. Every line that is removed stays at its first place in the corpus.
+Only DataFrame functions run here. A cyclic rolling hash over the hashes of the
+last ``WINDOW`` lines with text (and the blank lines between them) runs along
+each text. Its low ``MASK`` bits choose where chunks end, so that limits depend
+on the lines of the window alone and stand at the same places of a passage
+whatever stands around it. Of a passage of k lines, k - WINDOW + 1 windows lie
+within it; so that passages of two lines are found, MASK is 0: each window is a
+limit, and the chunk that ends there is the window itself.
+
+Chunks that occur again anywhere are compared byte for byte with the first
+occurrence (least doc_id, then place) and removed if equal. Repeated chunks that
+overlap or touch join into runs, so a repeated passage of two or more lines
+goes whole. First occurrences stay, except for lines that are part of a repeat
+as well; a chunk that shares a line with its own first occurrence is not a
+repeat of it. Every line that is removed stays at its first place in the corpus.
 
 Hashes are counted without texts; only chunks whose hash repeats carry bytes.
 A chunk that makes up a HOT-th or more of all repeated ones is dealt to as many
@@ -37,41 +35,33 @@ from pyspark.sql import functions as F
 from tessera.llm import rows, scratch
 
 WINDOW = 2
-MASK = 3  # a limit after one line in four, on average
-MIN_LINES = 2
+MASK = 0  # chunks end where these bits of the rolling hash are zero: here at each line
 HOT = 1000
 
 
-def _rolled(at: Column) -> Column:
-    """The cyclic hash of the WINDOW lines before line ``at``."""
-    out = F.lit(0).cast("long")
-    for back in range(WINDOW, 0, -1):
-        turned = F.shiftleft(out, 1).bitwiseOR(F.shiftrightunsigned(out, 63))
-        out = turned.bitwiseXOR(F.get("_hashes", at - back))
-    return out
+def _rolled(hashes: Column) -> Column:
+    """The cyclic hash of a window of line hashes."""
+    turned = lambda h: F.shiftleft(h, 1).bitwiseOR(F.shiftrightunsigned(h, 63))
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda rolled, h: turned(rolled).bitwiseXOR(h))
 
 
 def _has_text(line: Column) -> Column:
     return F.rlike(line, F.lit(r"[^\x20\x09-\x0D]"))
 
 
-def _cut(texts: DataFrame, runs: bool) -> DataFrame:
-    """Adds _lines, _hashes, _starts (the first line of each chunk, from 0) and _spans (start and end of what is looked up)."""
-    limit = lambda i: (i == 0) | ((i >= WINDOW) & (_rolled(i).bitwiseAND(F.lit(MASK)) == 0))
-    starts = F.filter(F.sequence(F.lit(0), F.size("_hashes") - 1), (lambda i: _has_text(F.get("_lines", i))) if runs else limit)
-    span = lambda s, e: F.struct(s.alias("start"), e.alias("end"))
-    if runs:
-        # The last chunk has no neighbour after it.
-        spans = F.transform(F.slice("_starts", F.lit(1), F.greatest(F.size("_starts") - 1, F.lit(0))), lambda s, k: span(s, F.get("_starts", k + 1) + 1))
-    else:
-        every = F.transform("_starts", lambda s, k: span(s, F.coalesce(F.get("_starts", k + 1), F.size("_lines"))))
-        spans = F.filter(every, lambda c: F.size(F.filter(_slice(c["start"], c["end"]), _has_text)) >= MIN_LINES)
-    return (
+def _chunks(texts: DataFrame) -> DataFrame:
+    """(_id, _key, _start, _end, _hash) of each chunk: WINDOW lines with text that end where the rolling hash sets a limit."""
+    lined = (
         texts.withColumn("_lines", F.split("_text", "\n", -1))
         .withColumn("_hashes", F.transform("_lines", lambda x: F.xxhash64(x)))
-        .withColumn("_starts", starts)
-        .withColumn("_spans", spans)
+        .withColumn("_full", F.filter(F.sequence(F.lit(0), F.size("_hashes") - 1), lambda i: _has_text(F.get("_lines", i))))
     )
+    firsts = F.slice("_full", F.lit(1), F.greatest(F.size("_full") - (WINDOW - 1), F.lit(0)))
+    end = lambda k: F.get("_full", k + (WINDOW - 1)) + 1
+    chunk = lambda start, k: F.struct(start.alias("start"), end(k).alias("end"), _rolled(F.slice("_hashes", start + 1, end(k) - start)).alias("hash"))
+    every = F.transform(firsts, chunk)
+    limits = F.filter(every, lambda c: c["hash"].bitwiseAND(F.lit(MASK)) == 0) if MASK else every
+    return lined.select("_id", "_key", F.explode(limits).alias("_c")).select("_id", "_key", F.col("_c.start").alias("_start"), F.col("_c.end").alias("_end"), F.col("_c.hash").alias("_hash"))
 
 
 def _slice(start: Column, end: Column) -> Column:
@@ -79,19 +69,14 @@ def _slice(start: Column, end: Column) -> Column:
 
 
 def remove_repeats(
-    documents: DataFrame, *, runs: bool = False, drop_empty: bool = True, id_col: str = "doc_id", text_col: str = "text"
+    documents: DataFrame, *, drop_empty: bool = True, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The documents with repeated multi-line chunks, or runs of lines, taken out of ``text_col``."""
+    """The documents with repeated runs of two or more lines taken out of ``text_col``."""
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     keyed = documents.select(F.col(id_col).alias("_id"), key.alias("_key"), F.col(text_col).alias("_text"))
     keyed = keyed.where(F.contains("_text", F.lit("\n")))
 
-    chunk = lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.xxhash64(F.slice("_hashes", c["start"] + 1, c["end"] - c["start"])).alias("hash"))
-    spans = (
-        _cut(keyed, runs)
-        .select("_id", "_key", F.explode(F.transform("_spans", chunk)).alias("_c"))
-        .select("_id", "_key", F.col("_c.start").alias("_start"), F.col("_c.end").alias("_end"), F.col("_c.hash").alias("_hash"))
-    )
+    spans = _chunks(keyed)
     repeated = (
         spans.groupBy("_hash")
         .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_id", "_key", "_start", "_end")).alias("_first"))

@@ -38,7 +38,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), runs=True, drop_empty=False)
+    kept = line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_empty=False)
     return kept.select("doc_id", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -41,42 +41,19 @@ def pii(text: str | None) -> dict:
     return out | {"base_sha256": hashlib.sha256(line.encode()).hexdigest(), "base": line}
 
 
-def line_chunks(text: str, window: int = 2, mask: int = 3) -> list[list[str]]:
-    import xxhash
-
-    lines = text.split("\n")
-    h = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in lines]
-    out: list[list[str]] = []
-    for i, line in enumerate(lines):
-        rolled = 0
-        if i >= window:
-            for k in range(window, 0, -1):
-                rolled = ((rolled << 1 | rolled >> 63) & (1 << 64) - 1) ^ h[i - k]
-        if i == 0 or i >= window and rolled & mask == 0:
-            out.append([])
-        out[-1].append(line)
-    return out
-
-
-def line_dedup(rows: list[tuple[int, str | None]]) -> dict[int, str | None]:
-    """Texts by id (ids are unique), without documents that lose every line."""
-    seen: set[tuple[str, ...]] = set()
-    out: dict[int, str | None] = {}
+def line_dedup(rows: list[tuple[int, str | None]], drop_empty: bool = True) -> dict[int, str | None]:
+    """Texts by id (ids are unique): lines of a pair that stands earlier, and does not overlap its first place, are left out."""
+    first: dict[str, tuple[int, int]] = {}
+    gone: dict[int, set[int]] = {}
     for i, text in sorted(rows):
-        if text is None or "\n" not in text:
-            out[i] = text
-            continue
-        kept, gone = [], 0
-        for c in line_chunks(text):
-            if sum(bool(WORD.search(x)) for x in c) >= 2:
-                if tuple(c) in seen:
-                    gone += 1
-                    continue
-                seen.add(tuple(c))
-            kept.append(c)
-        if kept:
-            out[i] = "\n".join(x for c in kept for x in c) if gone else text
-    return out
+        lines = (text or "").split("\n")
+        full = [k for k, x in enumerate(lines) if WORD.search(x)]
+        for a, z in zip(full, full[1:], strict=False):
+            at = first.setdefault("\n".join(lines[a : z + 1]), (i, z))
+            if not (at[0] == i and a <= at[1]):
+                gone.setdefault(i, set()).update(range(a, z + 1))
+    out = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) if i in gone else t for i, t in rows}
+    return {i: out[i] for i, t in rows if not (drop_empty and i in gone and len(gone[i]) == len(t.split("\n")))}
 
 
 def near_dups(rows: list[tuple[int, str | None]], k: int, percent: int) -> dict[int, tuple[int, int]]:

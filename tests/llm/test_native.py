@@ -142,39 +142,26 @@ def test_line_dedup(spark):
     assert every == {i: want.get(i, "") for i, _ in rows}
 
 
-def line_runs(rows):
-    """Texts by id (ids are unique): lines of a pair that stands earlier, and does not overlap its first place, are left out."""
-    first, gone = {}, {}
-    for i, text in sorted(rows):
-        lines = (text or "").split("\n")
-        full = [k for k, x in enumerate(lines) if brute.WORD.search(x)]
-        for a, z in zip(full, full[1:], strict=False):
-            at = first.setdefault("\n".join(lines[a : z + 1]), (i, z))
-            if not (at[0] == i and a <= at[1]):
-                gone.setdefault(i, set()).update(range(a, z + 1))
-    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) if i in gone else t for i, t in rows}
-
-
 def test_line_runs(spark):
     rows = line_corpus(4) + [(300, "q\nq\nq"), (301, "r\nr\nr\nr"), (302, "s\n\nt"), (303, "own\ns\n\nt\nend"), (304, "s\nt"), (305, "s\n\nt")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("_key", F.lit("clash"))
-    want = line_runs(rows)
-    got = {r.doc_id: r.text for r in line_dedup.remove_repeats(df, runs=True, drop_empty=False).collect()}
+    want = brute.line_dedup(rows, drop_empty=False)
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeats(df, drop_empty=False).collect()}
     assert got == want
     assert (want[300], want[301], want[303], want[304], want[305]) == ("q\nq\nq", "r\nr", "own\nend", "s\nt", "")
-    kept = {r.doc_id for r in line_dedup.remove_repeats(df, runs=True).collect()}
+    kept = {r.doc_id for r in line_dedup.remove_repeats(df).collect()}
     assert {i for i, _ in rows} - kept == {i for i, t in rows if t and "\n" in t and not want[i]}
 
 
 def test_short_passages_inside_unlike_texts_go(spark):
     rnd = random.Random(8)
     text = lambda n: " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(999)) for _ in range(n))
-    passages = [[text(20) for _ in range(k)] for k in (2, 3, 4, 6) for _ in range(10)]
+    passages = [[text(20) for _ in range(k)] for k in (2, 3, 4, 6, 10) for _ in range(10)]
     rows = []
     for i, p in enumerate(passages * 3):
         rows.append((i, "\n".join([*(text(15) for _ in range(rnd.randint(1, 6))), *p, *(text(15) for _ in range(rnd.randint(1, 6)))])))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.text.split("\n") for r in line_dedup.remove_repeats(df, runs=True).collect()}
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.remove_repeats(df).collect()}
     for i, text in rows:
         p = passages[i % len(passages)]
         assert got[i] == (text.split("\n") if i < len(passages) else [x for x in text.split("\n") if x not in p])
