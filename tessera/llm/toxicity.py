@@ -200,7 +200,8 @@ def _featured(sample: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarr
                 cells = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), cells], names=["doc_id", "label", "x"])
 
-    rows = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label double, x array<double>").toPandas()
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    rows = sample.select("doc_id", "text", "label").mapInArrow(run, f"doc_id {kind}, label double, x array<double>").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, len(FEATURES)))
     return x, rows["label"].to_numpy(dtype=np.float64), rows["doc_id"].to_numpy()
@@ -220,10 +221,11 @@ class Model:
 
 def learn(documents: DataFrame, labels: DataFrame, rows: int = labelled.TRAIN_ROWS) -> Model:
     sample = labelled.training_sample(documents, labels, "toxic", PARTS, HELD_OUT, rows).persist()
-    # The lexicon is learned on half of the sample, so that its counts on the other half are as on unseen texts.
+    # Each half of the sample is looked up in the lexicon of the other, so that counts are as on unseen texts and all rows train the trees.
     half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))
-    first = learn_lexicon(sample.where(half == 0))
-    x, y, ids = _featured(sample.where(half == 1), first)
+    halves = [sample.where(half == k) for k in (0, 1)]
+    parts = [_featured(own, learn_lexicon(other)) for own, other in (halves, halves[::-1])]
+    x, y, ids = (np.concatenate(v) for v in zip(*parts, strict=True))
     if len(np.unique(y)) < 2:
         sample.unpersist()
         return Model(NO_LEXICON, None, (np.zeros(1), np.array([y.mean() if len(y) else 0.5])))
