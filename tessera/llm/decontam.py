@@ -44,6 +44,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm import bytescan as b
 from tessera.llm import scratch
@@ -313,7 +314,7 @@ def find(
                         names=["doc_id", "item_id", "n_words", "distance"],
                     )
 
-        ids_type = pa.string() if item_kind == "string" else pa.int64() if item_kind == "bigint" else pa.int32()
+        ids_type = to_arrow_type(benchmark.schema[item_col].dataType)
         return documents.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, n_words long, distance long")
 
     blocks = _blocks(benchmark, item_col, item_text_col)

@@ -125,6 +125,8 @@ def mix(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        # Rows without an id are dealt by their texts; a null has no part in a hash.
+        F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).alias("_other"),
     )
     sized = scratch.saved(sized, "sized")  # ids, sources and sizes: texts are read once
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_null", F.col("source").isNull())
@@ -151,7 +153,7 @@ def mix(
     dealt = (
         sized.join(per_source.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
         .drop("_s")
-        .withColumn("_order", F.xxhash64(F.lit(seed), F.col("doc_id")))
+        .withColumn("_order", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_other")))
         .withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("_order")), F.col("_shards")))
     )
     line = Window.partitionBy("source_rank", "_shard").orderBy("_order", "doc_id", "size")

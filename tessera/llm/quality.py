@@ -221,8 +221,10 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = labelled.TRAIN_RO
                 cells = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), cells], names=["doc_id", "x"])
 
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
     def featured(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        got = sample.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+        got = sample.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<double>").toPandas().sort_values("doc_id", kind="stable")
         x = np.stack(got["x"].to_list()) if len(got) else np.zeros((0, len(FEATURES)))
         return x, np.array([labelled.bucket(f"p{i}", 2) for i in got["doc_id"]], dtype=np.int64)
 

@@ -47,7 +47,7 @@ def test_clashing_columns(spark):
     model = quality.Model(None, 0.5)
     for operator in (
         line_dedup.remove_repeats,
-        lambda d: line_dedup.remove_repeats(d, runs=True, drop_empty=False),
+        lambda d: line_dedup.remove_repeats(d, drop_empty=False),
         near_dup.keep,
         lambda d: decontam.keep(d, bench),
         lambda d: pii.redact(d, pii.find(d)),
@@ -81,7 +81,7 @@ def test_very_long_texts(spark):
     bench = spark.createDataFrame([(9, item)], "item_id long, text string")
     assert [(r.doc_id, r.distance) for r in decontam.find(df, bench).collect()] == [(1, 0)]
     assert [r.doc_id for r in near_dup.label(df, k=3, percent=85).where("component_id <> doc_id").collect()] == [2]
-    left = texts(line_dedup.remove_repeats(df, runs=True))
+    left = texts(line_dedup.remove_repeats(df))
     assert left[4] == "short" and left[3] == rows[2][1] and left[1] == rows[0][1]
     data, at = b.column(pa.array([t for _, t in rows]))
     net = quality.fit(*(np.random.default_rng(k).random((50, len(quality.FEATURES))) for k in (1, 2)), 0.5, steps=5)
@@ -134,3 +134,29 @@ def test_scratch_tables_are_freed(spark):
     assert scratch.tables() - before == {two.scratch_path} and two.count() == 4
     scratch.clean(keep=before)
     assert scratch.tables() == before
+
+
+@pytest.mark.parametrize("kind", ["smallint", "int", "string", "decimal(9,0)"])
+def test_ids_of_other_types(spark, kind):
+    """Learning, scoring and searching take ids of any type that numbers can have."""
+    rows = [(i, f"you stupid fool {i}" if i % 3 == 0 else f"a calm day by the sea {i} with words enough to tell", i % 3 == 0) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bad boolean").withColumn("doc_id", F.col("doc_id").cast(kind))
+    labels = df.select("doc_id", F.col("bad").cast("int").alias("toxic"), (~F.col("bad")).cast("int").alias("quality"))
+    for part in (toxicity, quality):
+        got = part.score(df.select("doc_id", "text"), part.learn(df, labels))
+        assert got.schema["doc_id"].dataType == df.schema["doc_id"].dataType and got.count() == 90
+    bench = spark.createDataFrame([(7, rows[7][1])], "item_id long, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    found = decontam.find(df, bench).collect()
+    assert {int(r.doc_id) for r in found} >= {7} and {int(r.item_id) for r in found} == {7}
+
+
+def test_rows_without_ids_are_dealt_apart(spark):
+    """Of one source and no ids, rows of different texts fall into many shards, and the mix comes near its target."""
+    from tessera.llm import mixing
+
+    df = spark.createDataFrame([(None, f"some words {i} " * 40, "s") for i in range(200)] + [(1, "other words " * 900, "t")], "doc_id long, text string, source string")
+    got = mixing.mix(df, shard_words=2000).collect()
+    taken = {s: sum(r.taken for r in got if r.source == s) for s in "st"}
+    target = {r.source: r.target for r in got}
+    assert all(abs(taken[s] - target[s]) <= 64 + 0.02 * target[s] for s in "st")
+    assert len({r.taken for r in got if r.doc_id is None}) > 1
