@@ -60,14 +60,18 @@ def duplicate_keys(df: DataFrame, key: str = "key") -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def lr_schedule(spark: SparkSession, max_steps: int, rate: float, *, warmup_ratio: float = 0.0, min_ratio: float = 0.1) -> DataFrame:
-    """(step, rate): linear warm-up from zero, then a cosine to rate * min_ratio."""
+def learning_rate(step: Column, max_steps: int, rate: float, *, warmup_ratio: float = 0.0, min_ratio: float = 0.1) -> Column:
+    """The rate at a step: linear warm-up from zero, then a cosine to rate * min_ratio, which stays."""
     warm = int(max_steps * warmup_ratio)
     decay = max(max_steps, warm + 1)
-    progress = F.least((F.col("step") - warm) / F.lit(decay - warm), F.lit(1.0))
+    progress = F.least((step - warm) / F.lit(decay - warm), F.lit(1.0))
     cosine = rate * (min_ratio + (1 - min_ratio) * (1 + F.cos(F.lit(3.141592653589793) * progress)) / 2)
-    warming = F.lit(rate) * F.col("step") / max(warm, 1)
-    return spark.range(max_steps).select(F.col("id").alias("step"), F.when(F.col("id") < warm, warming).otherwise(cosine).alias("rate"))
+    return F.when(step < warm, F.lit(rate) * step / max(warm, 1)).otherwise(cosine)
+
+
+def lr_schedule(spark: SparkSession, max_steps: int, rate: float, **shape: float) -> DataFrame:
+    """(step, rate) of every step."""
+    return spark.range(max_steps).select(F.col("id").alias("step"), learning_rate(F.col("id"), max_steps, rate, **shape).alias("rate"))
 
 
 def power_of_two(block: Column) -> Column:

@@ -30,12 +30,16 @@ def records(df: DataFrame, *, max_new_tokens: int, start: str = "<think>", end:
     )
 
 
-def append_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+def append_jsonl(df: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """Adds records. Those of a numbered batch of a stream stand in a folder of their own, which a replay writes anew."""
+    if batch_id is None:
+        df.write.mode("append").json(path)
+    else:
+        df.write.mode("overwrite").json(f"{path}/batch-{batch_id:012d}")
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).json(path)
+    return spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").json(path)
 
 
 def by_step(df: DataFrame) -> DataFrame:

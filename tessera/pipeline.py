@@ -100,15 +100,18 @@ def load(spark: SparkSession, config: dict[str, Any], *, key: str, catalog: corp
     )
 
 
-def probe(spark: SparkSession, config: dict[str, Any], template: Template = CODE_POINTS) -> DataFrame:
-    """A preflight check: one small conversation in the corpus's own spelling, encoded at 256 places."""
+def probe(spark: SparkSession, config: dict[str, Any], template: Template = CODE_POINTS, systems: DataFrame | None = None) -> DataFrame:
+    """A preflight check: one small conversation in the corpus's own spelling, encoded at 256 places.
+
+    With ``systems``, a table with a column ``system``, one under each of these prompts.
+    """
     d = config["dataset"]
     schema = schema_from_config(d.get("message_schema"))
     spelling = {v: k for k, v in schema.role_map.items()}
     start, end = d.get("reasoning_start", "<think>"), d.get("reasoning_end", "</think>")
-    turns = [("user", "What is 2 + 2?"), ("assistant", f"{start}2 and 2 are 4.{end}4")]
+    said = lambda role, content: F.struct(F.lit(spelling.get(role, role)).alias(schema.role_key), content.alias(schema.content_key))
+    turns = [said("user", F.lit("What is 2 + 2?")), said("assistant", F.lit(f"{start}2 and 2 are 4.{end}4"))]
     column = d.get("messages_column", "messages")
-    kind = f"`{column}` array<struct<`{schema.role_key}`:string,`{schema.content_key}`:string>>"
-    row = spark.createDataFrame([([(spelling.get(r, r), c) for r, c in turns],)], kind)
+    rows = spark.range(1).select(F.array(*turns).alias(column)) if systems is None else systems.withColumn(column, F.array(said("system", F.col("system")), *turns))
     block = copy.deepcopy({k: d[k] for k in ("messages_column", "system_prompt", "message_schema", "reasoning_start", "reasoning_end") if k in d})
-    return E.encode(row, encode_config(block | {"max_length": 256}, with_recipe(template, config)))
+    return E.encode(rows, encode_config(block | {"max_length": 256}, with_recipe(template, config)))

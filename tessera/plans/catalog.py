@@ -321,10 +321,10 @@ def _plan(spark: SparkSession, sf: str, **more) -> DataFrame:
     return packing.plan(_examples(spark, sf), 8192, id_col="conv_id", order=["conv_id"], **more)
 
 
-def _placed_sql(pool: int, shards: int = 1) -> str:
+def _placed_sql(pool: int, shards: int = 1, limit: int = 4096, window: int = 8192, order: str = "conv_id") -> str:
     """First-fit packing as a recursion over the examples of each shard that carries the pool as lists."""
-    return f"""WITH RECURSIVE k AS ({_encoded_sql(4096, "drop", False)}),
-n AS (SELECT conv_id, unpadded_length AS size, row_number() OVER (ORDER BY conv_id) - 1 AS p, count(*) OVER () AS total FROM k),
+    return f"""WITH RECURSIVE k AS ({_encoded_sql(limit, "drop", False)}),
+n AS (SELECT conv_id, unpadded_length AS size, row_number() OVER (ORDER BY {order}) - 1 AS p, count(*) OVER () AS total FROM k),
 x AS (SELECT conv_id, size, p * {shards} // total AS sh, row_number() OVER (PARTITION BY p * {shards} // total ORDER BY p) AS i FROM n),
 st(sh, i, conv_id, size, used, cid, seg, made, home, segment, start_at, gone) AS (
   SELECT DISTINCT CAST(sh AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM x
@@ -337,7 +337,7 @@ st(sh, i, conv_id, size, used, cid, seg, made, home, segment, start_at, gone) AS
     CASE WHEN f > 0 THEN cid[f] ELSE made END, CASE WHEN f > 0 THEN seg[f] + 1 ELSE 1 END, CASE WHEN f > 0 THEN used[f] ELSE 0 END,
     CASE WHEN f = 0 AND e > 0 THEN cid[e] END
   FROM (SELECT st.sh, st.i, st.used, st.cid, st.seg, st.made, x.size AS l, x.conv_id AS conv,
-      coalesce(list_position(list_transform(st.used, lambda u: u + x.size <= 8192), true), 0) AS f,
+      coalesce(list_position(list_transform(st.used, lambda u: u + x.size <= {window}), true), 0) AS f,
       CASE WHEN len(st.used) >= {pool} THEN list_position(st.used, list_max(st.used)) ELSE 0 END AS e
     FROM st JOIN x ON x.sh = st.sh AND x.i = st.i + 1) z
 ), o AS (
@@ -371,6 +371,12 @@ def pack_plan(spark: SparkSession, sf: str) -> DataFrame:
     return _plan(spark, sf, shards=1).select("conv_id", "window_id", *_long("segment", "offset", "length"))
 
 
+@query(f"{_placed_sql(8)} SELECT {_PLACED_COLUMNS} FROM placed")
+def pack_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges of 32 rows side by side give the sequence of one."""
+    return _plan(spark, sf, range_rows=32).select("conv_id", "window_id", *_long("segment", "offset", "length"))
+
+
 @query(f"{_placed_sql(2)} SELECT {_PLACED_COLUMNS} FROM placed")
 def pack_pool_eviction(spark: SparkSession, sf: str) -> DataFrame:
     return _plan(spark, sf, open_windows=2, shards=1).select("conv_id", "window_id", *_long("segment", "offset", "length"))
@@ -562,9 +568,24 @@ def param_key_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return events.duplicate_keys(_parameters(spark, sf))
 
 
-@query("SELECT CAST(step AS BIGINT) AS step, round(CASE WHEN step < 50 THEN 0.0002 * step / 50 ELSE 0.0002 * (0.1 + 0.9 * (1 + cos(3.141592653589793 * least((step - 50) / 950.0, 1.0))) / 2) END, 12) AS rate FROM (SELECT unnest(generate_series(0, 999)) AS step) g")
+@query("SELECT o_orderkey AS step, round(CASE WHEN o_orderkey < 750 THEN 0.0002 * o_orderkey / 750 ELSE 0.0002 * (0.1 + 0.9 * (1 + cos(3.141592653589793 * least((o_orderkey - 750) / 14250.0, 1.0))) / 2) END, 12) AS rate FROM orders")
 def lr_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    return events.lr_schedule(spark, 1000, 2e-4, warmup_ratio=0.05).withColumn("rate", F.round("rate", 12))
+    """The rate at the steps that orders are numbered by, those behind the schedule's end included."""
+    rate = events.learning_rate(F.col("o_orderkey"), 15_000, 2e-4, warmup_ratio=0.05)
+    return _table(spark, sf, "orders").select(F.col("o_orderkey").alias("step"), F.round(rate, 12).alias("rate"))
+
+
+@query(f"WITH {TURNS}, r AS (SELECT total, row_number() OVER (ORDER BY total) AS k, count(*) OVER () AS n FROM e) SELECT 'p' || p AS point, true AS within FROM (SELECT unnest([50, 75, 90, 99]) AS p) q WHERE EXISTS (SELECT 1 FROM r)")
+def sketched_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles from kept sketches of shards, each within the stated error of its exact rank."""
+    lengths = _lengths(spark, sf).withColumn("shard", F.col("conv_id") % 8)
+    asked = stats.sketched_percentiles(stats.sketches(lengths, "length", "shard"))
+    points = F.explode(F.array(*[F.struct(F.lit(c).alias("point"), F.col(c).alias("x")) for c in asked.columns])).alias("a")
+    # Four answers meet all lengths: counts at and under each of them.
+    met = lengths.join(F.broadcast(asked.select(points).select("a.point", "a.x")))
+    ranks = met.groupBy("point").agg(F.count_if(F.col("length") < F.col("x")).alias("below"), F.count_if(F.col("length") <= F.col("x")).alias("upto"), F.count(F.lit(1)).alias("n"))
+    share, error = F.substr("point", F.lit(2)).cast("int") / 100, stats.SKETCH_ERROR
+    return ranks.select("point", ((F.col("below") / F.col("n") <= share + error) & (F.col("upto") / F.col("n") >= share - error)).alias("within"))
 
 
 @query("SELECT CAST(greatest(1, floor(floor(count(*) / 8) * 3 / 4)) AS BIGINT) AS steps FROM (SELECT DISTINCT conv_id FROM conversations) q")

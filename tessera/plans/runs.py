@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -13,7 +14,7 @@ from tessera import config, pipeline
 from tessera.functions import template as T
 from tessera.functions.points import PointTokenizer
 from tessera.operators import encode as E
-from tessera.operators import packing, transcripts
+from tessera.operators import bpe, ordering, packing, transcripts
 from tessera.plans import catalog as C
 from tessera.sources import corpora, workspace
 from tessera.streaming import streams
@@ -106,12 +107,24 @@ def adapter_boundaries(spark: SparkSession, sf: str) -> DataFrame:
     return out[0].union(out[1]).union(out[2])
 
 
-@query("SELECT * FROM (VALUES ('closing', '60,47,97,115,115,105,115,116,97,110,116,62'), ('pad', '0'), ('stop', '5,6,3')) t(kind, ids)")
+class SentenceTokenizer(PointTokenizer):
+    """Marks that end a turn are the ends of sentences and lines."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.eos_token_id = ord("\n")
+
+    def convert_tokens_to_ids(self, mark: str) -> int:
+        return ord(".?"[T.STOP_MARKS.index(mark)])
+
+
+@query(r"""SELECT conv_id, turn, CAST(CASE WHEN regexp_matches(text, '[.?\n]') THEN length(regexp_extract(text, '^[^.?\n]*')) ELSE length(text) END AS BIGINT) AS kept,
+  coalesce(unicode(regexp_extract(text, '[.?\n]')), 0) AS stop FROM conversations WHERE text IS NOT NULL AND text <> ''""")
 def special_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """The ids that pad rows, end turns and close assistant turns, from the tokeniser."""
-    tokenizer = PointTokenizer()
-    found = {"closing": T.closing_ids(tokenizer), "pad": [T.special_id(tokenizer)], "stop": T.stop_ids(tokenizer)}
-    return spark.createDataFrame([(k, ",".join(map(str, v))) for k, v in found.items()], "kind string, ids string")
+    """Where a reply ends by the ids that a tokeniser's marks and end give, and which of them ends it."""
+    turns = C._table(spark, sf, "conversations").where("text != ''").withColumn("ids", T.code_points(F.col("text")))
+    cut = T.until_stop(F.col("ids"), T.stop_ids(SentenceTokenizer()))
+    return turns.select("conv_id", "turn", F.size(cut).cast("long").alias("kept"), F.coalesce(F.get("ids", F.size(cut)), F.lit(0)).alias("stop"))
 
 
 RECIPE = """
@@ -123,11 +136,11 @@ training: {metrics_log_dir: /runs/logs, gradient_accumulation_steps: 4}
 """
 
 
-def _built(spark: SparkSession, sf: str, *overrides: str) -> pipeline.Built:
+def _built(spark: SparkSession, sf: str, *overrides: str, template: T.Template = T.CODE_POINTS) -> pipeline.Built:
     path = workspace.folder(spark, "corpus")
     C._nested(spark, sf).write.parquet(path)
     recipe = config.read(RECIPE, [f"dataset.data_files={path}/*.parquet", "dataset.batch_size=4", f"dataset.seed={C.SEED}", *overrides])
-    return pipeline.load(spark, recipe, key="conv_id")
+    return pipeline.load(spark, recipe, key="conv_id", template=template)
 
 
 _KEPT = f"k AS ({C._encoded_sql(2048, 'drop', False)})"
@@ -151,59 +164,253 @@ def recipe_eval(spark: SparkSession, sf: str) -> DataFrame:
     return _built(spark, sf, "dataset.num_train_epochs=2").eval.select("conv_id", *C._long("batch_id"))
 
 
+_SHUFFLED = f"CAST(('0x' || substr(md5('{C.SEED}:0:' || conv_id), 1, 8)) AS BIGINT), conv_id"
+
+
+@query(f"""{C._placed_sql(8, limit=2048, window=2048, order=_SHUFFLED)}, b AS (SELECT window_id, count(*) AS n, sum(length) AS tokens FROM placed GROUP BY window_id)
+SELECT window_id, CAST(floor(window_id / 4) AS BIGINT) AS batch_id, n AS segments, CAST(tokens AS BIGINT) AS tokens, CAST((2048 - tokens) * 7 AS BIGINT) AS padding FROM b WHERE window_id < (SELECT floor(count(*) / 4) * 4 FROM b)""")
+def recipe_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """A recipe with ``packing``, padded with its tokeniser's own id: 7, which no text has."""
+    template = T.Adapter(lambda: PointTokenizer(T.Additive(pad_id=7)))
+    windows = _built(spark, sf, "dataset.packing=true", "dataset.eval_fraction=0", template=template).train
+    used = F.size(F.filter("segment_ids", lambda s: s > 0))
+    padding = F.aggregate(F.filter("input_tokens", lambda t: t == 7), F.lit(0).cast("long"), lambda n, t: n + t)
+    return windows.select("window_id", "batch_id", F.col("n_segments").cast("long").alias("segments"), used.cast("long").alias("tokens"), padding.alias("padding"))
+
+
 @query(f"""{C._placed_sql(8)}, b AS (SELECT window_id, count(*) AS n FROM placed GROUP BY window_id)
-SELECT CAST(floor(window_id / 4) AS BIGINT) AS batch_id, count(*) AS windows, CAST(sum(n) AS BIGINT) AS examples FROM b WHERE window_id < (SELECT floor(count(*) / 4) * 4 FROM b) GROUP BY 1""")
+SELECT CAST(floor(window_id / 4) AS BIGINT) AS batch_id, CAST(floor(window_id / 4) % 3 AS BIGINT) AS "rank", count(*) AS windows, CAST(sum(n) AS BIGINT) AS examples FROM b WHERE window_id < (SELECT floor(count(*) / 4) * 4 FROM b) GROUP BY ALL""")
 def batch_reader(spark: SparkSession, sf: str) -> DataFrame:
-    """Batches as a trainer reads them: the second pass gives the same arrays as the first."""
-    reader = packing.BatchReader(packing.batches(C._windows(spark, sf), 4))
-    first = [(b["segment_ids"].max(axis=1).sum(), b["input_tokens"].sum(), len(b["input_tokens"])) for b in reader]
-    again = [(b["segment_ids"].max(axis=1).sum(), b["input_tokens"].sum(), len(b["input_tokens"])) for b in reader]
-    rows = [(i, n, int(examples)) for i, ((examples, tokens, n), other) in enumerate(zip(first, again, strict=True)) if (examples, tokens, n) == other]
-    return spark.createDataFrame(rows, "batch_id long, windows long, examples long")
+    """Batches as three trainers read them side by side; a second pass, and one from the second batch on, give the same arrays."""
+    path = workspace.folder(spark, "ranks")
+    packing.write_ranks(packing.batches(C._windows(spark, sf), 4), path, 3, file_batches=4)
 
+    def read(ranks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rank in (int(r) for frame in ranks for r in frame["id"]):
+            again, later = iter(packing.RankReader(path, rank)), iter(packing.RankReader(path, rank, 1))
+            for k, batch in enumerate(packing.RankReader(path, rank)):
+                others = [next(again), *([next(later)] if k else [])]
+                if all((batch[f] == other[f]).all() for f in batch for other in others):
+                    segments = batch["segment_ids"].max(axis=1)
+                    yield pd.DataFrame({"batch_id": [3 * k + rank], "rank": [rank], "windows": [len(segments)], "examples": [int(segments.sum())]})
+
+    return spark.range(0, 3, 1, 3).mapInPandas(read, "batch_id long, rank long, windows long, examples long")
 
-@query("""WITH t AS (SELECT unnest(['dataset.batch_size=0', 'dataset.num_train_epochs=0', 'dataset.max_length=1', 'dataset.message_schema={b: 1, a: 2}', 'model.mesh.shape=[]', 'training.wandb=3', 'dataset.eval_fraction=0.5', 'training.max_steps=7']) AS setting)
-SELECT setting, setting NOT IN ('dataset.eval_fraction=0.5', 'training.max_steps=7') AS refused, CASE WHEN setting LIKE '%schema%' THEN 'message_schema has unknown keys: a, b' END AS says FROM t""")
-def recipe_faults(spark: SparkSession, sf: str) -> DataFrame:
-    """Overrides that a recipe's validation refuses, and the sorted names in a message."""
-    rows = []
-    for setting in ["dataset.batch_size=0", "dataset.num_train_epochs=0", "dataset.max_length=1", "dataset.message_schema={b: 1, a: 2}", "model.mesh.shape=[]", "training.wandb=3", "dataset.eval_fraction=0.5", "training.max_steps=7"]:
-        try:
-            config.read(RECIPE, [setting])
-            rows.append((setting, False, None))
-        except ValueError as e:
-            rows.append((setting, True, str(e) if "schema" in setting else None))
-    return spark.createDataFrame(rows, "setting string, refused boolean, says string")
 
+# Settings that parts ask for, by their keys and sizes.
+_ASKED_SQL = """SELECT p_partkey, p_size, CASE p_partkey % 6
+  WHEN 0 THEN 'dataset.batch_size=' || (p_size - 5) WHEN 1 THEN 'dataset.max_length=' || (p_size - 5) WHEN 2 THEN 'dataset.num_train_epochs=' || (p_size - 5)
+  WHEN 3 THEN 'dataset.eval_fraction=' || (p_size / 40.0) WHEN 4 THEN 'dataset.message_schema={z' || p_size || ': 1, a' || p_size || ': 2}' ELSE 'training.max_steps=' || p_size END AS setting FROM part"""
 
-@query("""SELECT * FROM (VALUES ('cache_size', '1280'), ('enabled', 'False'), ('every_n_steps', '500'), ('log_to_wandb', 'True'), ('max_new_tokens', '256'), ('max_prompt_length', '1024'),
-  ('output_path', '/runs/transcripts.jsonl'), ('prompts', '3'), ('reasoning_end', '</think>'), ('reasoning_start', '<think>'), ('seed', '42'), ('system_prompt', 'None'), ('temperature', '0.5')) t(setting, value)""")
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    less, k = (F.col("p_size") - 5).cast("string"), F.col("p_partkey") % 6
+    size = F.col("p_size").cast("string")
+    setting = (
+        F.when(k == 0, F.concat(F.lit("dataset.batch_size="), less)).when(k == 1, F.concat(F.lit("dataset.max_length="), less)).when(k == 2, F.concat(F.lit("dataset.num_train_epochs="), less))
+        .when(k == 3, F.concat(F.lit("dataset.eval_fraction="), (F.col("p_size") / 40.0).cast("string"))).when(k == 4, F.concat(F.lit("dataset.message_schema={z"), size, F.lit(": 1, a"), size, F.lit(": 2}")))
+        .otherwise(F.concat(F.lit("training.max_steps="), size))
+    )
+    return C._table(spark, sf, "part").select("p_partkey", "p_size", setting.alias("setting"))
+
+
+@query(f"""WITH a AS ({_ASKED_SQL}) SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size < 6 WHEN 1 THEN p_size < 7 WHEN 3 THEN p_size >= 40 WHEN 4 THEN true ELSE false END AS refused,
+  CASE WHEN p_partkey % 6 = 4 THEN 'message_schema has unknown keys: a' || p_size || ', z' || p_size END AS says FROM a""")
+def recipe_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Settings that a recipe's validation refuses, and the sorted names in a message; each setting is tried once."""
+    asked = _asked(spark, sf)
+
+    def tried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for setting in batch["setting"]:
+                try:
+                    config.read(RECIPE, [setting])
+                    found.append((setting, False, None))
+                except ValueError as e:
+                    found.append((setting, True, str(e) if "schema" in setting else None))
+            yield pd.DataFrame(found, columns=["setting", "refused", "says"])
+
+    known = asked.select("setting").distinct().mapInPandas(tried, "setting string, refused boolean, says string")
+    return asked.join(known, "setting").select("p_partkey", "refused", "says")
+
+
+@query("""WITH s AS (SELECT p_partkey, CAST(p_size * 100 AS BIGINT) AS block, CAST(p_size + 5 AS BIGINT) AS n FROM part), p AS (SELECT *, CAST(pow(2, ceil(log2(block))) AS BIGINT) AS prompt FROM s)
+SELECT p_partkey, prompt AS max_prompt_length, prompt + n AS cache_size, CAST(3 AS BIGINT) AS prompts FROM p""")
 def recipe_settings(spark: SparkSession, sf: str) -> DataFrame:
-    """Sampling settings of a recipe, with defaults; of prompts the number."""
-    found = config.transcript_settings(config.read(RECIPE, ["training.transcripts={temperature: 0.5, prompts: null}"]))
-    rows = [(k, str(len(v) if k == "prompts" else v)) for k, v in found.items()]
-    return spark.createDataFrame(rows, "setting string, value string")
+    """Sampling settings with their defaults, of recipes whose block and reply sizes follow the parts' sizes."""
+    parts = C._table(spark, sf, "part").select("p_partkey", "p_size")
 
+    def settings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for size in batch["p_size"]:
+                overrides = [f"model.flash_attention_block_size={size * 100}", f"training.transcripts={{max_new_tokens: {size + 5}, prompts: null}}"]
+                got = config.transcript_settings(config.read(RECIPE, overrides))
+                rows.append((size, got["max_prompt_length"], got["cache_size"], len(got["prompts"])))
+            yield pd.DataFrame(rows, columns=["p_size", "max_prompt_length", "cache_size", "prompts"])
 
-@query("""WITH p AS (SELECT length('<user>What is 2 + 2?</user><assistant>') AS prompt, length('<think>2 and 2 are 4.</think>4</assistant>') AS reply)
-SELECT CAST(NULL AS VARCHAR) AS reason, CAST(prompt AS BIGINT) AS prompt_length, CAST(prompt + reply AS BIGINT) AS unpadded_length, CAST(reply AS BIGINT) AS supervised FROM p""")
+    known = parts.select("p_size").distinct().mapInPandas(settings, "p_size int, max_prompt_length long, cache_size long, prompts long")
+    return parts.join(known, "p_size").select("p_partkey", "max_prompt_length", "cache_size", "prompts")
+
+
+@query("""WITH s AS (SELECT DISTINCT text FROM conversations WHERE role = 'system'), p AS (
+  SELECT md5(text) AS system, length('<system>' || text || '</system><user>What is 2 + 2?</user><assistant>') AS prompt, length('<think>2 and 2 are 4.</think>4</assistant>') AS reply FROM s)
+SELECT system, CASE WHEN prompt + reply > 256 THEN 'overlength' END AS reason, CASE WHEN prompt + reply <= 256 THEN CAST(prompt AS BIGINT) END AS prompt_length, CASE WHEN prompt + reply <= 256 THEN CAST(reply AS BIGINT) END AS supervised FROM p""")
 def recipe_probe(spark: SparkSession, sf: str) -> DataFrame:
-    """A recipe's preflight example in its corpus's own spelling."""
+    """A recipe's preflight example in its corpus's own spelling, under each system prompt that the corpus has."""
     recipe = config.read(RECIPE, ["dataset.message_schema={role_key: from, content_key: value, role_map: {human: user, gpt: assistant}}", "dataset.messages_column=chat"])
-    row = pipeline.probe(spark, recipe, T.Adapter(PointTokenizer)).withColumn("supervised", E.supervised("spans"))
-    return row.select(F.col("drop_reason").alias("reason"), *C._long("prompt_length", "unpadded_length", "supervised"))
+    systems = C._table(spark, sf, "conversations").where("role = 'system'").select(F.col("text").alias("system")).distinct()
+    rows = pipeline.probe(spark, recipe, T.Adapter(PointTokenizer), systems).withColumn("supervised", E.supervised("spans"))
+    return rows.select(F.md5("system").alias("system"), F.col("drop_reason").alias("reason"), *C._long("prompt_length", "supervised"))
 
 
-@query("SELECT role AS split, conv_id, turn FROM conversations WHERE role IN ('user', 'assistant')")
+@query("SELECT role AS split, conv_id, turn FROM conversations")
 def catalog_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Splits of a named corpus, here the turns of two roles."""
+    """Splits of a named corpus, here the turns of each role."""
     root = workspace.folder(spark, "catalog")
     turns = C._table(spark, sf, "conversations")
-    for role in ("user", "assistant"):
+    roles = [r["role"] for r in turns.select("role").distinct().orderBy("role").collect()]
+    for role in roles:
         turns.where(F.col("role") == role).write.parquet(f"{root}/turns/{role}")
     chats = corpora.Catalog({"chats": corpora.Corpus(root)})
-    found = [chats.scan(spark, "chats", config="turns", split=role).select(F.lit(role).alias("split"), "conv_id", "turn") for role in ("user", "assistant")]
-    return found[0].union(found[1])
+    found = [chats.scan(spark, "chats", config="turns", split=role).select(F.lit(role).alias("split"), "conv_id", "turn") for role in roles]
+    return reduce(DataFrame.union, found)
+
+
+#: The public vocabulary of the queries below: a rank file in base 64.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _ids_sql(texts: str) -> str:
+    """Byte pairs as a recursion: in each round the leftmost pair of least rank of each piece. ``texts`` gives conv_id, turn, text, without runs of blanks."""
+    return rf"""WITH RECURSIVE tok AS (SELECT hex(from_base64(column0)) AS h, column1 AS id FROM read_csv('{RANKS}', delim=' ', header=false, quote='', escape='', columns={{'column0': 'VARCHAR', 'column1': 'INTEGER'}})),
+cuts AS (SELECT h, id, unnest(generate_series(1, length(h) // 2 - 1)) AS k FROM tok),
+pairs AS (SELECT x.id AS l, y.id AS r, c.id AS m FROM cuts c JOIN tok x ON x.h = left(c.h, 2 * k) JOIN tok y ON y.h = substr(c.h, 2 * k + 1)),
+texts AS ({texts}),
+cut AS (SELECT conv_id, turn, unnest(p) AS piece, generate_subscripts(p, 1) AS nth FROM (SELECT conv_id, turn, regexp_extract_all(text, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+|\s+') AS p FROM texts)),
+words AS (SELECT DISTINCT piece, hex(encode(piece)) AS h FROM cut),
+bytes AS (SELECT piece, h, unnest(generate_series(1, length(h) // 2)) AS place FROM words),
+state AS (
+  SELECT 0 AS step, b.piece, b.place, t.id FROM bytes b JOIN tok t ON t.h = substr(b.h, 2 * b.place - 1, 2)
+  UNION ALL
+  SELECT step, piece, place, id FROM (
+    SELECT step + 1 AS step, piece, place, CASE WHEN place = bp THEN bm ELSE id END AS id, lag(place) OVER (PARTITION BY piece ORDER BY place) IS NOT DISTINCT FROM bp AS gone
+    FROM (
+      SELECT *, min(m) OVER w AS bm, arg_min(place, m::BIGINT * 1000000 + place) OVER w AS bp FROM (
+        SELECT s.*, p.m FROM (SELECT *, lead(id) OVER (PARTITION BY piece ORDER BY place) AS nx FROM state) s LEFT JOIN pairs p ON p.l = s.id AND p.r = s.nx
+      ) q WINDOW w AS (PARTITION BY piece)
+    ) z WHERE bp IS NOT NULL
+  ) y WHERE NOT gone
+), last AS (SELECT piece, max(step) AS step FROM state GROUP BY piece),
+ids AS (SELECT s.piece, list(s.id ORDER BY s.place) AS ids FROM state s JOIN last l ON l.piece = s.piece AND l.step = s.step GROUP BY s.piece),
+coded AS (SELECT c.conv_id, c.turn, CAST(sum(len(ids)) AS BIGINT) AS n, md5(string_agg(array_to_string(ids, ','), ',' ORDER BY nth)) AS ids FROM cut c JOIN ids i ON i.piece = c.piece GROUP BY ALL)
+"""
+
+
+@query(f"{_ids_sql('SELECT conv_id, turn, text FROM conversations')} SELECT conv_id, turn, n, ids FROM coded")
+def vocabulary_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """The ids of every turn by a public vocabulary."""
+    turns = C._table(spark, sf, "conversations").where("text != ''")
+    coded = bpe.tokenize(turns, "text", ["conv_id", "turn"], bpe.Vocabulary(RANKS))
+    return coded.select("conv_id", "turn", F.size("ids").cast("long").alias("n"), F.md5(F.array_join("ids", ",")).alias("ids"))
+
+
+# Turns as the chat layout has them, and the text that asks for a reply as turn -1 of conversation -1.
+_LAID_OUT = "SELECT conv_id, turn, role || chr(10) || text AS text FROM conversations UNION ALL SELECT -1, -1, ''assistant'' || chr(10)".replace("''", "'")
+
+
+@query(f"""{_ids_sql(_LAID_OUT)}, t AS (SELECT c.conv_id, c.turn, v.role, c.n + 3 AS len, v.text FROM coded c JOIN conversations v ON v.conv_id = c.conv_id AND v.turn = c.turn),
+asks AS (SELECT n + 1 AS n FROM coded WHERE conv_id = -1),
+e AS (SELECT conv_id, sum(len) AS total, arg_max(role, turn) AS last_role, arg_min(role, turn) AS first_role, arg_max(len, turn) AS last_len, sum(CASE WHEN role = 'assistant' THEN len - (SELECT n FROM asks) END) AS supervised FROM t GROUP BY conv_id)
+SELECT conv_id, CAST(total - last_len + (SELECT n FROM asks) AS BIGINT) AS prompt_length, CAST(total AS BIGINT) AS unpadded_length, CAST(supervised AS BIGINT) AS supervised FROM e
+WHERE last_role = 'assistant' AND first_role <> 'assistant' AND total <= 2048""")
+def recipe_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """A recipe whose tokenizer section names a public vocabulary: lengths of all rows that it keeps."""
+    marks = "{<|endoftext|>: 50256, <|im_start|>: 50257, <|im_end|>: 50258}"
+    overrides = [f"tokenizer.ranks={RANKS}", f"tokenizer.special_tokens={marks}", "dataset.eval_fraction=0", "dataset.batch_size=1"]
+    rows = _built(spark, sf, *overrides).train.withColumn("supervised", F.size(F.filter("input_mask", lambda x: x)))
+    return rows.select("conv_id", *C._long("prompt_length", "unpadded_length", "supervised"))
+
+
+class TemplateTokenizer(PointTokenizer):
+    """Renders by the parts of its chat template: open, middle and close marks, one a line."""
+
+    chat_template = "<\n>\n</"
+
+    def text(self, messages: list[dict[str, str]], generate: bool) -> str:
+        opened, middle, close = self.chat_template.split("\n")
+        return "".join(f"{opened}{m['role']}{middle}{m['content']}{close}" for m in messages) + (f"{opened}assistant{middle}" if generate else "")
+
+
+@query("""WITH c AS (SELECT conv_id, sum(length(role) + length(text) + 5) AS total, arg_max(role, turn) AS last_role, arg_min(role, turn) AS first_role, arg_max(length(text) + 2, turn) AS reply FROM conversations GROUP BY conv_id)
+SELECT conv_id, CAST(total - reply AS BIGINT) AS prompt_length, CAST(total AS BIGINT) AS unpadded_length FROM c WHERE last_role = 'assistant' AND first_role <> 'assistant' AND total <= 2048""")
+def recipe_chat_template(spark: SparkSession, sf: str) -> DataFrame:
+    """A recipe's own chat template in the place of its tokeniser's."""
+    template = T.Adapter(TemplateTokenizer)
+    rows = _built(spark, sf, 'tokenizer.chat_template="[[\\n:\\n]]"', "dataset.eval_fraction=0", "dataset.batch_size=1", template=template).train
+    return rows.select("conv_id", *C._long("prompt_length", "unpadded_length"))
+
+
+@query(C._placed_sql(8) + f" SELECT {C._PLACED_COLUMNS} FROM placed")
+def stream_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """The windows of one shard as a stream packs it, whose lengths come in three batches; a row without a length ends it."""
+    source, out, state = (workspace.folder(spark, n) for n in ("lengths-in", "lengths-out", "lengths-state"))
+    rows = C._examples(spark, sf).select(F.lit(0).alias("shard"), F.col("conv_id").alias("example_id"), F.col("conv_id").alias("order_key"), F.col("unpadded_length").alias("length"))
+    rows = workspace.saved(ordering.numbered(rows, ["order_key"]), "numbered")
+    third = -(-rows.count() // 3) or 1
+    end = spark.range(1).select(F.lit(0).alias("shard"), *[F.lit(None).cast(t).alias(c) for c, t in (("example_id", "long"), ("order_key", "long"), ("length", "int"))])
+    for k in range(3):
+        part = rows.where(F.floor(F.col("position") / third) == k).drop("position")
+        (part.unionByName(end) if k == 2 else part).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(end.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    packed = streams.pack_stream(stream, 8192, idle_ms=None)
+    packed.writeStream.option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(packed.schema).parquet(out).select(F.col("example_id").alias("conv_id"), *C._long("window_id", "segment", "offset", "length"))
+
+
+@query("SELECT event_id, user_id FROM events")
+def replayed_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream's rows in a sink by batch, after its last batch was written, its commit lost, and the batch run again."""
+    source, out, state = (workspace.folder(spark, n) for n in ("replay-in", "replay-out", "replay-state"))
+    rows = C._table(spark, sf, "events").select("event_id", "user_id")
+    rows.repartition(3).write.parquet(source)
+    sink = streams.BatchFolders(out)
+    for again in (False, True):
+        if again:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{state}/commits")
+            store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            last = max((f.getPath() for f in store.listStatus(at) if f.getPath().getName().isdigit()), key=lambda p: int(p.getName()))
+            store.delete(last, False)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return sink.read(spark, rows.schema)
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def replaced_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A guarded table after a replacement, another that failed half way, and one by what reads it, which is refused."""
+    path = f"{workspace.folder(spark, 'guarded')}/table"
+    customers = C._table(spark, sf, "customer").select("c_custkey", "c_name")
+    corpora.write_guarded(customers.limit(1), path, protected=[], overwrite=True)
+    corpora.write_guarded(customers, path, protected=[], overwrite=True)
+    broken = customers.withColumn("c_custkey", F.when(F.col("c_custkey") > 1, F.raise_error(F.lit("broken")).cast("long")).otherwise(F.col("c_custkey")))
+    for bad in (broken, spark.read.parquet(path).where("c_custkey = 1")):
+        try:
+            corpora.write_guarded(bad, path, protected=[], overwrite=True)
+        except Exception:
+            continue
+        raise AssertionError("a bad replacement went through")
+    return spark.read.schema(customers.schema).parquet(path)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT (SELECT count(*) // 2 FROM orders))")
+def first_in_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The first half of a corpus in order of its files, of which the rest is not read."""
+    path = workspace.folder(spark, "ordered")
+    orders = C._table(spark, sf, "orders").select("o_orderkey")
+    orders.repartitionByRange(6, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
+    return corpora.first_rows(corpora.scan_glob(spark, f"{path}/*.parquet"), orders.count() // 2)
 
 
 @query("SELECT count(*) AS n, CAST(5 AS BIGINT) AS files, CAST(5 AS BIGINT) AS matched, count(*) AS places FROM orders")

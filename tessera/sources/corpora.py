@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import os.path
+import uuid
 from dataclasses import dataclass
 from pathlib import Path, PurePosixPath
 
@@ -63,6 +64,28 @@ def ordered(df: DataFrame) -> DataFrame:
     return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("order_key"))
 
 
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows of a file scan in order of files and places, without a sort: only the files that hold them are read.
+
+    Rows are counted by file without reading a column; the driver sees a name
+    and a count a file, and the last file is cut by its rows' numbers.
+    """
+    spark, file = df.sparkSession, F.col("_metadata.file_path")
+    counts = sorted((r["f"], r["n"]) for r in df.groupBy(file.alias("f")).agg(F.count(F.lit(1)).alias("n")).collect())
+    whole, left = [], n
+    for name, rows in counts:
+        if left <= 0:
+            break
+        whole.append((name, min(rows, left)))
+        left -= rows
+    if not whole:
+        return df.limit(0)
+    read = lambda names: spark.read.schema(df.schema).parquet(*names)
+    *full, (last, rest) = whole
+    cut = read([last]).where(F.col("_metadata.row_index") < rest)
+    return read([name for name, _ in full]).unionByName(cut) if full else cut
+
+
 def place(spark: SparkSession, path: str) -> tuple[str, ...]:
     """Scheme, store and folders of a path, as the file system that it belongs to names it; local links and ``..`` are resolved."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.expanduser(path))
@@ -73,7 +96,12 @@ def place(spark: SparkSession, path: str) -> tuple[str, ...]:
 
 
 def write_guarded(df: DataFrame, path: str, *, protected: list[str], overwrite: bool = False) -> None:
-    """Refuses roots, the home and working folders, protected folders and every folder above these, however a path spells them."""
+    """Refuses roots, the home and working folders, protected folders and every folder above these, however a path spells them.
+
+    A table is replaced by renaming: the new one is written beside it, and a
+    write that fails leaves the old one whole. What the new one is read from
+    cannot be replaced by it.
+    """
     spark = df.sparkSession
     target = place(spark, path)
     if len(target) <= 3:
@@ -81,7 +109,26 @@ def write_guarded(df: DataFrame, path: str, *, protected: list[str], overwrite:
     for name in [Path.home().as_uri(), Path.cwd().as_uri(), *protected]:
         if place(spark, name)[: len(target)] == target:
             raise ValueError(f"{path} holds {name}; choose another folder")
-    df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+    if not overwrite:
+        df.write.mode("errorifexists").parquet(path)
+        return
+    if any(place(spark, name)[: len(target)] == target for name in df.inputFiles()):
+        raise ValueError(f"{path} is read by what is to replace it")
+    jvm = spark.sparkContext._jvm
+    name = lambda suffix: jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{suffix}")
+    mark = uuid.uuid4().hex
+    final, new, old = name(""), name(f".new-{mark}"), name(f".old-{mark}")
+    store = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(new.toString())
+        if store.exists(final) and not store.rename(final, old):
+            raise OSError(f"{path} cannot be renamed")
+        if not store.rename(new, final):
+            store.rename(old, final)
+            raise OSError(f"{path} cannot be put in place")
+        store.delete(old, True)
+    finally:
+        store.delete(new, True)
 
 
 def checkpoint_steps(spark: SparkSession, root: str) -> list[int]:

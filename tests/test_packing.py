@@ -190,3 +190,24 @@ def test_batches_of_rows_with_equal_keys(spark):
     got = ordering.batched(df, 2, ["k"]).collect()
     assert sorted(r.position for r in got) == list(range(10)) and len({r.v for r in got}) == 10
     assert [r.k for r in sorted(got, key=lambda r: r.position)] == [None, None, 0, 0, 0, 1, 1, 1, 2, 2]
+
+
+def test_ranks_read_side_by_side(spark, tmp_path):
+    """All ranks in turn give one reader's sequence, on every pass and from any batch on."""
+    rnd = random.Random(6)
+    df = examples(spark, [rnd.randint(1, 16) for _ in range(120)])
+    batched = packing.batches(packing.assemble(packing.plan(df, 16, id_col="id", order=["id"]), df, 16, id_col="id"), 3)
+    whole = [{f: v.tolist() for f, v in b.items()} for b in packing.BatchReader(batched)]
+    for ranks in (1, 3):
+        path = str(tmp_path / f"r{ranks}")
+        packing.write_ranks(batched, path, ranks, file_batches=4)
+        for rank in range(ranks):
+            for start in (0, 1, 4, 5, 100):
+                reader = packing.RankReader(path, rank, start)
+                want = whole[rank::ranks][start:]
+                for _ in range(2):
+                    got = list(reader)
+                    assert len(reader) == len(got) and [{f: v.tolist() for f, v in b.items()} for b in got] == want
+        assert got == [] or got[0]["input_mask"].dtype == bool
+    packing.write_ranks(batched.limit(0), str(tmp_path / "none"), 2)
+    assert list(packing.RankReader(str(tmp_path / "none"), 1)) == []

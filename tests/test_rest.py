@@ -1,4 +1,5 @@
 import math
+import random
 import uuid
 
 import pytest
@@ -9,7 +10,7 @@ from tessera import config as C
 from tessera import pipeline
 from tessera.functions.points import PointTokenizer
 from tessera.functions.template import Adapter
-from tessera.operators import events, history, ordering, stats, transcripts
+from tessera.operators import events, history, ordering, packing, stats, transcripts
 from tessera.sources import corpora
 from tessera.streaming import streams
 
@@ -211,14 +212,97 @@ def test_stats(spark):
     assert [(r.kept, r.share) for r in stats.retention(df, "n", (10, 50)).orderBy("max_length").collect()] == [(10, 0.1), (50, 0.5)]
 
 
+STREAMED = "shard int, example_id long, order_key long, length int"
+
+
+def packed_stream(spark, tmp_path, batches, **options):
+    """What a stream packs of rows that come in several files, one a batch."""
+    for rows in batches:
+        spark.createDataFrame(rows, STREAMED).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(STREAMED).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    packed = streams.pack_stream(source, 8, **options)
+    packed.writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(120)
+    got = spark.read.schema(packed.schema).parquet(str(tmp_path / "out")).orderBy("shard", "window_id", "segment").collect()
+    return [(r.shard, r.example_id, r.window_id, r.segment, r.offset) for r in got]
+
+
 def test_packing_stream(spark, tmp_path):
     rows = [(0, i, i, n) for i, n in enumerate([6, 5, 2, 8, 8])]
-    spark.createDataFrame(rows, "shard int, example_id long, order_key long, length int").coalesce(1).write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema("shard int, example_id long, order_key long, length int").parquet(str(tmp_path / "in"))
-    packed = streams.pack_stream(source, 8, open_windows=2, idle_ms=None)
-    packed.writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(90)
-    got = spark.read.schema(packed.schema).parquet(str(tmp_path / "out")).orderBy("window_id", "segment").collect()
-    assert [(r.example_id, r.window_id, r.segment, r.offset) for r in got] == [(0, 0, 1, 0), (2, 0, 2, 6), (3, 1, 1, 0)]
+    assert packed_stream(spark, tmp_path, [rows], open_windows=2, idle_ms=None) == [(0, 0, 0, 1, 0), (0, 2, 0, 2, 6), (0, 3, 1, 1, 0)]
+
+
+def test_packing_stream_over_batches_and_runs(spark, tmp_path):
+    """Pools live on between batches and runs; a row without a length ends a shard, and its windows are those of a table."""
+    rnd = random.Random(3)
+    sizes = {s: [rnd.randint(1, 8) for _ in range(30)] for s in (0, 1)}
+    rows = sorted((i, s, n) for s, ns in sizes.items() for i, n in enumerate(ns))
+    rows = [(s, 1000 * s + i, i, n) for i, s, n in rows]
+    parts = [rows[:13], rows[13:40], [*rows[40:], (0, None, None, None)]]
+    first = packed_stream(spark, tmp_path, parts[:2], idle_ms=None)
+    both = packed_stream(spark, tmp_path, parts[2:], idle_ms=None)
+    assert set(first) <= set(both)
+    want = {s: [(s, 1000 * s + i, w, g, o) for i, w, g, o in packing.fold(enumerate(ns), 8)] for s, ns in sizes.items()}
+    assert [r for r in both if r[0] == 0] == sorted(want[0], key=lambda r: (r[2], r[3]))
+    still_open = [r for r in want[1] if r not in both]
+    assert set(r for r in both if r[0] == 1) <= set(want[1]) and 0 < len({r[2] for r in still_open}) <= 8
+
+
+def test_replayed_batches_add_no_row(spark, tmp_path):
+    """A batch whose commit was lost runs again under its number."""
+    for k in range(3):
+        spark.range(10 * k, 10 * k + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    sink = streams.BatchFolders(str(tmp_path / "out"))
+
+    def run():
+        source = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        source.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(90)
+        return sorted(r.id for r in sink.read(spark, "id long").collect())
+
+    assert run() == list(range(30))
+    for name in ("2", ".2.crc"):
+        (tmp_path / "ck/commits" / name).unlink()
+    before = {p.name for p in (tmp_path / "out/batch-000000000002").iterdir()}
+    assert run() == list(range(30))
+    assert {p.name for p in (tmp_path / "out/batch-000000000002").iterdir()} != before
+    said = spark.createDataFrame([(1, "p", "c", 1)], "step int, prompt string, completion string, generated_tokens int")
+    for batch in (7, 7, None, None):
+        transcripts.append_jsonl(transcripts.records(said, max_new_tokens=2), str(tmp_path / "t"), batch)
+    assert transcripts.read_jsonl(spark, str(tmp_path / "t")).count() == 3
+    streams.fan_out(spark.range(2), [streams.BatchFolders(str(tmp_path / "fan"))], 4)
+    assert (tmp_path / "fan/batch-000000000004").is_dir()
+
+
+def test_first_rows_of_files(spark, tmp_path):
+    spark.range(0, 100, 1, 5).write.parquet(str(tmp_path / "f"))
+    scan = corpora.scan_glob(spark, str(tmp_path / "f/*.parquet"))
+    order = [r.id for r in corpora.ordered(scan).orderBy("order_key").collect()]
+    for n in (0, 1, 20, 33, 100, 500):
+        got = corpora.first_rows(scan, n)
+        assert sorted(r.id for r in got.collect()) == sorted(order[:n])
+        assert len(got.inputFiles()) == min(5, -(-n // 20))
+
+
+def test_replacement_is_whole_or_none(spark, tmp_path):
+    path = str(tmp_path / "t")
+    corpora.write_guarded(spark.range(3), path, protected=[], overwrite=True)
+    corpora.write_guarded(spark.range(5), path, protected=[], overwrite=True)
+    assert spark.read.parquet(path).count() == 5
+    with pytest.raises(Exception, match="(?i)broken"):
+        corpora.write_guarded(spark.range(4).select(F.when(F.col("id") == 3, F.raise_error(F.lit("broken"))).otherwise(F.col("id")).alias("id")), path, protected=[], overwrite=True)
+    with pytest.raises(ValueError, match="read by"):
+        corpora.write_guarded(spark.read.parquet(path).limit(1), path, protected=[], overwrite=True)
+    assert spark.read.parquet(path).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_kept_sketches(spark):
+    """Sketches of shards, merged, beside exact ranks."""
+    n = 20_000
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("x"), (F.col("id") % 7).alias("shard"))
+    kept = stats.sketches(df, "x", "shard")
+    assert sum(r.n for r in kept.collect()) == n
+    got = stats.sketched_percentiles(kept).first()
+    for name, p in (("p50", 0.5), ("p75", 0.75), ("p90", 0.9), ("p99", 0.99)):
+        assert abs(got[name] / n - p) <= 2 * stats.SKETCH_ERROR
 
 
 def test_interval_sampler(spark):
