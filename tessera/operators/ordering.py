@@ -6,6 +6,7 @@ Draws are md5 hashes of seed and id: they do not depend on partitioning.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import reduce
 
@@ -107,6 +108,35 @@ def numbered(df: DataFrame, order: list[str], name: str = "position") -> DataFra
     return local.join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(name, (F.col("_at") + F.col("_before")).cast("long")).drop("_part", "_at", "_p", "_before")
 
 
+#: Rounds of ``permuted``: each row is swapped or not this often.
+SWAPS = 32
+
+
+def _keys(seed: int, n: int) -> list[int]:
+    """One point of reflection a round, from md5 as ``draw`` has it."""
+    return [int(hashlib.md5(f"{seed}:{k}".encode()).hexdigest()[:8], 16) % n for k in range(SWAPS)]
+
+
+def permuted(position: Column, n: int, seed: int, *, back: bool = False) -> Column:
+    """A seeded permutation of the positions 0 to n - 1, of any n, without a sort or an exchange; ``back`` inverts it.
+
+    A round pairs each position with its mirror image about a point and swaps
+    the pair if a bit of the seed, the round and the greater of both says so. A
+    round is its own inverse, so the inverse takes the rounds in reverse.
+    """
+    if n <= 0:
+        return position
+    rounds = list(enumerate(_keys(seed, n)))[:: -1 if back else 1]
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(at).cast("long").alias("at")) for k, at in rounds])
+
+    def swap(x: Column, step: Column) -> Column:
+        other = F.pmod(step["at"] - x, F.lit(n).cast("long"))
+        bit = draw(seed, step["k"], F.greatest(x, other)) % 2
+        return F.when(bit == 1, other).otherwise(x)
+
+    return F.aggregate(steps, position.cast("long"), swap)
+
+
 def in_batches(places: DataFrame, size: int) -> DataFrame:
     """Adds batch_id to rows with dense positions; the last short batch is dropped."""
     total = places.agg((F.floor(F.count(F.lit(1)) / size) * size).alias("_full"))

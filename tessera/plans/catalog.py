@@ -371,6 +371,21 @@ def pack_plan(spark: SparkSession, sf: str) -> DataFrame:
     return _plan(spark, sf, shards=1).select("conv_id", "window_id", *_long("segment", "offset", "length"))
 
 
+@query(f"""WITH RECURSIVE o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders),
+p(k, o_orderkey, place, n, x) AS (
+  SELECT 0, o_orderkey, place, n, place FROM o
+  UNION ALL
+  SELECT k + 1, o_orderkey, place, n, CASE WHEN CAST(('0x' || substr(md5('{SEED}:' || k || ':' || greatest(x, other)), 1, 8)) AS BIGINT) % 2 = 1 THEN other ELSE x END
+  FROM (SELECT *, (CAST(('0x' || substr(md5('{SEED}:' || k), 1, 8)) AS BIGINT) % n - x + n) % n AS other FROM p WHERE k < {ordering.SWAPS}) q
+) SELECT o_orderkey, x AS place, place AS back FROM p WHERE k = {ordering.SWAPS}""")
+def permuted_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders at permuted places, and the places that the inverse takes them back to."""
+    orders = workspace.saved(ordering.numbered(_table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"]), "numbered")
+    n = orders.count()
+    placed = orders.select("o_orderkey", ordering.permuted(F.col("position"), n, SEED).alias("place"))
+    return placed.withColumn("back", ordering.permuted(F.col("place"), n, SEED, back=True))
+
+
 @query(f"{_placed_sql(8)} SELECT {_PLACED_COLUMNS} FROM placed")
 def pack_ranges(spark: SparkSession, sf: str) -> DataFrame:
     """Ranges of 32 rows side by side give the sequence of one."""

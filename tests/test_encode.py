@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -209,3 +211,13 @@ def test_both_paths_agree_on_any_chat(spark, values, limit):
     keys = ("drop_reason", "spans", "prompt_length", "unpadded_length", "input_ids")
     want = encoded(spark, values, template=T.Adapter(Tagged), **more)
     assert [[r[k] for k in keys] for r in encoded(spark, values, **more)] == [[r[k] for k in keys] for r in want]
+
+
+def test_find_is_a_search_of_whole_ids():
+    rnd = random.Random(5)
+    for _ in range(300):
+        ids = [rnd.choice([0, 1, 256, 65536, 1 << 24, 257]) for _ in range(rnd.randint(0, 30))]
+        part = [rnd.choice([0, 1, 256, 65536, 1 << 24, 257]) for _ in range(rnd.randint(1, 3))]
+        start = rnd.randint(0, 32)
+        plain = next((i for i in range(start, len(ids) - len(part) + 1) if ids[i : i + len(part)] == part), None)
+        assert T.find(ids, part, start) == plain

@@ -211,3 +211,17 @@ def test_ranks_read_side_by_side(spark, tmp_path):
         assert got == [] or got[0]["input_mask"].dtype == bool
     packing.write_ranks(batched.limit(0), str(tmp_path / "none"), 2)
     assert list(packing.RankReader(str(tmp_path / "none"), 1)) == []
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1000])
+def test_permutation_without_a_sort(spark, n):
+    df = spark.range(n).select("id", ordering.permuted(F.col("id"), n, 5).alias("x"), ordering.permuted(F.col("id"), n, 6).alias("y"))
+    df = df.withColumn("back", ordering.permuted(F.col("x"), n, 5, back=True))
+    got = df.collect()
+    assert sorted(r.x for r in got) == sorted(r.y for r in got) == list(range(n)) and all(r.back == r.id for r in got)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    if n == 1000:
+        assert sum(r.x == r.id for r in got) < 10 and sum(r.x == r.y for r in got) < 10
+        # Neighbours go apart: a third of the range on average.
+        x = [r.x for r in sorted(got)]
+        assert 280 < sum(abs(a - b) for a, b in zip(x, x[1:], strict=False)) / 999 < 390
