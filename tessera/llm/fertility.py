@@ -13,8 +13,10 @@ A text is rejected outside either of two kinds of bands:
   of words to the power of two, on every measure of every vocabulary: SPREADS
   spreads around the median of all documents of the kind that pass all other
   rules, where a spread is that of a normal law with the same quartiles. Counts
-  cover all documents, in bins of STEP; kinds of under LEAST_DOCS documents have
-  no such bands.
+  cover all documents, in bins of STEP. A kind of under LEAST_DOCS documents has
+  the bands of its script at the same size, or else at its size and the next two
+  (sizes by threes); where these are under LEAST_DOCS as well, nothing says what
+  is usual, and there are none.
 
 Vocabulary files are read on the driver and handed to the executors as bytes.
 
@@ -233,23 +235,30 @@ _MEASURES = ("chars_per_token", "byte_share", "entropy_share")
 
 
 def _bands(measured: DataFrame, names: list[str]) -> DataFrame:
-    """(_kind, _size, _measure, _low, _high) of each kind of text, from all documents that pass the other rules."""
+    """(_k, _s, _c, _limits) of each kind of text, size and script, from all documents that pass the other rules."""
     values = F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.round(F.col(n) / STEP).cast("long").alias("bin")) for n in names]))
-    bins = measured.where("kept").select("_kind", "_size", values.alias("_v")).groupBy("_kind", "_size", "_v.measure", "_v.bin").agg(F.count(F.lit(1)).alias("n"))
+    kept = measured.where("kept").select("_kind", "_size", "script", values.alias("_v")).groupBy("_kind", "_size", "script", "_v.measure", "_v.bin").agg(F.count(F.lit(1)).alias("n"))
+    script = F.concat(F.lit("script "), "script")
+    # From the kind itself to wider ones, each a few rows for each kind, size and script.
+    wider = F.array(*[F.struct(F.lit(k).alias("level"), of.alias("of"), size.cast("int").alias("size")) for k, (of, size) in enumerate(((F.col("_kind"), F.col("_size")), (script, F.col("_size")), (script, F.floor(F.col("_size") / 3))))])
+    bins = kept.withColumn("_w", F.explode(wider)).groupBy("_w.level", "_w.of", "_w.size", "measure", "bin").agg(F.sum("n").alias("n"))
     # A group has as many rows as bins at most, whatever the number of documents.
-    group = Window.partitionBy("_kind", "_size", "measure")
+    group = Window.partitionBy("level", "of", "size", "measure")
     up_to = F.sum("n").over(group.orderBy("bin"))
     quartile = lambda q: F.min(F.when(F.col("up_to") >= F.col("total") * q, F.col("bin"))).alias(f"q{round(q * 4)}")
     found = (
         bins.withColumns({"up_to": up_to, "total": F.sum("n").over(group)})
         .where(F.col("total") >= LEAST_DOCS)
-        .groupBy("_kind", "_size", "measure")
+        .groupBy("level", "of", "size", "measure")
         .agg(quartile(0.25), quartile(0.5), quartile(0.75))
     )
     # The quartiles of a normal law are 1.349 spreads apart.
     reach = F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(1.0)) * SPREADS
     limits = F.struct("measure", ((F.col("q2") - reach) * STEP).alias("low"), ((F.col("q2") + reach) * STEP).alias("high"))
-    return found.groupBy(F.col("_kind").alias("_k"), F.col("_size").alias("_s")).agg(F.collect_list(limits).alias("_limits"))
+    limits = found.groupBy("level", "of", "size").agg(F.collect_list(limits).alias("_limits"))
+    kinds = measured.select("_kind", "_size", "script").distinct().withColumn("_w", F.explode(wider)).select("_kind", "_size", "script", "_w.*")
+    nearest = kinds.join(limits, ["level", "of", "size"]).groupBy("_kind", "_size", "script").agg(F.min_by("_limits", "level").alias("_limits"))
+    return nearest.select(F.col("_kind").alias("_k"), F.col("_size").alias("_s"), F.col("script").alias("_c"), "_limits")
 
 
 def rules(documents: DataFrame, *, vocabularies: tuple[str, ...] = VOCABULARIES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -286,5 +295,5 @@ def rules(documents: DataFrame, *, vocabularies: tuple[str, ...] = VOCABULARIES,
     value = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])
     inside = F.forall("_limits", lambda x: value[x["measure"]].between(x["low"], x["high"]))
     # Kinds of text are a small table, which Spark broadcasts by its size; hot kinds are split where it does not.
-    judged = rows.join(bands, (F.col("_kind") == F.col("_k")) & (F.col("_size") == F.col("_s")), "left")
+    judged = rows.join(bands, (F.col("_kind") == F.col("_k")) & (F.col("_size") == F.col("_s")) & F.col("script").eqNullSafe(F.col("_c")), "left")
     return judged.withColumn("kept", F.col("kept") & F.coalesce(inside, F.lit(True))).select("doc_id", *columns)

@@ -198,23 +198,31 @@ def test_byte_level_vocabulary():
     assert words.tokens([])[0].shape == (0,) and words.is_byte.sum() == 256
 
 
-def test_bands_of_all_documents(spark):
+def test_bands_of_all_documents(spark, monkeypatch):
     rnd = random.Random(9)
     plain = "the house by old river was quiet in light of morning and people came to see what it had been".split()
     junk = ["".join(rnd.choices("etaoinshr", k=6)) for _ in range(99)]
     rows = [(i, " ".join(rnd.choices(plain, k=rnd.randint(60, 200))), "en" if i % 3 else None) for i in range(600)]
     rows += [(1000 + i, " ".join(rnd.choices(junk, k=150)), "en") for i in range(12)] + [(2000, "word " * 10, "en"), (2001, None, "en"), (2002, " ".join(rnd.choices(junk, k=150)), "rare")]
+    # Kinds too small for bands of their own: of its script's size, of its script's sizes by threes, of nothing.
+    rows += [(3000 + i, " ".join(rnd.choices(plain, k=90)), "few") for i in range(20)] + [(3100 + i, " ".join(rnd.choices(plain, k=300)), "few") for i in range(5)]
+    rows += [(3200 + i, " ".join(rnd.choices(junk, k=300)), "few") for i in range(2)] + [(3300, " ".join(rnd.choices(plain, k=3000)), "few"), (3301, "слово дом река " * 30, "few")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
     got = {r.doc_id: r for r in fertility.rules(df).collect()}
-    assert not any(got[1000 + i].kept for i in range(12)) and got[2002].kept and not got[2000].kept and not got[2001].kept
+    assert not any(got[k].kept for k in (2000, 2001, 2002, 3200, 3201, *range(1000, 1012))) and all(got[k].kept for k in range(3000, 3020))
     # The same verdicts from sorted values.
     names = [m + n for n in ("", "_2") for m in ("chars_per_token", "byte_share", "entropy_share")]
-    kinds = {i: (lang or f"script {got[i].script}", int(np.log2(max(1, got[i].n_words)))) for i, _, lang in rows}
-    script_ok = {r.doc_id: r.kept for r in fertility.rules(df.withColumn("lang", F.col("doc_id").cast("string"))).collect()}
+    least = fertility.LEAST_DOCS
+    monkeypatch.setattr(fertility, "LEAST_DOCS", 10**9)
+    others_ok = {r.doc_id: r.kept for r in fertility.rules(df).collect()}
+    kinds = {}
+    for i, _, lang in rows:
+        script, size = f"script {got[i].script}", int(np.log2(max(1, got[i].n_words)))
+        kinds[i] = [(lang or script, size), (script, size), (script, "by threes", size // 3)]
     for i, r in got.items():
-        peers = [got[k] for k in got if kinds[k] == kinds[i] and script_ok[k]]
-        want = script_ok[i]
-        for n in names if len(peers) >= fertility.LEAST_DOCS else ():
+        peers = next((p for level in range(3) if len(p := [got[k] for k in got if kinds[k][level] == kinds[i][level] and others_ok[k]]) >= least), [])
+        want = others_ok[i]
+        for n in names if peers else ():
             bins = sorted(int(np.floor(p[n] / fertility.STEP + 0.5)) for p in peers)
             q1, q2, q3 = (bins[int(np.ceil(len(bins) * q)) - 1] for q in (0.25, 0.5, 0.75))
             reach = max((q3 - q1) / 1.349, 1) * fertility.SPREADS
