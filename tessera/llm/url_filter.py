@@ -50,7 +50,8 @@ DEFAULT_GLOBS: tuple[tuple[str, str], ...] = (
     ("block", "**.exe"),
 )
 
-STEP_ROWS = 4096
+#: URLs that run through the automaton at once, and words of state that these may hold: 16 MB an array.
+STEP_ROWS, STEP_WORDS = 4096, 1 << 21
 
 
 @dataclass(frozen=True)
@@ -200,9 +201,10 @@ def judge(
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Automaton([r.fits for r in ranked])
+        step = max(1, min(STEP_ROWS, STEP_WORDS // machine.words))
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP_ROWS):
-                part = batch.slice(at, STEP_ROWS)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 hits = machine.run(part.column(3))
                 won = pa.array(np.where(hits.any(axis=1), hits.argmax(axis=1), len(ranked)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *[n.take(won) for n in named]], names=["page_id", "host", "path", "rule", "verdict", "matched"])
