@@ -137,8 +137,7 @@ def test_orders(spark):
     assert ordering.batched(df, 300, ["id"]).groupBy("batch_id").count().orderBy("batch_id").collect()[-1] == (2, 300)
 
 
-def test_large_first_n_and_split(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "FEW", 10)
+def test_large_first_n_and_split(spark):
     df = spark.range(2000).select((F.col("id") * 7 % 2000).alias("id"), F.lit("x").alias("y")).repartition(5)
     assert sorted(r.id for r in ordering.first_n(df, 345, "id").collect()) == list(range(345))
     assert ordering.first_n(df, 5000, "id").count() == 2000
