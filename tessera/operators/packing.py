@@ -189,7 +189,8 @@ def plan(
     n = shards if apart else -(-total // range_rows)
     part = F.floor(F.col("position") * n / F.lit(total)) if apart else F.floor(F.col("position") / range_rows)
     rows = numbered(lengths, order).select(F.col(id_col), "position", "length", part.cast("long").alias("range"))
-    if apart:
+    if apart or n == 1:
+        # Nothing came before a range: there is no pool to agree on.
         facts = [{"entry": [], "first": 0, "members": [], "began": [], "left": []}] * n
     else:
         rows = workspace.saved(rows, "ranges")
