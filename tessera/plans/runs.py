@@ -265,6 +265,19 @@ def recipe_probe(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.md5("system").alias("system"), F.col("drop_reason").alias("reason"), *C._long("prompt_length", "supervised"))
 
 
+@query("""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'gs://runs/../' || s_name WHEN 1 THEN '/runs/b/' || s_name ELSE '/runs/c/' || s_name END AS location FROM supplier""")
+def checkpoint_locations(spark: SparkSession, sf: str) -> DataFrame:
+    """Where checkpoints go that are asked for by remote and by winding local paths."""
+    k = F.col("s_suppkey") % 3
+    asked = F.concat(F.when(k == 0, "gs://runs/../").when(k == 1, "/runs/a/../b/").otherwise("/runs//./c/d/../"), "s_name")
+
+    def located(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(location=batch["location"].map(config.checkpoint_location))
+
+    return C._table(spark, sf, "supplier").select("s_suppkey", asked.alias("location")).mapInPandas(located, "s_suppkey long, location string")
+
+
 @query("SELECT role AS split, conv_id, turn FROM conversations")
 def catalog_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Splits of a named corpus, here the turns of each role."""
