@@ -216,6 +216,41 @@ def test_rows_without_an_id_are_decontaminated(spark, monkeypatch):
     assert decontam.keep(df, bench.limit(0)).count() == 4
 
 
+def test_a_benchmark_of_any_size_gives_what_one_block_gives(spark, monkeypatch):
+    """Joins and the block agree: items that share pieces, long ones across segments, repeated rows and items, edits, odd rows."""
+    rnd = random.Random(8)
+    words = [f"{a}{b}{c}" for a in "bdfglm" for b in "aeiou" for c in "nrst"]
+    draw = lambda n: [rnd.choice(words) for _ in range(n)]
+    template = draw(9)
+    items = [template + draw(rnd.choice([3, 12, 30])) for _ in range(30)] + [draw(rnd.choice([5, 8, 40, 300])) for _ in range(30)]
+    rows = []
+    for i in range(120):
+        w = list(rnd.choice(items))
+        for _ in range(rnd.randint(0, decontam.max_edits(len(w)) + 1)):
+            at = rnd.randrange(len(w))
+            w[at : at + rnd.randint(0, 1)] = rnd.choice([[], draw(1)])
+        rows.append((i, " ".join(draw(rnd.randint(0, 60)) + w + draw(rnd.randint(0, 60)))))
+    # One row that holds every item, over several segments; one that holds a piece thousands of times.
+    rows += [(200, " ".join(" ".join(w + draw(20)) for w in items)), (201, " ".join(template * 700))]
+    rows += [rows[0], (None, rows[1][1]), (300, None), (301, ""), (302, "one")]
+    df = spark.createDataFrame(rows, "doc_id int, text string").withColumns({"held": F.lit("clash"), "row": F.lit(1)}).repartition(5)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(77, " ".join(items[0])), (90, None), (91, "a b")], "item_id short, text string")
+    found = lambda: sorted(map(tuple, decontam.find(df, bench).collect()), key=repr)
+    one, left = found(), sorted(map(tuple, decontam.keep(df, bench).collect()), key=repr)
+    schema = decontam.find(df, bench).schema
+    monkeypatch.setattr(decontam, "SEGMENT", 64)
+    monkeypatch.setattr(decontam, "_LOT", 1000)
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 1)
+    assert decontam._block(bench, "item_id", "text") is None
+    assert found() == one and len(one) > 150 and {i for d, i, *_ in one if d == 200} == {*range(60), 77}
+    kept = decontam.keep(df, bench)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=repr) == left
+    assert [(f.name, f.dataType) for f in decontam.find(df, bench).schema] == [(f.name, f.dataType) for f in schema]
+    assert decontam.find(df.limit(0), bench).count() == 0 and decontam.keep(df.limit(0), bench).count() == 0
+    few = bench.where("item_id > 89")
+    assert decontam.find(df, few).count() == 0 and decontam.keep(df, few).count() == len(rows)
+
+
 @pytest.mark.parametrize("n", [10, 15, 20, 30, 50, 80, 150, 300])
 @pytest.mark.parametrize("even", [False, True])
 def test_recall_at_the_most_edits(n, even):
