@@ -50,7 +50,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(words) + 1
             columns = [
                 pa.array([lang] * n), pa.array([source] * n), pa.array([*words, None], pa.binary()).cast(pa.string()),
-                pa.array([*words.values(), 0], pa.int64()), pa.array([*(docs[w] for w in words), 0], pa.int64()),
+                pa.array([*words.values(), 0], pa.int64()), pa.array([*map(docs.__getitem__, words), 0], pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
         groups.clear()
@@ -75,7 +75,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def index(documents: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Postings lang, source, term, n, docs: occurrences and documents; a row with a null term for each group."""
     plain = documents.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
-    counted = plain.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
+    # A task counts one group after the other, so that few counters are in use and hand on each term once.
+    counted = plain.sortWithinPartitions("lang", "source").mapInArrow(_count, "lang string, source string, term string, n long, docs long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -119,21 +120,27 @@ def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks.clear()
 
     def add(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        langs, place, p, zero = rows["lang"].combine_chunks(), *(rows[c].to_numpy() for c in ("place", "p", "zero"))
-        starts = _starts(rows)
-        for left, right in _meetings(starts, len(p)):
-            value = _np_f(p[left], p[right]) - _np_f(p[left], zero[right]) - _np_f(zero[left], p[right]) + _np_f(zero[left], zero[right])
+        coded, place, p, zero = rows["lang"].combine_chunks().dictionary_encode(), *(rows[c].to_numpy() for c in ("place", "p", "zero"))
+        langs, names, wide = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist(), int(place.max()) // SIDE + 1
+        for left, right in _meetings(_starts(rows), len(p)):
+            p_left, p_right, z_left, z_right = p[left], p[right], zero[left], zero[right]
+            value = _np_f(p_left, p_right) - _np_f(p_left, z_right) - _np_f(z_left, p_right) + _np_f(z_left, z_right)
             some = value != 0
             left, right, value = left[some], right[some], value[some]
+            if not len(value):
+                continue
+            # Pairs in order of their blocks, a block one number; rows of numbers are slow to compare.
             a, b = np.minimum(place[left], place[right]), np.maximum(place[left], place[right])
-            coded = langs.dictionary_encode()
-            where = np.stack([coded.indices.to_numpy()[left], a // SIDE, b // SIDE], 1)
-            for key in np.unique(where, axis=0):
-                here = (where == key).all(1)
-                name = (coded.dictionary[int(key[0])].as_py(), int(key[1]), int(key[2]))
+            where = (langs[left] * wide + a // SIDE) * wide + b // SIDE
+            order = np.argsort(where, kind="stable")
+            where, cell, value = where[order], (a % SIDE * SIDE + b % SIDE)[order], value[order]
+            cuts = np.flatnonzero(np.diff(where, prepend=where[0] - 1))
+            for low, high in zip(cuts, np.append(cuts[1:], len(where)), strict=True):
+                lang, x, y = (int(i) for i in np.unravel_index(where[low], (len(names), wide, wide)))
+                name = (names[lang], x, y)
                 if name not in blocks and len(blocks) >= BLOCKS:
                     yield from flush()
-                np.add.at(blocks.setdefault(name, np.zeros((SIDE, SIDE), dtype=np.int64)), (a[here] % SIDE, b[here] % SIDE), value[here])
+                np.add.at(blocks.setdefault(name, np.zeros((SIDE, SIDE), dtype=np.int64)).reshape(-1), cell[low:high], value[low:high])
 
     held = None
     for batch in batches:
